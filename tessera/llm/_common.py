@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -138,3 +139,19 @@ def shuffle_parts(spark: SparkSession) -> int:
 def documents_only(df: DataFrame) -> DataFrame:
     """doc_id and text alone, so that other columns can't clash with the operators' own."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of a frame's size, from its files' sizes."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def shards_for(df: DataFrame, shard_bytes: int = 8 << 20) -> int:
+    """Shards that hold the entries of about ``shard_bytes`` of input each, so a shard's size doesn't grow with the input."""
+    return max(shuffle_parts(df.sparkSession), min(1 << 20, -(-input_bytes(df) // shard_bytes)))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished, unreferenced queries."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -31,6 +31,18 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), **tokenizer_files())
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_minhash_near_dedup, op5_bpe_codec)}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op4_minhash_near_dedup, op5_bpe_codec, op8_substring_dedup, op10_suffix_array_dedup)}
 
 SQL: dict[str, str] = {}
