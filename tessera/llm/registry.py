@@ -19,6 +19,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), **tokenizer_files())
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.tiling import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.near_dup import near_duplicates
 
@@ -31,6 +37,13 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), **tokenizer_files())
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.ann import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.substring_dedup import remove_repeats
 
@@ -43,6 +56,19 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_minhash_near_dedup, op5_bpe_codec, op8_substring_dedup, op10_suffix_array_dedup)}
-
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_benchmark_decontamination, op4_minhash_near_dedup, op5_bpe_codec, op6_nearest_neighbours, op8_substring_dedup, op10_suffix_array_dedup)}
+
+SQL: dict[str, str] = {
+    "op6_nearest_neighbours": """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM p)
+WHERE r <= 20
+""",
+}
