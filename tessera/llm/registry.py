@@ -44,19 +44,31 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.substring_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.suffix_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_benchmark_decontamination, op4_minhash_near_dedup, op5_bpe_codec, op6_nearest_neighbours, op8_substring_dedup, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_benchmark_decontamination, op4_minhash_near_dedup, op5_bpe_codec, op6_nearest_neighbours, op7_quality_classifier, op8_substring_dedup, op9_toxicity, op10_suffix_array_dedup)}
 
 SQL: dict[str, str] = {
     "op6_nearest_neighbours": """
