@@ -8,11 +8,13 @@
 2. Classes.  Documents with the same set are one class, named by its smallest
    doc_id; only classes go on, so any number of copies costs no pairs.
 3. Stars.  In each bucket every class is paired with one centre: as many
-   candidates as members, never their square.  Candidates are confirmed on the
+   candidates as members, never their square.  The centre is the member that
+   shares most buckets with most others: the source of a group of near-copies
+   is nearer to each of them than they are to each other.  Candidates are confirmed on the
    full sets and confirmed links give components.
 4. Exactness.  A bucket whose members are still in several components gets
-   another star, about the smallest member outside the component of its last
-   centre, and so on while buckets stay divided.  After ``star_rounds`` stars
+   another star, about the heaviest member outside the components of its last
+   centres, and so on while buckets stay divided.  After ``star_rounds`` stars
    the members left over are compared across components, those pairs alone
    which no star has tried.  So every pair that shares a bucket is tried or
    already in one component.
@@ -37,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WordHash, documents_only, forget, mix, odd_multipliers, settle, slices, utf8
+from tessera.llm._common import WordHash, documents_only, forget, mix, odd_multipliers, release, settle, slices, utf8
 from tessera.llm._graph import components
 
 
@@ -132,7 +134,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
 def _confirmed(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union, on the full sets of their texts."""
     ends = pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id")
-    texts = documents.where("doc_id is not null and text is not null").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = documents.where("doc_id is not null and text is not null").join(ends.hint("shuffle_merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -142,6 +144,7 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, width: int, percent: int)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([shingles(t, hashes, width).tobytes() for t in texts[i:j]], pa.binary())], ["doc_id", "grams"])
 
     full = settle(texts.mapInArrow(sets, "doc_id long, grams binary"))
+    release(documents.sparkSession)
     both = pairs.join(full.toDF("a", "grams_a"), "a").join(full.toDF("b", "grams_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,10 +160,11 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, width: int, percent: int)
 
     out = settle(both.select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a long, b long"))
     forget(full)
+    release(documents.sparkSession)
     return out
 
 
-def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75, bins: int = 128, bands: int = 32, star_rounds: int = 3) -> DataFrame:
+def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75, bins: int = 128, bands: int = 32, star_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     docs = documents_only(documents)
     sketched = settle(sketches(docs, width, bins, bands))
@@ -169,8 +173,10 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75, bin
     # Copies have the same sketch and buckets: the row of the class's first document stands for all.
     classes = settle(named.select("set_hash", "doc_id", "sketch", "buckets").join(first, ["set_hash", "doc_id"], "left_semi").dropDuplicates(["doc_id"]))
     member = classes.select(F.col("doc_id").alias("node"), F.explode("buckets").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    member = settle(member.join(shared, "bucket", "left_semi"))
+    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    member = settle(member.join(shared.hint("shuffle_merge"), "bucket"))
+    weight = settle(member.groupBy("node").agg(F.sum("n").alias("weight")))
+    member = settle(member.select("bucket", "node").join(weight.hint("shuffle_merge"), "node"))
 
     floor = max(0.0, percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / bins) ** 0.5)
     links: list[DataFrame] = []
@@ -191,21 +197,21 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75, bin
         if turn:
             links = [settle(reduce(DataFrame.union, links))]
             found = components(links[0])
-            placed = settle(member.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")))
+            placed = settle(member.join(found, "node", "left").select("bucket", "node", "weight", F.coalesce("component", "node").alias("component")))
             divided = settle(placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket"))
             if divided.isEmpty():
                 break
         here = placed.join(divided, "bucket", "left_semi")
         if turn < star_rounds:
             free = here if used is None else here.join(used, ["bucket", "component"], "left_anti")
-            centre = free.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), "node").alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.component").alias("own"))
+            centre = free.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), F.struct(-F.col("weight"), "node")).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.component").alias("own"))
             centre = settle(centre)
             taken = centre.select("bucket", F.col("own").alias("component"))
             used = taken if used is None else used.union(taken)
             star = here.join(centre, "bucket").where("node <> centre and component <> own" if turn else "node <> centre")
             confirm(star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
         else:
-            other = here.toDF("bucket", "other", "theirs")
+            other = here.select("bucket", F.col("node").alias("other"), F.col("component").alias("theirs"))
             confirm(here.join(other, "bucket").where("component < theirs").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
     links = [settle(reduce(DataFrame.union, links))]
     found = components(links[0])

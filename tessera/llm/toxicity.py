@@ -9,11 +9,13 @@
    Viterbi decoding under the language model gives the best readings.
 3. The lexicon: words and word beginnings of labelled training texts, each with
    the Wilson lower bound of the share of toxic texts among those that hold it.
-   A text's score is the largest bound among its words and restored words, so it
-   neither grows with length nor depends on rare chance words.
+   Near-copies count once, and a bound far from chance is asked of an entry.
+   A text's score is the noisy-or of the squared bounds of its three worst words,
+   restored words among them: one sure word is enough, a weak one needs company,
+   and length alone adds nothing.
 
 The lexicon is learned from ``sample_rows`` labelled rows at most (the least
-hashes of doc_id, equal texts counted once) and keeps ``max_entries`` entries.
+hashes of doc_id) and keeps ``max_entries`` entries.
 The language model and the scores cover all documents and whole texts.
 
 Cases: null, empty and blank texts score 0.  Null labels aren't learned from;
@@ -32,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import documents_only, slices, utf8
+from tessera.llm._common import WordHash, documents_only, mix, odd_multipliers, slices, utf8
+from tessera.llm.near_dup import shingles
 from tessera.llm.quality import held_out
 
 #: What a character can stand for besides itself, as commonly used in disguises.
@@ -42,7 +45,8 @@ DISGUISES = {
 }
 FILLERS = ".,-_~'`*^:;/\\#=​­·•"
 SYMBOL_COST, FILLER_COST, DROP_COST, REPEAT_COST, WILD_COST = 0.7, 0.3, 2.5, 0.5, 2.0
-READINGS = 8
+READINGS, PATHS = 8, 4  # of a word, and kept for each pair of last letters
+TOP_WORDS = 3  # a score takes a text's worst words together
 LONGEST = 40  # runs of a longer string are no disguised word
 
 _EDGES = " \t\r\n.,;:!?\"'()[]{}<>«»“”‘’*_-~|%&#"
@@ -76,7 +80,7 @@ class CharacterModel:
 
     def restore(self, token: str) -> list[str]:
         """The best readings of a disguised word, best first."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        states: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
         for m in _RUNS.finditer(token):
             c, n = m[1], len(m[0])
             options: list[tuple[str, float]] = []
@@ -92,20 +96,19 @@ class CharacterModel:
                 options.append(("", FILLER_COST))
                 if c == "*" and n == 1:
                     options += [(x, WILD_COST) for x in "aeiou"]
-            elif not c.isalpha():
+            elif not c.isalpha() and (c not in DISGUISES or c in "!|(+"):
                 options.append(("", DROP_COST))
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, out) in states.items():
+            new: dict[tuple[int, int], list[tuple[float, str]]] = {}
+            for (a, b), paths in states.items():
                 for letters, price in options:
-                    x, y, total = a, b, cost + price
+                    x, y, added = a, b, price
                     for letter in letters:
                         z = self.code(letter)
-                        total += self.cost[x][y][z]
+                        added += self.cost[x][y][z]
                         x, y = y, z
-                    if (x, y) not in new or total < new[x, y][0]:
-                        new[x, y] = total, out + letters
-            states = new
-        ends = sorted((cost + self.cost[a][b][0], out) for (a, b), (cost, out) in states.items())
+                    new.setdefault((x, y), []).extend((cost + added, out + letters) for cost, out in paths)
+            states = {k: sorted(paths)[:PATHS] for k, paths in new.items()}
+        ends = sorted((cost + self.cost[a][b][0], out) for (a, b), paths in states.items() for cost, out in paths)
         return [out for _, out in ends[:READINGS] if out]
 
 
@@ -185,13 +188,48 @@ def character_model(documents: DataFrame) -> CharacterModel:
     return CharacterModel(counts)
 
 
-def lexicon(documents: DataFrame, labels: DataFrame, label: str, model: CharacterModel, sample_rows: int = 20_000, max_entries: int = 50_000, least: float = 0.05) -> dict[str, float]:
-    """Words and beginnings with the lower bound of the toxic share of the labelled texts that hold them."""
+def one_of_each(sampled: DataFrame, rows: int = 3, bands: int = 6) -> list[int]:
+    """The smallest doc_id of each group of near-copies among the sampled texts (5-word shingles, banded minima).
+
+    sampled has doc_id and text of at most as many documents as the lexicon's sample, so groups are found on the driver.
+    """
+    factors = odd_multipliers(rows * bands, 9)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        for batch in batches:
+            keys = []
+            for text in utf8(batch.column(1)):
+                h = shingles(text, hashes)
+                least = np.array([mix(h * f).min() for f in factors]).reshape(bands, rows) if len(h) else np.empty((0, rows), np.uint64)
+                keys.append([int(x) for x in (mix(mix(least[:, 0]) + least[:, 1]) * np.uint64(3) + least[:, 2]).view(np.int64)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "keys"])
+
+    least: dict[int, int] = {}
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for r in sampled.select("doc_id", "text").mapInArrow(run, "doc_id long, keys array<long>").collect():
+        parent.setdefault(r.doc_id, r.doc_id)
+        for key in r["keys"]:
+            a, b = root(r.doc_id), root(least.setdefault(key, r.doc_id))
+            parent[max(a, b)] = min(a, b)
+    return sorted({root(x) for x in parent})
+
+
+def lexicon(documents: DataFrame, labels: DataFrame, label: str, model: CharacterModel, sample_rows: int = 20_000, max_entries: int = 20_000) -> dict[str, float]:
+    """Words and beginnings of toxic texts, with the lower bound of the toxic share of the labelled texts that hold them."""
     docs = documents_only(documents)
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     sample = marked.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("h")).join(F.broadcast(sample), "doc_id")  # sample_rows rows of 12 bytes
-    once = hashed.groupBy("h", "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "label")
+    spark = docs.sparkSession
+    sampled = docs.join(F.broadcast(sample), "doc_id")  # sample_rows rows of 12 bytes
+    once = spark.createDataFrame([(i,) for i in one_of_each(sampled)], "doc_id long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
@@ -215,11 +253,10 @@ def lexicon(documents: DataFrame, labels: DataFrame, label: str, model: Characte
         if counts:
             yield out()
 
-    train = docs.join(F.broadcast(once), "doc_id").select("text", "label")
+    train = sampled.join(F.broadcast(once), "doc_id").select("text", "label")
     sums = train.mapInArrow(run, "entry string, n long, hits long").groupBy("entry").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
-    best = sums.where("hits >= 3").orderBy(F.desc(F.col("hits") * F.col("hits") / F.col("n")), "entry").limit(max_entries)
-    bounds = {r.entry: wilson(r.hits, r.n) for r in best.collect()}
-    return {k: v for k, v in bounds.items() if v >= least}
+    best = sums.where("hits >= 4 and hits * 3 >= n").orderBy(F.desc(F.col("hits") * F.col("hits") / F.col("n")), "entry").limit(max_entries)
+    return {r.entry: wilson(r.hits, r.n) for r in best.collect() if wilson(r.hits, r.n, 3.3) >= 0.3}
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -239,18 +276,18 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float =
             rows = []
             for text in batch.column(1).to_pylist():
                 words = text.lower().split() if text else []
-                best = nothing
+                hits = []
                 for w in set(words):
                     found = memory.get(w)
                     if found is None:
                         found = memory[w] = worst(restored(w, model))
-                    if found > best:
-                        best = found
-                for token in spelled(words):
-                    best = max(best, worst(map(collapsed, model.restore(token))))
+                    if found[0]:
+                        hits.append(found)
+                hits += [found for token in spelled(words) if (found := worst(map(collapsed, model.restore(token))))[0]]
+                hits = sorted(set(hits), reverse=True)
                 if len(memory) > 400_000:
                     memory.clear()
-                rows.append(best)
+                rows.append((1 - math.prod(1 - bound**2 for bound, _ in hits[:TOP_WORDS]), hits[0][1] if hits else None))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([round(s, 9) for s, _ in rows], pa.float64()), pa.array([w for _, w in rows], pa.string())], ["doc_id", "score", "word"])
 
     scores = docs.mapInArrow(run, "doc_id long, score double, word string")
