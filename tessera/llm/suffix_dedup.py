@@ -48,7 +48,9 @@ GRAM = 48
 #: Groups up to this size are compared pair by pair, in memory.
 PAIRWISE = 24
 #: Suffixes that a task sorts at once.
-RUN_ENTRIES = 100_000
+RUN_ENTRIES = 60_000
+#: Bytes of text whose hashes are made at once (a longer text alone), and anchors that are packed together.
+SLICE_BYTES, PACK_ENTRIES = 1 << 20, 200_000
 
 _BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -89,13 +91,22 @@ def _grams(documents: DataFrame, length: int, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy().astype(np.int64), utf8(batch.column(1))
-            for i, j in slices(texts):
+            held: list[tuple] = []
+
+            def packed() -> pa.RecordBatch | None:
+                h, docs, places = map(np.concatenate, zip(*held))
+                held.clear()
+                return pack(h, docs, places, ids, shards, 1)
+
+            for i, j in slices(texts, SLICE_BYTES):
                 data, starts, rest = _layout(texts[i:j])
                 at, h = anchors_of(data, rest, length)
                 docs = np.searchsorted(starts, at, "right") - 1
-                out = pack(h, docs, at - starts[docs], ids[i:j], shards, 1)
-                if out is not None:
+                held.append((h, docs + i, at - starts[docs]))
+                if sum(len(x[0]) for x in held) > PACK_ENTRIES and (out := packed()) is not None:
                     yield out
+            if held and (out := packed()) is not None:
+                yield out
 
     return documents.mapInArrow(run, PACKED)
 
@@ -273,7 +284,7 @@ def _runs(anchored: DataFrame, length: int, shards: int) -> DataFrame:
 
         for batch in batches:
             ids, texts, places = batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()
-            for i, j in slices(texts):
+            for i, j in slices(texts, SLICE_BYTES):
                 data, starts, _ = _layout(texts[i:j])
                 at = [spans(p) for p in places[i:j]]
                 flat = np.concatenate([a + s for a, s in zip(at, starts)])
