@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm._common import table
 
@@ -13,6 +14,13 @@ def tokenizer_files() -> dict[str, str]:
     return {"json_path": public.path("byte_bpe_50k.json"), "ranks_path": public.path("byte_bpe_50k.tiktoken"), "pattern": public.PATTERN}
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.line_dedup import line_duplicates
+
+    out = line_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_count import count_tokens
 
@@ -68,9 +76,33 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_benchmark_decontamination, op4_minhash_near_dedup, op5_bpe_codec, op6_nearest_neighbours, op7_quality_classifier, op8_substring_dedup, op9_toxicity, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_benchmark_decontamination, op4_minhash_near_dedup, op5_bpe_codec, op6_nearest_neighbours, op7_quality_classifier, op8_substring_dedup, op9_toxicity, op10_suffix_array_dedup)}
 
 SQL: dict[str, str] = {
+    "op1_line_dedup": """
+WITH l AS (
+  SELECT doc_id, unnest(s) AS line, unnest(range(len(s))) AS pos
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text <> '')),
+f AS (
+  SELECT line, min((doc_id, pos)) AS first, strlen(line) AS n FROM l WHERE trim(line) <> '' GROUP BY line),
+k AS (
+  SELECT a.line, b.first AS other FROM f a JOIN f b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.line <> b.line
+  WHERE a.n >= 60 AND b.n >= 60 AND levenshtein(a.line, b.line) <= 2),
+j AS (
+  SELECT f.line, f.first, count(k.other) AS links, coalesce(min(k.other) < f.first, false) AS near
+  FROM f LEFT JOIN k ON k.line = f.line GROUP BY f.line, f.first),
+o AS (
+  SELECT l.doc_id, l.pos, l.line, coalesce(j.links, 0) AS links,
+    coalesce(j.near OR (l.doc_id, l.pos) <> j.first, false) AS gone
+  FROM l LEFT JOIN j ON l.line = j.line),
+g AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, sum(links) AS n_links,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept
+  FROM o GROUP BY doc_id)
+SELECT d.doc_id, coalesce(g.n_lines, 0)::BIGINT AS n_lines, coalesce(g.n_removed, 0)::BIGINT AS n_removed,
+  coalesce(g.n_links, 0)::BIGINT AS n_links, sha256(coalesce(g.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
+""",
     "op6_nearest_neighbours": """
 WITH v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
