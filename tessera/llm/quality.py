@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm._common import documents_only, settle, slices, utf8
+from tessera.llm._common import settle, slices, utf8
 
 _KINDS = {
     "upper": bytes(range(0x41, 0x5B)),
@@ -63,16 +64,20 @@ def statistics(data: bytes) -> list[float]:
     return out
 
 
-def featurise(documents: DataFrame) -> DataFrame:
-    """doc_id and its statistics; one narrow pass over whole texts."""
+def featurise(documents: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, its statistics and the named other columns; one narrow pass over whole texts."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"_{c}") for c in columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8(batch.column(1))
             for i, j in slices(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([statistics(t or b"") for t in texts[i:j]], pa.list_(pa.float64()))], ["doc_id", "features"])
+                own = batch.slice(i, j - i)
+                values = pa.array([statistics(t or b"") for t in texts[i:j]], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([own.column(0), values, *own.columns[2:]], ["doc_id", "features", *own.schema.names[2:]])
 
-    return documents_only(documents).mapInArrow(run, "doc_id long, features array<double>")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("features", T.ArrayType(T.DoubleType())), *docs.schema.fields[2:]])
+    return docs.mapInArrow(run, schema)
 
 
 class Discriminant:
@@ -129,12 +134,15 @@ def fit(features: DataFrame, labels: DataFrame, label: str) -> Discriminant:
 
 
 def scored(features: DataFrame, model: Discriminant) -> DataFrame:
+    """Adds score, and drops the statistics."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, N_FEATURES) if batch.num_rows else np.empty((0, N_FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(model.score(x), 9))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(model.score(x), 9)), *batch.columns[2:]], ["doc_id", "score", *batch.schema.names[2:]])
 
-    return features.select("doc_id", "features").mapInArrow(run, "doc_id long, score double")
+    schema = T.StructType([features.schema["doc_id"], T.StructField("score", T.DoubleType()), *features.schema.fields[2:]])
+    return features.mapInArrow(run, schema)
 
 
 def held_out(doc_id: str, folds: int, fold: int):
@@ -142,8 +150,13 @@ def held_out(doc_id: str, folds: int, fold: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))
 
 
-def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document, learned outside the held-out fold."""
+def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, columns: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document, learned outside the held-out fold, and the named other columns.
+
+    Where other columns are wanted, statistics are made again beside them, so texts never move.
+    """
     features = settle(featurise(documents))
     model = fit(features, labels.where(~held_out("doc_id", 3, 1)), "quality")
-    return scored(features, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scores = scored(featurise(documents, columns) if columns else features, model)
+    more = (F.col(f"_{c}").alias(c) for c in columns)
+    return scores.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
