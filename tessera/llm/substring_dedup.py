@@ -34,13 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WordHash, documents_only, forget, release, rolling, settle, sha, shards_for, slices, utf8
+from tessera.llm._common import WordHash, documents_only, forget, mix, release, rolling, settle, sha, shards_for, slices, utf8
 
 #: A shard's part of a slice: for each document its id and number of entries, then the entries' hashes and positions.
 PACKED = "shard int, ids binary, counts binary, low binary, high binary, places binary"
 _PACKED = pa.schema([("shard", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("places", pa.binary())])
-FOUND = "doc_id long, places binary"
-_FOUND = pa.schema([("doc_id", pa.int64()), ("places", pa.binary())])
+#: A shard's answer to a part of the documents, and all answers to one document.
+DEALT = "part int, ids binary, counts binary, first binary, second binary"
+_DEALT = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("ids", "counts", "first", "second"))])
+FOUND = "doc_id long, first binary, second binary"
+_FOUND = pa.schema([("doc_id", pa.int64()), ("first", pa.binary()), ("second", pa.binary())])
 
 
 def narrow(a: np.ndarray) -> bytes:
@@ -82,20 +85,40 @@ def unpack(t: pa.Table, high_bytes: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return hashes, np.repeat(joined("ids", "<i8"), counts), places
 
 
-def by_document(docs: np.ndarray, places: np.ndarray) -> pa.Table:
-    """One row a document, with its places in ascending order as differences."""
-    order = np.lexsort((places, docs))
-    docs, places = docs[order], places[order]
-    cuts = np.flatnonzero(np.diff(docs)) + 1
-    starts, ends = [0, *cuts.tolist()], [*cuts.tolist(), len(docs)]
+def deal(docs: np.ndarray, first: np.ndarray, second: np.ndarray | None, parts: int) -> pa.Table:
+    """Places (or pairs of them) in documents, one row for each part of the documents."""
     if not len(docs):
-        return _FOUND.empty_table()
-    return pa.Table.from_arrays([pa.array(docs[starts], pa.int64()), pa.array([narrow(np.diff(places[i:j], prepend=0)) for i, j in zip(starts, ends)], pa.binary())], schema=_FOUND)
+        return _DEALT.empty_table()
+    part = (mix(docs.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.lexsort((first, docs, part))
+    part, docs, first = part[order], docs[order], first[order]
+    second = second[order] if second is not None else first[:0]
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    rows: list[list] = [[] for _ in _DEALT]
+    for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)]):
+        ids, counts = np.unique(docs[i:j], return_counts=True)
+        for column, value in zip(rows, (int(part[i]), ids.astype("<i8").tobytes(), narrow(counts), narrow(first[i:j]), narrow(second[i:j]))):
+            column.append(value)
+    return pa.Table.from_arrays([pa.array(r, f.type) for r, f in zip(rows, _DEALT)], schema=_DEALT)
+
+
+def gathered(dealt: DataFrame) -> DataFrame:
+    """One row a document, with all of its places."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids = np.concatenate([np.repeat(np.frombuffer(r, "<i8"), widen(c)) for r, c in zip(t["ids"].to_pylist(), t["counts"].to_pylist())])
+        first, second = (np.concatenate([widen(x) for x in t[c].to_pylist()]) for c in ("first", "second"))
+        order = np.lexsort((first, ids))
+        ids, first, second = ids[order], first[order], second[order] if len(second) else second
+        cuts = np.flatnonzero(np.diff(ids)) + 1
+        ends = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]))
+        return pa.Table.from_arrays([pa.array(ids[[i for i, _ in ends]]), *(pa.array([narrow(c[i:j]) for i, j in ends], pa.binary()) for c in (first, second))], schema=_FOUND)
+
+    return dealt.groupBy("part").applyInArrow(run, FOUND)
 
 
-def spans(b: list | None) -> np.ndarray:
-    """The places in several rows of by_document."""
-    return np.unique(np.concatenate([np.cumsum(widen(x)) for x in b])) if b else np.empty(0, np.int64)
+def places_of(b: bytes | None) -> np.ndarray:
+    return np.unique(widen(b)) if b else np.empty(0, np.int64)
 
 
 def _slice_words(texts: list, hashes: WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,7 +147,7 @@ def _probes(documents: DataFrame, block: int, shards: int) -> DataFrame:
     return documents.mapInArrow(run, PACKED)
 
 
-def _anchors(probes: DataFrame, block: int) -> DataFrame:
+def _anchors(probes: DataFrame, block: int, parts: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         h, docs, places = unpack(t, 1)
         order = np.lexsort((docs, h))
@@ -135,9 +158,9 @@ def _anchors(probes: DataFrame, block: int) -> DataFrame:
         many = docs[np.flatnonzero(new)] != docs[last]
         indexed = np.bincount(group, places % block == 0, len(many)) > 0
         keep = (many & indexed)[group]
-        return by_document(docs[keep], places[keep])
+        return deal(docs[keep], places[keep], None, parts)
 
-    return probes.groupBy("shard").applyInArrow(run, FOUND)
+    return gathered(probes.groupBy("shard").applyInArrow(run, DEALT))
 
 
 def _windows(anchored: DataFrame, window: int, block: int, shards: int) -> DataFrame:
@@ -153,7 +176,7 @@ def _windows(anchored: DataFrame, window: int, block: int, shards: int) -> DataF
                     continue
                 n = len(words) - window + 1
                 first = np.searchsorted(docs, np.arange(j - i))
-                hits = np.concatenate([spans(p) + first[k] for k, p in enumerate(places[i:j])])
+                hits = np.concatenate([places_of(p) + first[k] for k, p in enumerate(places[i:j])])
                 near = np.zeros(len(words) + 1, np.int64)
                 np.add.at(near, np.maximum(hits - (window - block), first[docs[hits]]), 1)
                 np.add.at(near, hits + 1, -1)
@@ -165,16 +188,16 @@ def _windows(anchored: DataFrame, window: int, block: int, shards: int) -> DataF
     return anchored.mapInArrow(run, PACKED)
 
 
-def _repeats(windows: DataFrame) -> DataFrame:
+def _repeats(windows: DataFrame, parts: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         h, docs, places = unpack(t, 4)
         order = np.lexsort((docs, h))
         h, docs, places = h[order], docs[order], places[order]
         new = np.append(True, h[1:] != h[:-1])
         later = docs > docs[np.flatnonzero(new)][np.cumsum(new) - 1]
-        return by_document(docs[later], places[later])
+        return deal(docs[later], places[later], None, parts)
 
-    return windows.groupBy("shard").applyInArrow(run, FOUND)
+    return gathered(windows.groupBy("shard").applyInArrow(run, DEALT))
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -189,7 +212,7 @@ def _removed(documents: DataFrame, window: int, keep_text: bool) -> DataFrame:
                 words = text.split() if text else []
                 n = len(words)
                 if p:
-                    at = spans(p)
+                    at = places_of(p)
                     cover = np.zeros(n + 1, np.int64)
                     np.add.at(cover, at, 1)
                     np.add.at(cover, at + window, -1)
@@ -208,13 +231,11 @@ def remove_repeats(documents: DataFrame, window: int = 50, keep_text: bool = Fal
     docs = documents_only(documents)
     shards, block = shards_for(docs), window // 2
     named = docs.where("doc_id is not null")
-    anchors = settle(_anchors(_probes(named, block, shards), block))
+    anchors = settle(_anchors(_probes(named, block, shards), block, shards))
     release(docs.sparkSession)
-    hits = anchors.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    windows = _windows(named.join(hits, "doc_id"), window, block, shards)
-    repeats = settle(_repeats(windows))
+    windows = _windows(named.join(anchors.select("doc_id", "first"), "doc_id"), window, block, shards)
+    repeats = settle(_repeats(windows, shards))
     forget(anchors)
     release(docs.sparkSession)
-    covered = repeats.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    null_rows = docs.where("doc_id is null").withColumn("places", F.lit(None).cast("array<binary>"))
-    return _removed(named.join(covered, "doc_id", "left").union(null_rows), window, keep_text)
+    null_rows = docs.where("doc_id is null").withColumn("first", F.lit(None).cast("binary"))
+    return _removed(named.join(repeats.select("doc_id", "first"), "doc_id", "left").union(null_rows), window, keep_text)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import documents_only, forget, mix, release, rolling, settle, sha, shards_for, slices, utf8
-from tessera.llm.substring_dedup import FOUND, PACKED, by_document, pack, spans, unpack
+from tessera.llm.substring_dedup import DEALT, PACKED, deal, gathered, pack, places_of, unpack, widen
 
 GRAM = 48
 #: Groups up to this size are compared pair by pair, in memory.
@@ -111,16 +111,16 @@ def _grams(documents: DataFrame, length: int, shards: int) -> DataFrame:
     return documents.mapInArrow(run, PACKED)
 
 
-def _recurring(grams: DataFrame) -> DataFrame:
+def _recurring(grams: DataFrame, parts: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         h, docs, places = unpack(t, 1)
         order = np.argsort(h, kind="stable")
         new = np.append(True, np.diff(h[order]) != 0)
         group = np.cumsum(new) - 1
         keep = order[np.bincount(group)[group] > 1]
-        return by_document(docs[keep], places[keep])
+        return deal(docs[keep], places[keep], None, parts)
 
-    return grams.groupBy("shard").applyInArrow(run, FOUND)
+    return gathered(grams.groupBy("shard").applyInArrow(run, DEALT))
 
 
 def common(a: bytes, b: bytes, start: int = 0) -> int:
@@ -132,8 +132,6 @@ def common(a: bytes, b: bytes, start: int = 0) -> int:
 
 RUN = "shard int, shared binary, lengths binary, tails binary, left_lengths binary, lefts binary, ids binary, places binary"
 _RUN = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in ("shared", "lengths", "tails", "left_lengths", "lefts", "ids", "places"))])
-VERDICT = "doc_id long, starts binary, ends binary"
-_VERDICT = pa.schema([("doc_id", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary())])
 
 
 def _front_coded(run: list[tuple]) -> list[bytes]:
@@ -247,13 +245,9 @@ def _against(other: list, left: bytes, doc: int, place: int, right: int, length:
     return best_left, best_right
 
 
-def _verdicts(found: list[tuple]) -> pa.Table:
-    if not found:
-        return _VERDICT.empty_table()
-    a = np.array(sorted(set(found)), "<i8")
-    cuts = np.flatnonzero(np.diff(a[:, 0])) + 1
-    parts = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(a)]))
-    return pa.Table.from_arrays([pa.array(a[[i for i, _ in parts], 0]), *(pa.array([a[i:j, c].tobytes() for i, j in parts], pa.binary()) for c in (1, 2))], schema=_VERDICT)
+def _verdicts(found: list[tuple], parts: int) -> pa.Table:
+    a = np.array(sorted(set(found)), "<i8").reshape(-1, 3)
+    return deal(a[:, 0], a[:, 1], a[:, 2], parts)
 
 
 def _runs(anchored: DataFrame, length: int, shards: int) -> DataFrame:
@@ -286,7 +280,7 @@ def _runs(anchored: DataFrame, length: int, shards: int) -> DataFrame:
             ids, texts, places = batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()
             for i, j in slices(texts, SLICE_BYTES):
                 data, starts, _ = _layout(texts[i:j])
-                at = [spans(p) for p in places[i:j]]
+                at = [places_of(p) for p in places[i:j]]
                 flat = np.concatenate([a + s for a, s in zip(at, starts)])
                 codes = rolling(_BYTE_CODES[data], GRAM, 10) | np.uint64(1)
                 keys = iter([x.to_bytes(8, "big") for x in codes[flat].tolist()])
@@ -310,14 +304,14 @@ def _runs(anchored: DataFrame, length: int, shards: int) -> DataFrame:
     return anchored.mapInArrow(run, RUN)
 
 
-def _repeats(runs: DataFrame, length: int) -> DataFrame:
+def _repeats(runs: DataFrame, length: int, parts: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
         out: list[tuple] = []
         if rows and rows[0]["shard"] < 0:
             for r in rows:
                 out += zip(*(np.frombuffer(r[c], "<i8").tolist() for c in ("ids", "places", "lefts")))
-            return _verdicts(out)
+            return _verdicts(out, parts)
         group: list = []
         same: dict[bytes, int] = {}  # left context to its entry, among those with the last key
         for (key, _, left, doc, place), shared in merged([_decoded(r) for r in rows]):
@@ -339,9 +333,9 @@ def _repeats(runs: DataFrame, length: int) -> DataFrame:
                 out.append((later[0], later[1] - len(left), later[1] + len(key) - 8))
         if group:
             _judge(group, length, out)
-        return _verdicts(out)
+        return _verdicts(out, parts)
 
-    return runs.groupBy("shard").applyInArrow(run, VERDICT)
+    return gathered(runs.groupBy("shard").applyInArrow(run, DEALT))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -355,8 +349,7 @@ def _removed(documents: DataFrame, keep_bytes: bool) -> DataFrame:
                 text = text or b""
                 kept, removed = text, []
                 if starts:
-                    pairs = sorted(zip(np.frombuffer(b"".join(starts), "<i8").tolist(), np.frombuffer(b"".join(ends), "<i8").tolist()))
-                    for s, e in pairs:
+                    for s, e in zip(widen(starts).tolist(), widen(ends).tolist()):
                         if removed and s <= removed[-1][1]:
                             removed[-1][1] = max(removed[-1][1], e)
                         else:
@@ -377,13 +370,11 @@ def remove_repeats(documents: DataFrame, length: int = 100, keep_bytes: bool = F
     docs = documents_only(documents)
     spark, shards = docs.sparkSession, shards_for(docs)
     named = docs.where("doc_id is not null")
-    anchors = settle(_recurring(_grams(named, length, shards)))
+    anchors = settle(_recurring(_grams(named, length, shards), shards))
     release(spark)
-    hits = anchors.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    repeats = settle(_repeats(_runs(named.join(hits, "doc_id"), length, shards), length))
+    repeats = settle(_repeats(_runs(named.join(anchors.select("doc_id", "first"), "doc_id"), length, shards), length, shards))
     forget(anchors)
     release(spark)
-    covered = repeats.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-    nothing = F.lit(None).cast("array<binary>")
-    null_rows = docs.where("doc_id is null").withColumns({"starts": nothing, "ends": nothing})
-    return _removed(named.join(covered, "doc_id", "left").union(null_rows), keep_bytes)
+    nothing = F.lit(None).cast("binary")
+    null_rows = docs.where("doc_id is null").withColumns({"first": nothing, "second": nothing})
+    return _removed(named.join(repeats, "doc_id", "left").union(null_rows), keep_bytes)
