@@ -15,9 +15,11 @@
 4. Exactness.  A bucket whose members are still in several components gets
    another star, about the heaviest member outside the components of its last
    centres, and so on while buckets stay divided.  After ``star_rounds`` stars
-   the members left over are compared across components, those pairs alone
-   which no star has tried.  So every pair that shares a bucket is tried or
-   already in one component.
+   the members left over are compared across components: pairs which no star
+   has tried, and which can reach the threshold by the shingles that each of
+   them shares with any other left over (a near-copy that was changed too much
+   has too few, whatever its group's size).  So every pair that shares a bucket
+   is tried, impossible, or in one component.
 
 A pair of similarity 0.75 shares none of 32 bands of 4 with probability
 (1 - 0.75 ** 4) ** 32 = 5e-6.
@@ -164,6 +166,25 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, width: int, percent: int)
     return out
 
 
+def _overlaps(documents: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, n, r): the size of each node's set, and how many of its shingles another of the nodes has as well.
+
+    No two nodes can have more shingles in common than the lesser of their r.
+    """
+    texts = documents.where("doc_id is not null and text is not null").join(nodes.select(F.col("node").alias("doc_id")).hint("shuffle_merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        for batch in batches:
+            texts = utf8(batch.column(1))
+            for i, j in slices(texts):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([shingles(t, hashes, width).view(np.int64) for t in texts[i:j]], pa.list_(pa.int64()))], ["node", "grams"])
+
+    each = settle(texts.mapInArrow(sets, "node long, grams array<long>")).select("node", F.explode("grams").alias("gram"))
+    many = each.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram", F.lit(1).alias("again"))
+    return each.join(many.hint("shuffle_merge"), "gram", "left").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.count("again").alias("r"))
+
+
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75, bins: int = 128, bands: int = 32, star_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     docs = documents_only(documents)
@@ -211,8 +232,12 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75, bin
             star = here.join(centre, "bucket").where("node <> centre and component <> own" if turn else "node <> centre")
             confirm(star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
         else:
-            other = here.select("bucket", F.col("node").alias("other"), F.col("component").alias("theirs"))
-            confirm(here.join(other, "bucket").where("component < theirs").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
+            # What a pair can have in common at most is known before it is made.
+            sizes = settle(_overlaps(docs, here.select("node").distinct(), width))
+            here = settle(here.join(sizes.hint("shuffle_merge"), "node").where(f"100 * r >= {percent} * n"))
+            other = here.select("bucket", F.col("node").alias("other"), F.col("component").alias("theirs"), F.col("n").alias("n2"), F.col("r").alias("r2"))
+            possible = f"component < theirs and 100 * least(r, r2) >= {percent} * (n + n2 - least(r, r2))"
+            confirm(here.join(other, "bucket").where(possible).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
     links = [settle(reduce(DataFrame.union, links))]
     found = components(links[0])
     names = classes.select("set_hash", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_hash", F.coalesce("component", "doc_id").alias("component_id"))
