@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import forget, release, settle
+from tessera.llm._common import forget, release, settle, shuffle_parts
 
 #: Bytes whose counts are compared before a pair leaves the join.
 COUNTED = "etaonihrsdlcu.b "
@@ -70,10 +70,14 @@ def _differ(a: Column, b: Column) -> Column:
 
 
 def _common_length(a: str, b: str, at_most: str, from_end: bool) -> str:
-    """SQL: length of the common prefix (or suffix) of two binaries, by doubling steps downwards."""
-    part = "substring({x}, acc + 1, step)" if not from_end else "substring({x}, octet_length({x}) - acc - step + 1, step)"
+    """SQL: length of the common prefix (or suffix) of two binaries, by doubling steps downwards.
+
+    The limit goes into the start value, so that it is evaluated once and not at each step.
+    """
+    part = "substring({x}, s.at + 1, step)" if not from_end else "substring({x}, octet_length({x}) - s.at - step + 1, step)"
     same = f"{part.format(x=a)} = {part.format(x=b)}"
-    return f"aggregate(transform(sequence(0, 30), i -> shiftleft(1, 30 - i)), 0, (acc, step) -> if(acc + step <= {at_most} and {same}, acc + step, acc))"
+    steps = ", ".join(str(1 << k) for k in range(30, -1, -1))
+    return f"aggregate(array({steps}), named_struct('at', 0, 'most', {at_most}), (s, step) -> named_struct('at', if(s.at + step <= s.most and {same}, s.at + step, s.at), 'most', s.most), s -> s.at)"
 
 
 def _with_distance(pairs: DataFrame, edits: int) -> DataFrame:
@@ -85,7 +89,9 @@ def _with_distance(pairs: DataFrame, edits: int) -> DataFrame:
         out = out.withColumn(f"mid_{x}", F.expr(f"substring({x}, head + 1, octet_length({x}) - head - tail)"))
     out = out.withColumn("m", F.octet_length("mid_a")).withColumn("n", F.octet_length("mid_b"))
     pad = "X'" + "00" * edits + "'"
-    out = out.withColumn("padded", F.expr(f"concat({pad}, mid_a, {pad}, X'00')"))
+    out = out.withColumn("padded", F.expr(f"concat({pad}, mid_a, {pad}, X'00')")).drop("head", "tail", "mid_a")
+    # Written out: the automaton looks at these columns for each byte and must not make them anew each time.
+    out = settle(out).repartition(shuffle_parts(pairs.sparkSession))
     # Bit o of the word of byte j: does it equal byte j + o - edits of mid_a?
     bits = " + ".join(f"if(substring(padded, j + {o}, 1) = substring(mid_b, j, 1), {1 << o}, 0)" for o in range(band))
     match = f"transform(sequence(1, n), j -> {bits})"
