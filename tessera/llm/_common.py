@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,17 @@ def utf8(column: pa.Array) -> list:
     return column.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
 
 
+def text_slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int, list]]:
+    """Ranges of rows under ``limit`` bytes with their texts as bytes; no more than one range is held as objects."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths)
+    start = 0
+    while start < len(lengths):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, "right")))
+        yield start, stop, utf8(column.slice(start, stop - start))
+        start = stop
+
+
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import documents_only, forget, mix, release, rolling, settle, sha, shards_for, slices, utf8
+from tessera.llm._common import documents_only, forget, mix, release, rolling, settle, sha, shards_for, text_slices, utf8
 from tessera.llm.substring_dedup import DEALT, PACKED, deal, gathered, pack, places_of, unpack, widen
 
 GRAM = 48
@@ -51,6 +51,8 @@ PAIRWISE = 24
 RUN_ENTRIES = 60_000
 #: Bytes of text whose hashes are made at once (a longer text alone), and anchors that are packed together.
 SLICE_BYTES, PACK_ENTRIES = 1 << 20, 200_000
+#: Bytes of input whose suffixes one range holds, on average.
+SHARD_BYTES = 2 << 20
 
 _BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -90,7 +92,7 @@ def _layout(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _grams(documents: DataFrame, length: int, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy().astype(np.int64), utf8(batch.column(1))
+            ids = batch.column(0).to_numpy().astype(np.int64)
             held: list[tuple] = []
 
             def packed() -> pa.RecordBatch | None:
@@ -98,8 +100,8 @@ def _grams(documents: DataFrame, length: int, shards: int) -> DataFrame:
                 held.clear()
                 return pack(h, docs, places, ids, shards, 1)
 
-            for i, j in slices(texts, SLICE_BYTES):
-                data, starts, rest = _layout(texts[i:j])
+            for i, _, texts in text_slices(batch.column(1), SLICE_BYTES):
+                data, starts, rest = _layout(texts)
                 at, h = anchors_of(data, rest, length)
                 docs = np.searchsorted(starts, at, "right") - 1
                 held.append((h, docs + i, at - starts[docs]))
@@ -277,14 +279,14 @@ def _runs(anchored: DataFrame, length: int, shards: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _RUN)], schema=_RUN)
 
         for batch in batches:
-            ids, texts, places = batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()
-            for i, j in slices(texts, SLICE_BYTES):
-                data, starts, _ = _layout(texts[i:j])
-                at = [places_of(p) for p in places[i:j]]
+            ids = batch.column(0).to_pylist()
+            for i, j, texts in text_slices(batch.column(1), SLICE_BYTES):
+                data, starts, _ = _layout(texts)
+                at = [places_of(p) for p in batch.column(2).slice(i, j - i).to_pylist()]
                 flat = np.concatenate([a + s for a, s in zip(at, starts)])
                 codes = rolling(_BYTE_CODES[data], GRAM, 10) | np.uint64(1)
                 keys = iter([x.to_bytes(8, "big") for x in codes[flat].tolist()])
-                for doc, text, own in zip(ids[i:j], texts[i:j], at):
+                for doc, text, own in zip(ids[i:j], texts, at):
                     for p in own.tolist():
                         key, left = next(keys) + text[p : p + length], text[max(0, p - reach) : p][::-1]
                         was = held.setdefault((key, left), (doc, p))
@@ -368,7 +370,7 @@ def remove_repeats(documents: DataFrame, length: int = 100, keep_bytes: bool = F
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of every document."""
     assert length > GRAM
     docs = documents_only(documents)
-    spark, shards = docs.sparkSession, shards_for(docs)
+    spark, shards = docs.sparkSession, shards_for(docs, SHARD_BYTES)
     named = docs.where("doc_id is not null")
     anchors = settle(_recurring(_grams(named, length, shards), shards))
     release(spark)
