@@ -78,7 +78,7 @@ def anchors_of(data: np.ndarray, rest: np.ndarray, length: int) -> tuple[np.ndar
     pad = np.zeros(width - 1, np.uint64)
     most = sliding(np.concatenate([pad, least, pad]), width, np.maximum)
     at = np.flatnonzero(most == h)
-    return at, h[at]
+    return at, mix(h[at])  # least hashes are small ones: mixed again, they spread over all shards
 
 
 def _layout(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,7 +284,7 @@ def _runs(anchored: DataFrame, length: int, shards: int) -> DataFrame:
                 data, starts, _ = _layout(texts)
                 at = [places_of(p) for p in batch.column(2).slice(i, j - i).to_pylist()]
                 flat = np.concatenate([a + s for a, s in zip(at, starts)])
-                codes = rolling(_BYTE_CODES[data], GRAM, 10) | np.uint64(1)
+                codes = mix(rolling(_BYTE_CODES[data], GRAM, 10) | np.uint64(1))
                 keys = iter([x.to_bytes(8, "big") for x in codes[flat].tolist()])
                 for doc, text, own in zip(ids[i:j], texts, at):
                     for p in own.tolist():
