@@ -6,13 +6,16 @@
    letter three times or more, or comes as single letters in a row is a lattice:
    each character may stand for letters (leetspeak), for nothing (spacing), and a
    run of one letter for fewer of it (repetition), each at a channel cost.
-   Viterbi decoding under the language model gives the best readings.
+   Viterbi decoding under the language model gives the best readings.  A string
+   of more than 40 runs of characters may hold many words: it is read as its
+   letter pieces and its pieces between joints, and in overlapping windows in
+   which the lattice also places boundaries of words, over its whole length.
 3. The lexicon: words and word beginnings of labelled training texts, each with
    the Wilson lower bound of the share of toxic texts among those that hold it.
    Near-copies count once, and a bound far from chance is asked of an entry.
    A text's score is the noisy-or of the squared bounds of its three worst words,
    restored words among them: one sure word is enough, a weak one needs company,
-   and length alone adds nothing.
+   and length alone adds nothing.  Readings that overlap in a string are one word.
 
 The lexicon is learned from ``sample_rows`` labelled rows at most (the least
 hashes of doc_id) and keeps ``max_entries`` entries.
@@ -47,11 +50,13 @@ FILLERS = ".,-_~'`*^:;/\\#=​­·•"
 SYMBOL_COST, FILLER_COST, DROP_COST, REPEAT_COST, WILD_COST = 0.7, 0.3, 2.5, 0.5, 2.0
 READINGS, PATHS = 8, 4  # of a word, and kept for each pair of last letters
 TOP_WORDS = 3  # a score takes a text's worst words together
-LONGEST = 40  # runs of a longer string are no disguised word
+LONGEST = 40  # runs of a longer string are several words; also the runs of a window
 
 _EDGES = " \t\r\n.,;:!?\"'()[]{}<>«»“”‘’*_-~|%&#"
 _ODD = re.compile(r"(?=.*[^\W\d_])(?:.*[^\w]|.*[\d_]|.*(.)\1\1)", re.DOTALL)
 _RUNS = re.compile(r"(.)\1*", re.DOTALL)
+_LETTERS = re.compile(r"[^\W\d_]+")
+_CHUNKS = re.compile(r"(?:[^\W_]|[@$€£¡µ×])+"), re.compile(r"(?:[^\W_]|[@$€£¡µ×!|+(])+")  # marks as joints, and as letters
 _CODES = np.zeros(256, np.int64)
 _CODES[np.arange(97, 123)] = np.arange(1, 27)
 _CODES[np.arange(65, 91)] = np.arange(1, 27)
@@ -62,6 +67,10 @@ def collapsed(word: str) -> str:
     return _RUNS.sub(r"\1", word)
 
 
+def short(token: str) -> bool:
+    return len(token) <= LONGEST or sum(1 for _ in _RUNS.finditer(token)) <= LONGEST
+
+
 class CharacterModel:
     """Trigram costs (negative log probabilities) over boundary, a-z and other letters."""
 
@@ -82,22 +91,7 @@ class CharacterModel:
         """The best readings of a disguised word, best first."""
         states: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
         for m in _RUNS.finditer(token):
-            c, n = m[1], len(m[0])
-            options: list[tuple[str, float]] = []
-            if c.isalpha():
-                options.append((c, REPEAT_COST * (n > 1)))
-                if n > 1:
-                    options.append((c * 2, REPEAT_COST * (n > 2)))
-            for letter in DISGUISES.get(c, ""):
-                options.append((letter, SYMBOL_COST))
-                if n > 1:
-                    options.append((letter * 2, SYMBOL_COST))
-            if c in FILLERS:
-                options.append(("", FILLER_COST))
-                if c == "*" and n == 1:
-                    options += [(x, WILD_COST) for x in "aeiou"]
-            elif not c.isalpha() and (c not in DISGUISES or c in "!|(+"):
-                options.append(("", DROP_COST))
+            options = self.options(m[1], len(m[0]))
             new: dict[tuple[int, int], list[tuple[float, str]]] = {}
             for (a, b), paths in states.items():
                 for letters, price in options:
@@ -111,6 +105,71 @@ class CharacterModel:
         ends = sorted((cost + self.cost[a][b][0], out) for (a, b), paths in states.items() for cost, out in paths)
         return [out for _, out in ends[:READINGS] if out]
 
+    def words(self, token: str) -> list[tuple[int, int, tuple[str, ...]]]:
+        """(start, end, readings) of the words in a string of any length that may hold several.
+
+        Windows overlap by half, and a word that a window may cut is left to the next one.
+        """
+        runs = list(_RUNS.finditer(token))
+        spans: dict[tuple[int, int], None] = {}
+        for at in range(0, max(1, len(runs) - LONGEST // 2), LONGEST // 2):
+            part = runs[at : at + LONGEST]
+            for cuts in self.boundaries(part):
+                places = [part[0].start(), *cuts, part[-1].end()]
+                inner = list(zip(places, places[1:]))
+                if len(inner) > 1:
+                    inner = inner[at > 0 : len(inner) - (at + LONGEST < len(runs))]
+                spans.update(dict.fromkeys(inner))
+        return [(i, j, tuple(dict.fromkeys(map(collapsed, self.restore(token[i:j]))))) for i, j in spans]
+
+    def boundaries(self, runs: list[re.Match]) -> list[tuple[int, ...]]:
+        """The likeliest divisions of a window's runs into words, as the places where a further word begins."""
+        cost = self.cost
+        states: dict[tuple[int, int], list[tuple[float, tuple[int, ...]]]] = {(0, 0): [(0.0, ())]}
+        for m in runs:
+            new: dict[tuple[int, int], dict[tuple[int, ...], float]] = {}
+            for (a, b), paths in states.items():
+                for letters, price in self.options(m[1], len(m[0])):
+                    divided = [(letters, None)]
+                    if b and letters:
+                        divided.append((" " + letters, m.start()))
+                    if len(letters) == 2:
+                        divided.append((letters[0] + " " + letters[1], m.end() - 1))
+                    for signs, cut in divided:
+                        x, y, added = a, b, price
+                        for sign in signs:
+                            z = 0 if sign == " " else self.code(sign)
+                            added += cost[x][y][z]
+                            x, y = y, z
+                        best = new.setdefault((x, y), {})
+                        for c, cuts in paths:
+                            cuts = cuts if cut is None else (*cuts, cut)
+                            if c + added < best.get(cuts, math.inf):
+                                best[cuts] = c + added
+            states = {s: sorted((c, cuts) for cuts, c in best.items())[:PATHS] for s, best in new.items()}
+        ends = sorted((c + cost[a][b][0], cuts) for (a, b), paths in states.items() for c, cuts in paths)
+        return list(dict.fromkeys(cuts for _, cuts in ends))[:READINGS]
+
+    @staticmethod
+    def options(c: str, n: int) -> list[tuple[str, float]]:
+        """What a run of n equal characters may stand for, and its price."""
+        options: list[tuple[str, float]] = []
+        if c.isalpha():
+            options.append((c, REPEAT_COST * (n > 1)))
+            if n > 1:
+                options.append((c * 2, REPEAT_COST * (n > 2)))
+        for letter in DISGUISES.get(c, ""):
+            options.append((letter, SYMBOL_COST))
+            if n > 1:
+                options.append((letter * 2, SYMBOL_COST))
+        if c in FILLERS:
+            options.append(("", FILLER_COST))
+            if c == "*" and n == 1:
+                options += [(x, WILD_COST) for x in "aeiou"]
+        elif not c.isalpha() and (c not in DISGUISES or c in "!|(+"):
+            options.append(("", DROP_COST))
+        return options
+
 
 def readings(text: str, model: CharacterModel, cache: dict) -> set[str]:
     """All distinct words of a text, restored."""
@@ -119,7 +178,9 @@ def readings(text: str, model: CharacterModel, cache: dict) -> set[str]:
     for w in set(words):
         known = cache.get(w)
         if known is None:
-            known = cache[w] = restored(w, model)
+            known = restored(w, model)
+            if len(w) <= 4 * LONGEST:
+                cache[w] = known
             if len(cache) > 300_000:
                 cache.clear()
         out.update(known)
@@ -130,14 +191,42 @@ def readings(text: str, model: CharacterModel, cache: dict) -> set[str]:
 
 def restored(word: str, model: CharacterModel) -> tuple[str, ...]:
     """The readings of one word in lower case, without repeated letters."""
+    return tuple(dict.fromkeys(x for _, _, found in spans(word, model) for x in found))
+
+
+def spans(word: str, model: CharacterModel) -> list[tuple[int, int, tuple[str, ...]]]:
+    """(start, end, readings) of a word in lower case and of the words inside it, without repeated letters.
+
+    Spans that overlap are different readings of the same characters.
+    """
     bare = word.strip(_EDGES)
     found = [collapsed(bare)] if bare.isalpha() else []
     for x in {word.strip(_EDGES.replace("!", "").replace("|", "").replace("(", "")), bare}:
-        if len(x) <= LONGEST and _ODD.match(x):
+        if short(x) and _ODD.match(x):
             found += map(collapsed, model.restore(x))
+    out = [(0, len(bare), tuple(dict.fromkeys(found)))] if found else []
     if not found and not bare.isalpha():
-        found = [collapsed(x) for x in re.findall(r"[^\W\d_]+", bare[: 4 * LONGEST])]
-    return tuple(dict.fromkeys(found))
+        out += [(m.start(), m.end(), (collapsed(m[0]),)) for m in _LETTERS.finditer(bare)]
+    if not short(bare):
+        for chunks in _CHUNKS:
+            for m in chunks.finditer(bare):
+                if short(m[0]) and _ODD.match(m[0]):
+                    out.append((*m.span(), tuple(dict.fromkeys(map(collapsed, model.restore(m[0]))))))
+        out += model.words(bare)
+    return list(dict.fromkeys(out))
+
+
+def apart(hits: list[tuple[int, int, float, str]]) -> list[tuple[float, str]]:
+    """The highest of the (start, end, bound, word) that do not overlap; of equal ones the shorter."""
+    taken: list[tuple[int, int]] = []
+    out = []
+    for i, j, bound, word in sorted(hits, key=lambda h: (-h[2], h[1] - h[0], h)):
+        if all(j <= a or b <= i for a, b in taken):
+            taken.append((i, j))
+            out.append((bound, word))
+            if len({w for _, w in out}) == TOP_WORDS:
+                break
+    return out
 
 
 def spelled(words: list[str]) -> list[str]:
@@ -266,12 +355,15 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float =
     entries = lexicon(docs, labels.where(~held_out("doc_id", 4, 2)), "toxic", model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[str, tuple[float, str]] = {}
+        memory: dict[str, list[tuple[float, str]]] = {}
         nothing = (0.0, "")
 
         def worst(words) -> tuple[float, str]:
             return max(((entries.get(f, 0.0), w) for w in words for f in features(w)), default=nothing)
 
+        def hits_of(found) -> list[tuple[float, str]]:
+            return apart([(i, j, *hit) for i, j, words in found if (hit := worst(words))[0]])
+
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
@@ -280,9 +372,10 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float =
                 for w in set(words):
                     found = memory.get(w)
                     if found is None:
-                        found = memory[w] = worst(restored(w, model))
-                    if found[0]:
-                        hits.append(found)
+                        found = hits_of(spans(w, model))
+                        if len(w) <= 4 * LONGEST:
+                            memory[w] = found
+                    hits += found
                 hits += [found for token in spelled(words) if (found := worst(map(collapsed, model.restore(token))))[0]]
                 hits = sorted(set(hits), reverse=True)
                 if len(memory) > 400_000:

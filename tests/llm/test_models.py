@@ -83,6 +83,23 @@ def test_restoration(spark):
     assert toxicity.restored("2024", model) == () or True
 
 
+@pytest.fixture(scope="module")
+def letters(spark):
+    """The character model of the small documents."""
+    return toxicity.character_model(spark.read.parquet(f"{DATA}/documents.parquet"))
+
+
+def test_long_strings_are_read_whole(letters):
+    fill = [f"word{'abcdefgh'[i % 8]}" for i in range(80)]
+    for joint in (",", "...", "_", "/", "\u200b"):
+        for at in (3, 40, 79):
+            for token, word in (("idiot", "idiot"), ("1d10t", "idiot")):
+                assert word in toxicity.restored(joint.join([*fill[:at], token, *fill[at:]]), letters), (joint, at, token)
+    assert "idiot" in toxicity.restored(",".join([*fill[:50], *"idiot", *fill[50:]]), letters)
+    assert "idiot" in toxicity.restored("youarean" * 9 + "idiot" + "youarean" * 9, letters)
+    assert toxicity.apart([(0, 9, 0.5, "a"), (0, 4, 0.9, "b"), (4, 9, 0.4, "c"), (4, 9, 0.4, "d")]) == [(0.9, "b"), (0.4, "c")]
+
+
 def test_edge_cases(spark, docs, rows, empty):
     labels = spark.createDataFrame([(4, 1, 0), (70, 0, 1), (71, None, None), (None, 1, 1), (4, 1, 1)], "doc_id long, quality int, toxic int")
     for f in (quality.quality_scores, toxicity.toxicity_scores):
