@@ -10,6 +10,7 @@
    of more than 40 runs of characters may hold many words: it is read as its
    letter pieces and its pieces between joints, and in overlapping windows in
    which the lattice also places boundaries of words, over its whole length.
+   Single letters in a row, however many, are read in the same windows.
 3. The lexicon: words and word beginnings of labelled training texts, each with
    the Wilson lower bound of the share of toxic texts among those that hold it.
    Near-copies count once, and a bound far from chance is asked of an entry.
@@ -31,6 +32,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +52,14 @@ FILLERS = ".,-_~'`*^:;/\\#=​­·•"
 SYMBOL_COST, FILLER_COST, DROP_COST, REPEAT_COST, WILD_COST = 0.7, 0.3, 2.5, 0.5, 2.0
 READINGS, PATHS = 8, 4  # of a word, and kept for each pair of last letters
 TOP_WORDS = 3  # a score takes a text's worst words together
-LONGEST = 40  # runs of a longer string are several words; also the runs of a window
+LONGEST = 40  # runs of a disguised word; a longer string is several words
+WINDOW = 1000  # runs of a long string that are divided at once
+BEAM, MARGIN = 10.0, 5.0  # what a word in hand, and a whole division, may cost more than the best
 
 _EDGES = " \t\r\n.,;:!?\"'()[]{}<>«»“”‘’*_-~|%&#"
 _ODD = re.compile(r"(?=.*[^\W\d_])(?:.*[^\w]|.*[\d_]|.*(.)\1\1)", re.DOTALL)
 _RUNS = re.compile(r"(.)\1*", re.DOTALL)
+_OTHERS = re.compile(r"[^\W\d_a-z]{4,}")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CHUNKS = re.compile(r"(?:[^\W_]|[@$€£¡µ×])+"), re.compile(r"(?:[^\W_]|[@$€£¡µ×!|+(])+")  # marks as joints, and as letters
 _CODES = np.zeros(256, np.int64)
@@ -68,7 +73,20 @@ def collapsed(word: str) -> str:
 
 
 def short(token: str) -> bool:
-    return len(token) <= LONGEST or sum(1 for _ in _RUNS.finditer(token)) <= LONGEST
+    return len(token) <= LONGEST or len(list(islice(_RUNS.finditer(token), LONGEST + 1))) <= LONGEST
+
+
+def windows(token: str, start: int, end: int) -> Iterator[tuple[list[re.Match], bool, bool]]:
+    """The runs of a part of a string in windows that overlap by 2 * LONGEST, and whether one is the first or the last."""
+    part: list[re.Match] = []
+    first = True
+    for m in _RUNS.finditer(token, start, end):
+        if len(part) == WINDOW:
+            yield part, first, False
+            part, first = part[-2 * LONGEST :], False
+        part.append(m)
+    if part:
+        yield part, first, True
 
 
 class CharacterModel:
@@ -108,47 +126,78 @@ class CharacterModel:
     def words(self, token: str) -> list[tuple[int, int, tuple[str, ...]]]:
         """(start, end, readings) of the words in a string of any length that may hold several.
 
-        Windows overlap by half, and a word that a window may cut is left to the next one.
+        Windows overlap by more than a word, and a word that a window may cut is left to the other one.
+        Letters outside a-z are one sign to the model, which can't tell words among them: four in a row stay together.
         """
-        runs = list(_RUNS.finditer(token))
-        spans: dict[tuple[int, int], None] = {}
-        for at in range(0, max(1, len(runs) - LONGEST // 2), LONGEST // 2):
-            part = runs[at : at + LONGEST]
-            for cuts in self.boundaries(part):
-                places = [part[0].start(), *cuts, part[-1].end()]
-                inner = list(zip(places, places[1:]))
-                if len(inner) > 1:
-                    inner = inner[at > 0 : len(inner) - (at + LONGEST < len(runs))]
-                spans.update(dict.fromkeys(inner))
-        return [(i, j, tuple(dict.fromkeys(map(collapsed, self.restore(token[i:j]))))) for i, j in spans]
-
-    def boundaries(self, runs: list[re.Match]) -> list[tuple[int, ...]]:
-        """The likeliest divisions of a window's runs into words, as the places where a further word begins."""
+        spans: dict[tuple[int, int], None] = {(0, len(token)): None} if short(token) else {}
+        at = 0
+        for m in [*_OTHERS.finditer(token), None]:
+            for part, first, last in windows(token, at, m.start() if m else len(token)):
+                low, high = part[0].start(), part[-1].end()
+                spans.update(dict.fromkeys((i, j) for i, j in self.divided(part) if (first or i > low) and (last or j < high)))
+            if m:
+                at = m.end()
+                spans[m.span()] = None
+        found = ((i, j, (collapsed(x),) if _OTHERS.fullmatch(x) else tuple(dict.fromkeys(map(collapsed, self.restore(x))))) for i, j in spans for x in [token[i:j]])
+        return [f for f in found if f[2]]
+
+    def divided(self, runs: list[re.Match]) -> list[tuple[int, int]]:
+        """The words of all divisions of the runs into words that cost little more than the best one."""
         cost = self.cost
-        states: dict[tuple[int, int], list[tuple[float, tuple[int, ...]]]] = {(0, 0): [(0.0, ())]}
-        for m in runs:
-            new: dict[tuple[int, int], dict[tuple[int, ...], float]] = {}
-            for (a, b), paths in states.items():
-                for letters, price in self.options(m[1], len(m[0])):
-                    divided = [(letters, None)]
-                    if b and letters:
-                        divided.append((" " + letters, m.start()))
+        ends: dict[int, tuple[float, int]] = {runs[0].start(): (0.0, 0)}  # place: least cost of a boundary there, letter before it
+        begun: dict[int, int] = {}
+        arcs: dict[tuple[int, int], float] = {}
+        active: dict[tuple[int, int, int], float] = {}  # (place of the word's start, last two letters): cost
+
+        def end(place: int, hypotheses: dict[tuple[int, int, int], float], last: bool = False) -> None:
+            for (start, x, y), c in hypotheses.items():
+                if y or last:
+                    c += cost[x][y][0] if y else 0.0
+                    arcs[start, place] = min(arcs.get((start, place), math.inf), c - ends[start][0])
+                    if place not in ends or c < ends[place][0]:
+                        ends[place] = c, y
+
+        def moved(hypotheses: dict[tuple[int, int, int], float], letters: str, price: float, out: dict) -> None:
+            for (start, x, y), c in hypotheses.items():
+                if y and k - begun[start] >= LONGEST if letters else k and k == begun[start]:
+                    continue  # too long, or a word that would begin with a mark
+                c += price
+                for letter in letters:
+                    z = self.code(letter)
+                    c += cost[x][y][z]
+                    x, y = y, z
+                if c < out.get((start, x, y), math.inf):
+                    out[start, x, y] = c
+
+        for k, m in enumerate(runs):
+            if m.start() in ends:
+                begun[m.start()] = k
+                c, letter = ends[m.start()]
+                active[m.start(), letter, 0] = c
+            new: dict[tuple[int, int, int], float] = {}
+            inside = m.end() - 1
+            halves: dict[tuple[int, int, int], float] = {}
+            options = self.options(m[1], len(m[0]))
+            for letters, price in options:
+                moved(active, letters, price, new)
+                if len(letters) == 2:
+                    moved(active, letters[0], price, halves)
+            if halves:  # one word ends with the letter, the next begins with it
+                end(inside, halves)
+                begun[inside] = k
+                for letters, _ in options:
                     if len(letters) == 2:
-                        divided.append((letters[0] + " " + letters[1], m.end() - 1))
-                    for signs, cut in divided:
-                        x, y, added = a, b, price
-                        for sign in signs:
-                            z = 0 if sign == " " else self.code(sign)
-                            added += cost[x][y][z]
-                            x, y = y, z
-                        best = new.setdefault((x, y), {})
-                        for c, cuts in paths:
-                            cuts = cuts if cut is None else (*cuts, cut)
-                            if c + added < best.get(cuts, math.inf):
-                                best[cuts] = c + added
-            states = {s: sorted((c, cuts) for cuts, c in best.items())[:PATHS] for s, best in new.items()}
-        ends = sorted((c + cost[a][b][0], cuts) for (a, b), paths in states.items() for c, cuts in paths)
-        return list(dict.fromkeys(cuts for _, cuts in ends))[:READINGS]
+                        moved({(inside, ends[inside][1], 0): ends[inside][0]}, letters[0], 0.0, new)
+            least = min(new.values()) + BEAM
+            active = {h: c for h, c in new.items() if c <= least}
+            end(m.end(), active, k == len(runs) - 1)
+        rest = {runs[-1].end(): 0.0}
+        into = sorted(arcs.items(), key=lambda a: -a[0][1])
+        for (start, place), c in into:
+            if place in rest:
+                rest[start] = min(rest.get(start, math.inf), c + rest[place])
+        best = rest[runs[0].start()] + MARGIN
+        return [(i, j) for (i, j), c in into if j in rest and ends[i][0] + c + rest[j] <= best]
 
     @staticmethod
     def options(c: str, n: int) -> list[tuple[str, float]]:
@@ -185,7 +234,7 @@ def readings(text: str, model: CharacterModel, cache: dict) -> set[str]:
                 cache.clear()
         out.update(known)
     for token in spelled(words):
-        out.update(map(collapsed, model.restore(token)))
+        out.update(x for _, _, found in model.words(token) for x in found)
     return out
 
 
@@ -230,16 +279,21 @@ def apart(hits: list[tuple[int, int, float, str]]) -> list[tuple[float, str]]:
 
 
 def spelled(words: list[str]) -> list[str]:
-    """Words that are spelled out as single characters in a row."""
+    """What is spelled out as single characters in a row, of any length; marks at a character stay as a filler."""
     out, run = [], []
-    if sum(len(w) == 1 for w in words) < 3:
-        return out
     for w in [*words, "  "]:
-        if len(w) == 1:
-            run.append(w)
+        bare = w if len(w) == 1 else w.strip(_EDGES)
+        if len(bare) == 1:
+            if run and w[0] != bare:
+                run.append(".")
+            run.append(bare)
+            if w[-1] != bare:
+                run.append(".")
             continue
-        if 3 <= len(run) <= LONGEST:
-            out.append("".join(run))
+        if len(run) >= 3:
+            token = "".join(run).strip(".")
+            if len(token.replace(".", "")) >= 3:
+                out.append(token)
         run = []
     return out
 
@@ -376,7 +430,8 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float =
                         if len(w) <= 4 * LONGEST:
                             memory[w] = found
                     hits += found
-                hits += [found for token in spelled(words) if (found := worst(map(collapsed, model.restore(token))))[0]]
+                for token in spelled(words):
+                    hits += hits_of(model.words(token))
                 hits = sorted(set(hits), reverse=True)
                 if len(memory) > 400_000:
                     memory.clear()

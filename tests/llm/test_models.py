@@ -97,9 +97,24 @@ def test_long_strings_are_read_whole(letters):
                 assert word in toxicity.restored(joint.join([*fill[:at], token, *fill[at:]]), letters), (joint, at, token)
     assert "idiot" in toxicity.restored(",".join([*fill[:50], *"idiot", *fill[50:]]), letters)
     assert "idiot" in toxicity.restored("youarean" * 9 + "idiot" + "youarean" * 9, letters)
+    assert "idiot" in toxicity.restored("x" + "-." * 60 + "idiot" + ".-" * 60 + "x", letters)
+    for text in ("-." * 60, "日本語テキスト。" * 30, "ab12" * 600, "(c" * 60):
+        letters.words(text)
     assert toxicity.apart([(0, 9, 0.5, "a"), (0, 4, 0.9, "b"), (4, 9, 0.4, "c"), (4, 9, 0.4, "d")]) == [(0.9, "b"), (0.4, "c")]
 
 
+def test_spelled_runs_hold_words(letters):
+    def found(text):
+        return toxicity.readings(text, letters, {})
+
+    for text, word in (("what a l o s e r", "loser"), ("y o u i d i o t", "idiot"), ("l o s e r.", "loser"), ("so (i d i o t) it is", "idiot"), ("y o u 1 d 1 0 t", "idiot")):
+        assert word in found(text), text
+    for before in (0, 2, 3, 7):
+        text = "y o u a r e " * before + "a n i d i o t " + "a n d t h e y a r e " * 5
+        assert "idiot" in found(text), before
+    assert toxicity.spelled("l o s e r.".split()) == ["loser"] and toxicity.spelled("a b".split()) == []
+
+
 def test_edge_cases(spark, docs, rows, empty):
     labels = spark.createDataFrame([(4, 1, 0), (70, 0, 1), (71, None, None), (None, 1, 1), (4, 1, 1)], "doc_id long, quality int, toxic int")
     for f in (quality.quality_scores, toxicity.toxicity_scores):
