@@ -2,15 +2,16 @@
 
 1. A character language model: trigram counts over the letters of all
    documents, summed per slice and then over the corpus.
-2. Restoration: a word that mixes letters with digits or symbols, repeats a
-   letter three times or more, or comes as single letters in a row is a lattice:
+2. Restoration: a word with digits or symbols that may stand for letters, one that
+   repeats a letter three times or more, or single letters in a row are a lattice:
    each character may stand for letters (leetspeak), for nothing (spacing), and a
    run of one letter for fewer of it (repetition), each at a channel cost.
    Viterbi decoding under the language model gives the best readings.  A string
-   of more than 40 runs of characters may hold many words: it is read as its
-   letter pieces and its pieces between joints, and in overlapping windows in
-   which the lattice also places boundaries of words, over its whole length.
-   Single letters in a row, however many, are read in the same windows.
+   with marks inside is also read as its letter pieces and its pieces between
+   the marks.  A string of more than 40 runs of characters may hold many words: it
+   is also read in overlapping windows in which the lattice places boundaries of
+   words, over its whole length.  Single letters in a row, however many, are read
+   in the same windows.
 3. The lexicon: words and word beginnings of labelled training texts, each with
    the Wilson lower bound of the share of toxic texts among those that hold it.
    Near-copies count once, and a bound far from chance is asked of an entry.
@@ -57,7 +58,7 @@ WINDOW = 1000  # runs of a long string that are divided at once
 BEAM, MARGIN = 10.0, 5.0  # what a word in hand, and a whole division, may cost more than the best
 
 _EDGES = " \t\r\n.,;:!?\"'()[]{}<>«»“”‘’*_-~|%&#"
-_ODD = re.compile(r"(?=.*[^\W\d_])(?:.*[^\w]|.*[\d_]|.*(.)\1\1)", re.DOTALL)
+_ODD = re.compile(rf"(?=.*[^\W\d_]|.*[{re.escape(''.join(DISGUISES))}])(?:.*[^\w]|.*[\d_]|.*(.)\1\1)", re.DOTALL)
 _RUNS = re.compile(r"(.)\1*", re.DOTALL)
 _OTHERS = re.compile(r"[^\W\d_a-z]{4,}")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -254,13 +255,15 @@ def spans(word: str, model: CharacterModel) -> list[tuple[int, int, tuple[str, .
         if short(x) and _ODD.match(x):
             found += map(collapsed, model.restore(x))
     out = [(0, len(bare), tuple(dict.fromkeys(found)))] if found else []
-    if not found and not bare.isalpha():
-        out += [(m.start(), m.end(), (collapsed(m[0]),)) for m in _LETTERS.finditer(bare)]
-    if not short(bare):
-        for chunks in _CHUNKS:
-            for m in chunks.finditer(bare):
-                if short(m[0]) and _ODD.match(m[0]):
-                    out.append((*m.span(), tuple(dict.fromkeys(map(collapsed, model.restore(m[0]))))))
+    if bare.isalpha() and short(bare):
+        return out
+    out += [(m.start(), m.end(), (collapsed(m[0]),)) for m in _LETTERS.finditer(bare)]
+    for chunks in _CHUNKS:
+        parts = list(chunks.finditer(bare))
+        for m in parts if len(parts) > 1 else ():
+            if short(m[0]) and _ODD.match(m[0]):
+                out.append((*m.span(), tuple(dict.fromkeys(map(collapsed, model.restore(m[0]))))))
+    if not short(bare) or sum(len(m[0]) == 1 for m in parts) >= 3:
         out += model.words(bare)
     return list(dict.fromkeys(out))
 

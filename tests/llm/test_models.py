@@ -115,6 +115,12 @@ def test_spelled_runs_hold_words(letters):
     assert toxicity.spelled("l o s e r.".split()) == ["loser"] and toxicity.spelled("a b".split()) == []
 
 
+def test_pieces_between_marks_are_read(letters):
+    tokens = [(x, "idiot") for x in ("you,idiot", "end.Idiot", "nice/idiot", "word—idiot", "my2idiot", "you,1d10t", "wow!1d10t", "y,o,u,i,d,i,o,t")]
+    for token, word in [*tokens, ("4$$", "as"), ("455", "as"), ("i.d.i.o.t", "idiot")]:
+        assert word in toxicity.restored(token.lower(), letters), token
+
+
 def test_edge_cases(spark, docs, rows, empty):
     labels = spark.createDataFrame([(4, 1, 0), (70, 0, 1), (71, None, None), (None, 1, 1), (4, 1, 1)], "doc_id long, quality int, toxic int")
     for f in (quality.quality_scores, toxicity.toxicity_scores):
