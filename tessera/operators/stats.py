@@ -64,11 +64,19 @@ def sorensen(presence: DataFrame, entity: str, item: str) -> DataFrame:
 
 
 def within_between(distances: DataFrame, groups: DataFrame, entity: str, group: str) -> DataFrame:
-    """One row: mean distance within groups and between them, and the gap."""
-    g = groups.select(entity, group)
+    """One row: mean distance within groups and between them, and the gap, over all pairs of the entities of ``groups``.
+
+    Pairs without a row in ``distances`` have distance 1 and are only counted; a mean of no pairs is null.
+    """
+    g = groups.select(entity, group).na.drop()
     rows = distances.join(g.toDF("i", "g_i"), "i").join(g.toDF("j", "g_j"), "j")
-    same = F.col("g_i") == F.col("g_j")
-    return rows.agg(F.avg(F.when(same, F.col("distance"))).alias("within"), F.avg(F.when(~same, F.col("distance"))).alias("between")).withColumn("gap", F.col("between") - F.col("within"))
+    same, nearer = F.col("g_i") == F.col("g_j"), F.col("distance") - 1
+    sums = rows.agg(F.coalesce(F.sum(F.when(same, nearer)), F.lit(0.0)).alias("_w"), F.coalesce(F.sum(F.when(~same, nearer)), F.lit(0.0)).alias("_b"))
+    m = g.groupBy(group).agg(F.count(F.lit(1)).alias("m"))
+    pairs = m.agg(F.sum(F.expr("m * (m - 1) div 2")).alias("_inside"), F.expr("sum(m) * (sum(m) - 1) div 2").alias("_all")).withColumn("_across", F.col("_all") - F.col("_inside"))
+    out = sums.crossJoin(pairs)  # one row each
+    mean = lambda nearer, n: F.when(F.col(n) > 0, 1 + F.try_divide(nearer, n))
+    return out.select(mean("_w", "_inside").alias("within"), mean("_b", "_across").alias("between")).withColumn("gap", F.col("between") - F.col("within"))
 
 
 def rarefied(counts: DataFrame, sample: str, kind: str, n: str, depth: int) -> DataFrame:
@@ -94,24 +102,30 @@ def rarefied(counts: DataFrame, sample: str, kind: str, n: str, depth: int) -> D
 
 
 def permanova(distances: DataFrame, groups: DataFrame, entity: str, group: str, permutations: int = 199, seed: int = 42) -> DataFrame:
-    """One row: F, R2 and the permutation p of a grouping, from squared distances of all pairs.
+    """One row: F, R2 and the permutation p of a grouping, from squared distances of all pairs of the entities of ``groups``.
 
+    Pairs without a row in ``distances`` have distance 1.  They are summed in closed form: with all distances 1 the sums
+    of squares are (n - 1) / 2 in total and (n - g) / 2 within, and the rows' differences from 1 are added.
     Each permutation is a deal of the group labels by hash; all of them are
     summed in one join of pairs and labels.
     """
+    groups = groups.select(entity, group).na.drop()
     sizes = groups.groupBy(group).agg(F.count(F.lit(1)).alias("_m"))
     order = F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", entity), entity))
     reps = F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("rep")
     base = groups.select(entity, group, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(group, entity)).alias("_slot"))
     dealt = groups.select(entity, reps).withColumn("_slot", order)
     labels = dealt.where("rep > 0").join(base.select("_slot", group), "_slot").select("rep", entity, group).union(base.select(F.lit(0).alias("rep"), entity, group))
-    pairs = distances.select("i", "j", (F.col("distance") ** 2).alias("_d2"))
+    pairs = distances.select("i", "j", (F.col("distance") ** 2 - 1).alias("_d2"))
     rows = pairs.join(labels.toDF("rep", "i", "g_i"), "i").join(labels.toDF("rep", "j", "g_j"), ["rep", "j"])
-    inside = rows.where("g_i = g_j").join(sizes.toDF("g_i", "_m"), "g_i").groupBy("rep").agg(F.sum(F.col("_d2") / F.col("_m")).alias("within"))
+    inside = rows.where("g_i = g_j").join(sizes.toDF("g_i", "_m"), "g_i").groupBy("rep").agg(F.sum(F.col("_d2") / F.col("_m")).alias("_w"))
     shape = groups.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(group).alias("g"))
-    total = pairs.agg(F.sum("_d2").alias("_t")).crossJoin(shape).select((F.col("_t") / F.col("n")).alias("total"), "n", "g")  # one row each
+    known = pairs.join(groups.select(F.col(entity).alias("i")), "i").join(groups.select(F.col(entity).alias("j")), "j")
+    total = known.agg(F.coalesce(F.sum("_d2"), F.lit(0.0)).alias("_t")).crossJoin(shape).select(((F.col("n") - 1) / 2 + F.try_divide("_t", "n")).alias("total"), "n", "g")  # one row each
     f = ((F.col("total") - F.col("within")) / (F.col("g") - 1)) / (F.col("within") / (F.col("n") - F.col("g")))
-    stat = inside.crossJoin(F.broadcast(total)).withColumn("f", f).withColumn("r2", 1 - F.col("within") / F.col("total"))
+    all_reps = groups.sparkSession.range(permutations + 1).select(F.col("id").cast("int").alias("rep")).join(inside, "rep", "left")
+    sums = all_reps.crossJoin(F.broadcast(total)).withColumn("within", (F.col("n") - F.col("g")) / 2 + F.coalesce("_w", F.lit(0.0)))
+    stat = sums.withColumn("f", f).withColumn("r2", 1 - F.col("within") / F.col("total"))
     seen = stat.where("rep = 0").select(F.col("f").alias("pseudo_f"), "r2")
     above = stat.crossJoin(F.broadcast(seen.select("pseudo_f"))).agg(F.count_if((F.col("rep") > 0) & (F.col("f") >= F.col("pseudo_f"))).alias("_above"))
     return seen.crossJoin(above).select("pseudo_f", "r2", ((F.col("_above") + 1) / (permutations + 1)).alias("p"))

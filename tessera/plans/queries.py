@@ -604,7 +604,7 @@ def rarefaction_expectation(t: Tables) -> DataFrame:
 
 @query()
 def permanova(t: Tables) -> DataFrame:
-    return stats.permanova(_distances(t), t.nation.select(F.col("n_nationkey").alias("entity"), F.col("n_regionkey").alias("g")), "entity", "g", 99)
+    return stats.permanova(_distances(t), t.nation.select(F.col("n_nationkey").alias("entity"), F.col("n_regionkey").alias("g")), "entity", "g", 999)
 
 
 @query()

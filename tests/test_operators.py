@@ -109,6 +109,31 @@ def test_rarefaction(spark):
     assert got["s"] == pytest.approx(1 + 2 / 3) and got["t"] is None
 
 
+def test_pairs_that_share_nothing_count(spark):
+    import itertools
+
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    group = {e: "xyz"[e % 3] for e in range(12)}
+    items = {e: {int(v) + 4 * (e % 3) for v in r.integers(0, 9, 3)} for e in group}
+    full = [(a, b, 1 - 2 * len(items[a] & items[b]) / (len(items[a]) + len(items[b]))) for a, b in itertools.combinations(group, 2)]
+    assert 10 < sum(d == 1 for *_, d in full) < 56
+    distances = stats.sorensen(spark.createDataFrame([(e, v) for e in group for v in items[e]], "e int, v int"), "e", "v")
+    groups = spark.createDataFrame(list(group.items()), "e int, g string")
+    got = stats.within_between(distances, groups, "e", "g").first()
+    same, other = ([d for a, b, d in full if (group[a] == group[b]) is s] for s in (True, False))
+    assert (got.within, got.between, got.gap) == pytest.approx((np.mean(same), np.mean(other), np.mean(other) - np.mean(same)))
+    within, total = sum(d * d for a, b, d in full if group[a] == group[b]) / 4, sum(d * d for *_, d in full) / 12
+    got = stats.permanova(distances, groups, "e", "g", 99).first()
+    assert (got.pseudo_f, got.r2) == pytest.approx(((total - within) / 2 / (within / 9), 1 - within / total))
+    every = stats.permanova(spark.createDataFrame(full, "i int, j int, distance double"), groups, "e", "g", 99).first()
+    assert tuple(got) == pytest.approx(tuple(every))
+    apart = spark.createDataFrame([(1, "p"), (2, "p"), (3, "q"), (4, "q")], "e int, g string")
+    near = spark.createDataFrame([(1, 2, 0.5)], "i int, j int, distance double")
+    assert tuple(stats.within_between(near, apart, "e", "g").first()) == pytest.approx((0.75, 1.0, 0.25))
+
+
 def test_checks_count_nulls_as_broken(spark):
     df = spark.createDataFrame([(1,), (None,)], "x int")
     assert rows(verify.row_checks(df, {"positive": F.col("x") > 0})) == [("positive", False, 1)]
