@@ -27,3 +27,116 @@ def test_run_gives_tokens(spark):
     out = corpus_pipeline.run(spark, DATA)
     r = out.first()
     assert r.n_tokens == len(r.ids) and out.select("doc_id").distinct().count() == out.count()
+
+
+def plain_lines(rows):
+    from collections import Counter
+
+    from tests.llm.test_dedup import edits
+
+    places, first = {}, {}
+    for i in sorted(rows):
+        for n, x in enumerate((rows[i][0] or "").split("\n")):
+            if x.strip(" "):
+                places[i, n] = x
+                first.setdefault(x, (i, n))
+    long_ones = sorted((x.encode() for x in first if len(x.encode()) >= 60), key=len)
+    counts = {x: Counter(x) for x in long_ones}
+    near = set()
+    for k, x in enumerate(long_ones):
+        for y in long_ones[k + 1 :]:
+            if len(y) > len(x) + 2:
+                break
+            if sum(((counts[x] - counts[y]) + (counts[y] - counts[x])).values()) <= 4 and edits(x, y) <= 2:
+                near.add(max(x.decode(), y.decode(), key=first.get))
+    out = {}
+    for i, (text, n_chars) in rows.items():
+        lines = (text or "").split("\n")
+        kept = [x for n, x in enumerate(lines) if (i, n) not in places or (first[x] == (i, n) and x not in near)]
+        if len(kept) == len(lines):
+            out[i] = text, n_chars
+        elif kept:
+            out[i] = "\n".join(kept), len("\n".join(kept))
+    return out
+
+
+def plain_near_duplicates(rows):
+    sets, root = {}, {i: i for i in rows}
+    for i, (text, _) in rows.items():
+        w = (text or "").encode().lower().split()
+        sets[i] = {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and root[a] != root[b] and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {k: x if v == y else v for k, v in root.items()}
+    return {i: r for i, r in rows.items() if root[i] == i}
+
+
+def plain_decontaminate(rows, items):
+    import re
+
+    def words(text):
+        return re.findall(r"[^\W_]+", text.lower())
+
+    def grams(w, n):
+        return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+
+    def covered(a, b):
+        """Words of a under greedily marked longest matches of 4 words and more."""
+        least, a, b, total = min(4, len(a)), list(a), list(b), 0
+        while True:
+            best, before = (0, 0, 0), [0] * (len(b) + 1)
+            for i, x in enumerate(a):
+                now = [0] * (len(b) + 1)
+                for j, y in enumerate(b):
+                    if x is not None and x == y:
+                        now[j + 1] = before[j] + 1
+                        n = now[j + 1]
+                        best = max(best, (n, -(i - n + 1), -(j - n + 1)))
+                before = now
+            n, i, j = best[0], -best[1], -best[2]
+            if n < least or not n:
+                return total
+            a[i : i + n], b[j : j + n] = [None] * n, [None] * n
+            total += n
+
+    items = [words(x) for x in items if x and words(x)]
+    out = {}
+    for i, (text, n_chars) in rows.items():
+        w = words(text or "")
+        near = (x for x in items if grams(x, min(4, len(x))) & grams(w, min(4, len(x))))
+        if not any(covered(x, w) >= 0.6 * len(x) for x in near):
+            out[i] = text, n_chars
+    return out
+
+
+def test_stages_equal_plain_versions(spark):
+    import tokenizers
+
+    from tessera.llm.registry import tokenizer_files
+
+    def rows(df):
+        found = df.collect()
+        assert len({r.doc_id for r in found}) == len(found)
+        return {r.doc_id: (r.text, r.n_chars) for r in found}
+
+    items = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    plain = {1: plain_lines, 2: plain_near_duplicates, 3: lambda r: plain_decontaminate(r, items)}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        earlier, before = docs, rows(docs)
+        docs = corpus_pipeline.settle(stage(spark, docs, DATA))
+        after = rows(docs)
+        if k:
+            assert after == plain[k](before)
+            # with a near-copy, a leak and repeated lines among them, so that each stage has something to remove
+            text = max((t for t, _ in before.values()), key=len)
+            more = [(900_001, text + " more"), (900_002, f"Before it. {max(items, key=len)} After it."), (900_003, f"Something else.\n{text}")]
+            full = spark.createDataFrame([(i, t, "en", "planted", len(t)) for i, t in more], earlier.schema).union(earlier)
+            before = rows(full)
+            want = plain[k](before)
+            assert rows(stage(spark, full, DATA)) == want != before
+    library = tokenizers.Tokenizer.from_file(str(tokenizer_files()["json_path"]))
+    want = {i: library.encode(text or "", add_special_tokens=False).ids for i, (text, _) in after.items()}
+    assert {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, DATA).collect()} == want
