@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -126,11 +125,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The shuffle files of the write go as it ends, as nothing reads them any more.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(*frames: DataFrame) -> None:
@@ -162,8 +172,3 @@ def shards_for(df: DataFrame, shard_bytes: int = 8 << 20) -> int:
     """Shards that hold the entries of about ``shard_bytes`` of input each, so a shard's size doesn't grow with the input."""
     return max(shuffle_parts(df.sparkSession), min(1 << 20, -(-input_bytes(df) // shard_bytes)))
 
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished, unreferenced queries."""
-    gc.collect()
-    spark._jvm.System.gc()

@@ -14,20 +14,26 @@
    full sets and confirmed links give components.
 4. Exactness.  A bucket whose members are still in several components gets
    another star, about the heaviest member outside the components of its last
-   centres, and so on while buckets stay divided.  After ``star_rounds`` stars
-   the members left over are compared across components: pairs which no star
-   has tried, and which can reach the threshold by the shingles that each of
-   them shares with any other left over (a near-copy that was changed too much
-   has too few, whatever its group's size).  So every pair that shares a bucket
-   is tried, impossible, or in one component.
+   centres.  After ``star_rounds`` stars the members left over in divided buckets
+   are joined on the rarest shingles of their sets (prefix filter): every pair of
+   different components that can reach the threshold is tried, and what a large
+   group has in common brings no two of its members together.
+
+Losses: a pair that shares no bucket, unless both ends are left over.  A pair
+whose sketches agree in less than 0.75 less six deviations of the bins (0.52 of
+128) is not confirmed either: about 1 in 10 ** 9 for independent bins.  Sets of
+fewer shingles than bins fill the rest with copies, so their bins aren't
+independent; tests measure both against all pairs.
 
 A pair of similarity 0.75 shares none of 32 bands of 4 with probability
 (1 - 0.75 ** 4) ** 32 = 5e-6.
 
 Cases: a document without words (null, empty or blank text) has an empty set
 and is linked with nothing.  Every input row gives a row; repeated rows are
-copies of one another and share a component.  A null doc_id forms no class name:
-such a row is linked with nothing.  Other columns are ignored.
+copies of one another and share a component.  A doc_id with several texts is
+one document: it is linked with whatever any of them is linked with, and each
+row has its own n_shingles.  A null doc_id forms no class name: such a row is
+linked with nothing.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WordHash, documents_only, forget, mix, odd_multipliers, release, settle, slices, utf8
+from tessera.llm._common import WordHash, documents_only, forget, mix, odd_multipliers, settle, slices, utf8
 from tessera.llm._graph import components
 
 
@@ -121,7 +127,7 @@ def sketches(documents: DataFrame, width: int = 5, bins: int = 128, bands: int =
 
 def _likely(pairs: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
     """Pairs whose sketches agree in a share ``floor`` of the bins at least (six deviations under the threshold)."""
-    mark = classes.select("doc_id", "sketch")
+    mark = classes.select("node", "sketch")
     both = pairs.join(mark.toDF("a", "mark_a"), "a").join(mark.toDF("b", "mark_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,27 +139,32 @@ def _likely(pairs: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
     return both.select("a", "b", "mark_a", "mark_b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union, on the full sets of their texts."""
-    ends = pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id")
-    texts = documents.where("doc_id is not null and text is not null").join(ends.hint("shuffle_merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def _grams(documents: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, grams): the full set of each text of the nodes."""
+    texts = documents.where("doc_id is not null and text is not null").join(nodes.select(F.col("node").alias("doc_id")).hint("shuffle_merge"), "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
             texts = utf8(batch.column(1))
             for i, j in slices(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([shingles(t, hashes, width).tobytes() for t in texts[i:j]], pa.binary())], ["doc_id", "grams"])
+                grams = pa.array([shingles(t, hashes, width).view(np.int64) for t in texts[i:j]], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), grams], ["node", "grams"])
+
+    return texts.mapInArrow(sets, "node long, grams array<long>").where("size(grams) > 0")
 
-    full = settle(texts.mapInArrow(sets, "doc_id long, grams binary"))
-    release(documents.sparkSession)
+
+def _confirmed(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs with 100 * intersection >= percent * union, on the full sets of their texts."""
+    ends = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
+    full = settle(_grams(documents, ends, width))
     both = pairs.join(full.toDF("a", "grams_a"), "a").join(full.toDF("b", "grams_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("grams_a"), batch.column("grams_b")):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
                 small, large = (x, y) if len(x) < len(y) else (y, x)
                 at = np.searchsorted(large, small)
                 common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
@@ -162,27 +173,35 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, width: int, percent: int)
 
     out = settle(both.select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a long, b long"))
     forget(full)
-    release(documents.sparkSession)
     return out
 
 
-def _overlaps(documents: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, n, r): the size of each node's set, and how many of its shingles another of the nodes has as well.
+def _prefix_pairs(documents: DataFrame, left: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): the pairs of nodes of different components that the rarest shingles of both leave possible.
 
-    No two nodes can have more shingles in common than the lesser of their r.
+    left has node and component.  A set's shingles are put in order of the number of sets that hold them, rarest
+    first.  Two sets that reach the threshold share one among the first n - ceil(2p / (100 + p) n) + 1 of the smaller
+    and the first n - ceil(p / 100 n) + 1 of the larger, and so many after the first of these that the threshold can
+    still be met.  What a group of near-copies has in common comes last in that order, so its members don't meet there.
     """
-    texts = documents.where("doc_id is not null and text is not null").join(nodes.select(F.col("node").alias("doc_id")).hint("shuffle_merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
-        for batch in batches:
-            texts = utf8(batch.column(1))
-            for i, j in slices(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([shingles(t, hashes, width).view(np.int64) for t in texts[i:j]], pa.list_(pa.int64()))], ["node", "grams"])
-
-    each = settle(texts.mapInArrow(sets, "node long, grams array<long>")).select("node", F.explode("grams").alias("gram"))
-    many = each.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram", F.lit(1).alias("again"))
-    return each.join(many.hint("shuffle_merge"), "gram", "left").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.count("again").alias("r"))
+    full = settle(_grams(documents, left, width))
+    each = full.select("node", F.xxhash64("grams").alias("set"), F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    held = each.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    # A shingle of one set alone is in no pair: it takes its place before all others and needs no row.
+    kept = each.join(held.hint("shuffle_merge"), "gram").groupBy("node", "set", "n").agg(F.sort_array(F.collect_list(F.struct("k", "gram"))).alias("rare"))
+    probe = F.expr(f"n - int(ceil({percent} * n / 100)) + 1 - (n - size(rare))")
+    kept = settle(kept.withColumn("probed", probe).where("probed > 0").select("node", "set", "n", F.size("rare").alias("m"), F.slice("rare.gram", 1, F.col("probed")).alias("first")))
+    rows = kept.join(left, "node").select("node", "component", "set", "n", "m", F.posexplode("first").alias("i", "gram"))
+    # i shingles of several sets and n - m of this one alone come before.
+    index = rows.where(f"i <= m - int(ceil({2 * percent} * n / {100 + percent}))")
+    index = index.select("gram", F.col("node").alias("other"), F.col("component").alias("theirs"), F.col("set").alias("set2"), F.col("n").alias("n2"), F.expr("m - i").alias("rest2"))
+    least = F.least(F.expr("m - i"), F.col("rest2"))
+    fits = (100 + percent) * least >= percent * (F.col("n") + F.col("n2"))
+    order = (F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("set2") < F.col("set")))
+    possible = order & (F.col("component") != F.col("theirs")) & (100 * F.col("n2") >= percent * F.col("n")) & fits
+    pairs = settle(rows.join(index.hint("shuffle_merge"), "gram").where(possible).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+    forget(full, kept)
+    return pairs
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75, bins: int = 128, bands: int = 32, star_rounds: int = 2) -> DataFrame:
@@ -190,17 +209,22 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75, bin
     docs = documents_only(documents)
     sketched = settle(sketches(docs, width, bins, bands))
     named = sketched.where("set_hash is not null and doc_id is not null")
-    first = named.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"))
+    first = named.groupBy("set_hash").agg(F.min("doc_id").alias("node"))
     # Copies have the same sketch and buckets: the row of the class's first document stands for all.
-    classes = settle(named.select("set_hash", "doc_id", "sketch", "buckets").join(first, ["set_hash", "doc_id"], "left_semi").dropDuplicates(["doc_id"]))
-    member = classes.select(F.col("doc_id").alias("node"), F.explode("buckets").alias("bucket"))
+    classes = settle(named.select("set_hash", F.col("doc_id").alias("node"), "sketch", "buckets").join(first, ["set_hash", "node"], "left_semi").dropDuplicates(["set_hash"]))
+    # A doc_id with several texts is one node that belongs to the classes of all of them.
+    several = named.groupBy("doc_id").agg(F.min(F.xxhash64("set_hash")).alias("x"), F.max(F.xxhash64("set_hash")).alias("y")).where("x < y").select("doc_id")
+    of_several = named.select("doc_id", "set_hash").join(several, "doc_id", "left_semi").distinct().join(classes.select("set_hash", "node"), "set_hash")
+    links = [settle(of_several.where("doc_id <> node").select(F.least("doc_id", "node").alias("a"), F.greatest("doc_id", "node").alias("b")))]
+    member = classes.select("node", F.explode("buckets").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member = settle(member.join(shared.hint("shuffle_merge"), "bucket"))
     weight = settle(member.groupBy("node").agg(F.sum("n").alias("weight")))
+    shared_by = member
     member = settle(member.select("bucket", "node").join(weight.hint("shuffle_merge"), "node"))
+    forget(shared_by, weight)
 
     floor = max(0.0, percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / bins) ** 0.5)
-    links: list[DataFrame] = []
     tried: list[DataFrame] = []
 
     def confirm(pairs: DataFrame) -> None:
@@ -209,15 +233,16 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75, bin
             new = new.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
         new = settle(new)
         tried.append(new)
-        links.append(_confirmed(settle(_likely(new, classes, floor)), docs, width, percent))
+        likely = settle(_likely(new, classes, floor).distinct())
+        links.append(_confirmed(likely, docs, width, percent))
+        forget(likely)
 
     placed = member.withColumn("component", F.col("node"))
     divided = member.select("bucket").distinct()
     used = None
     for turn in range(star_rounds + 1):
         if turn:
-            links = [settle(reduce(DataFrame.union, links))]
-            found = components(links[0])
+            found = components(reduce(DataFrame.union, links))
             placed = settle(member.join(found, "node", "left").select("bucket", "node", "weight", F.coalesce("component", "node").alias("component")))
             divided = settle(placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket"))
             if divided.isEmpty():
@@ -232,15 +257,9 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75, bin
             star = here.join(centre, "bucket").where("node <> centre and component <> own" if turn else "node <> centre")
             confirm(star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
         else:
-            # What a pair can have in common at most is known before it is made.
-            sizes = settle(_overlaps(docs, here.select("node").distinct(), width))
-            here = settle(here.join(sizes.hint("shuffle_merge"), "node").where(f"100 * r >= {percent} * n"))
-            other = here.select("bucket", F.col("node").alias("other"), F.col("component").alias("theirs"), F.col("n").alias("n2"), F.col("r").alias("r2"))
-            possible = f"component < theirs and 100 * least(r, r2) >= {percent} * (n + n2 - least(r, r2))"
-            confirm(here.join(other, "bucket").where(possible).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
-    links = [settle(reduce(DataFrame.union, links))]
-    found = components(links[0])
-    names = classes.select("set_hash", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_hash", F.coalesce("component", "doc_id").alias("component_id"))
+            confirm(_prefix_pairs(docs, here.select("node", "component").distinct(), width, percent))
+    found = components(reduce(DataFrame.union, links))
+    names = classes.select("set_hash", "node").join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
     rows = sketched.select("doc_id", "n_shingles", "set_hash")
     linked = rows.where("set_hash is not null").join(names, "set_hash", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     alone = rows.where("set_hash is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

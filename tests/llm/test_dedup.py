@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import line_dedup, near_dup, substring_dedup, suffix_dedup
+from tests.llm.conftest import passage
 
 
 def named(rows):
@@ -64,17 +65,35 @@ def test_loser_tree_gives_the_order_and_prefixes(runs):
     assert all(n == suffix_dedup.common(keys[i - 1], keys[i]) for i, (_, n) in enumerate(out) if i)
 
 
-def test_near_duplicates(docs, rows, empty):
-    sets = {}
-    for i, t in named(rows):
-        w = (t or "").encode().lower().split()
-        sets[i] = frozenset([tuple(w)] if 0 < len(w) < 5 else (tuple(w[k : k + 5]) for k in range(len(w) - 4)))
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    return frozenset([tuple(w)] if 0 < len(w) < 5 else (tuple(w[k : k + 5]) for k in range(len(w) - 4)))
+
+
+def groups_by_hand(rows):
+    sets = {i: shingle_set(t) for i, t in rows if i is not None}
+    holders = {}
+    for i, s in sets.items():
+        for g in s:
+            holders.setdefault(g, []).append(i)
     root = {i: i for i in sets}
-    for a in sorted(sets):
-        for b in sorted(sets):
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                x, y = sorted((root[a], root[b]))
-                root = {k: x if v == y else v for k, v in root.items()}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in sets.items():
+        for j in {j for g in s for j in holders[g] if j > i}:
+            if 100 * len(s & sets[j]) >= 75 * len(s | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {i: find(i) for i in sets}
+
+
+def test_near_duplicates(docs, rows, empty):
+    sets = {i: shingle_set(t) for i, t in named(rows)}
+    root = groups_by_hand(named(rows))
     out = near_dup.near_duplicates(docs).collect()
     assert len(out) == len(rows)
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out if r.doc_id is not None} == {i: (len(s), root[i], root[i] == i) for i, s in sets.items()}
@@ -83,10 +102,44 @@ def test_near_duplicates(docs, rows, empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def test_a_document_of_several_texts(spark):
+    """A doc_id with two texts is one document: whatever either is near to is in its group."""
+    x, y, z = passage(60, 71), passage(60, 72), passage(60, 73)
+    rows = [(1, x), (1, y), (2, y), (3, x), (4, x.replace(" ", "  ", 3)), (5, z), (6, z + " more"), (7, z), (7, y), (8, passage(60, 74))]
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == sorted((i, 8 if i == 8 else 1) for i, _ in rows)
+
+
+def test_all_pairs_of_a_table(spark):
+    """Recall of buckets and sketches on a whole table: the groups are those of all pairs."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    want = groups_by_hand([tuple(r) for r in table.collect()])
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(table).collect()} == want
+
+
+def test_left_over_pairs(spark):
+    """The prefix join finds every pair over the threshold in a group of near-copies, and far from all pairs."""
+    import random
+
+    r = random.Random(3)
+    base = passage(60, 75).split()
+    rows = []
+    for i in range(200):
+        words = list(base)
+        for _ in range(r.randint(1, 4)):
+            k = r.randrange(len(words))
+            words[k : k + 1] = [r.choice("abc")] if r.random() < 0.5 else []
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = df.selectExpr("doc_id as node", "doc_id as component")
+    got = {(x.a, x.b) for x in near_dup._prefix_pairs(df, left, 5, 75).collect()}
+    sets = {i: shingle_set(t) for i, t in rows}
+    near = {(a, b) for a in sets for b in sets if a < b and sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert near and near <= got and len(got) < 200 * 199 / 3
+
+
 def test_divided_buckets_are_settled(spark):
     """A bucket of several groups needs more than one star, and the last pairs the exact way."""
-    from tests.llm.conftest import passage
-
     rows = []
     for g in range(4):
         words = passage(60, 50).split()[:30] + passage(60, 60 + g).split()
@@ -98,34 +151,75 @@ def test_divided_buckets_are_settled(spark):
         assert {r.doc_id: r.component_id for r in out.collect()} == {i: i // 10 * 10 for i, _ in rows}
 
 
-def edits(a, b):
+def edits(a, b, most=None):
     before = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         now = [i]
         for j, y in enumerate(b, 1):
             now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (x != y)))
         before = now
+        if most is not None and min(before) > most:
+            return most + 1
     return before[-1]
 
 
-def test_lines(docs, rows, empty):
+def lines_by_hand(rows):
+    """n_lines, n_removed, n_links and the kept text of each document, every pair of lines compared."""
     lines = [((i, n), x) for i, t in named(rows) for n, x in enumerate((t or "").split("\n")) if t and x.strip(" ")]
     first = {}
     for at, x in lines:
         first.setdefault(x, at)
-    links = {x: [y for y in first if x != y and min(len(x.encode()), len(y.encode())) >= 60 and edits(x.encode(), y.encode()) <= 2] for x in first if len(x) < 700}
+    sizes = {x: len(x.encode()) for x in first}
+    links = {x: [] for x in first}
+    for x in first:
+        for y in first:
+            if x < y and abs(sizes[x] - sizes[y]) <= 2 and (most := min(2, min(sizes[x], sizes[y]) // 20)):
+                if edits(x.encode(), y.encode(), most) <= most:
+                    links[x].append(y), links[y].append(x)
     want = {}
     for i, t in named(rows):
         own = [(at, x) for at, x in lines if at[0] == i]
-        gone = [at for at, x in own if at != first[x] or any(first[y] < first[x] for y in links.get(x, ()))]
-        want[i] = (len(t.split("\n")) if t else 0, len(gone), sum(len(links.get(x, ())) for _, x in own))
+        gone = {at[1] for at, x in own if at != first[x] or any(first[y] < first[x] for y in links[x])}
+        kept = "\n".join(x for n, x in enumerate((t or "").split("\n")) if n not in gone) if gone else t
+        want[i] = (len(t.split("\n")) if t else 0, len(gone), sum(len(links[x]) for _, x in own), kept)
+    return want
+
+
+def test_lines(docs, rows, empty):
     out = line_dedup.line_duplicates(docs, columns=("lang", "score")).collect()
     assert len(out) == len(rows)
-    assert {r.doc_id: (r.n_lines, r.n_removed, r.n_links) for r in out if r.doc_id is not None} == want
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.n_links, r.kept) for r in out if r.doc_id is not None} == lines_by_hand(rows)
     assert next(r for r in out if r.doc_id == 61).kept.count("\n") == 2 and all(r.lang == "en" for r in out)
     assert line_dedup.line_duplicates(empty).count() == 0
 
 
+def changed(r, line, times):
+    out = list(line)
+    for _ in range(times):
+        p = r.randint(0, len(out))
+        out[p : p + r.randint(0, 1)] = [r.choice("abé ")] * r.randint(0, 1)
+    return "".join(out)
+
+
+@pytest.mark.parametrize("hot", [2, 32])
+def test_edited_lines_of_all_lengths(spark, monkeypatch, hot):
+    """Short, long and stepwise lengths, ties of place, and parts that many lines share; hot keys are refined and lose nothing."""
+    import random
+
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", hot)
+    r = random.Random(hot)
+    rows = []
+    for i in range(60):
+        base = "".join(r.choice("abcd é") for _ in range(r.choice([4, 18, 19, 20, 21, 37, 38, 39, 40, 41, 58, 60, 62, 71, 72, 95, 97, 300])))
+        texts = [base] + [changed(r, base, r.randint(0, 3)) for _ in range(2)]
+        texts += [f"the same beginning of all these lines, then {r.randint(10, 99)} {r.randint(10, 99)} and the same end of them all"]
+        rows.append((i // 2 * 2, "\n".join(r.sample(texts, 4))) if i % 7 else (i + 1, "\n".join(texts)))
+    rows = list({i: (i, t) for i, t in rows}.values())
+    out = line_dedup.line_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.n_lines, x.n_removed, x.n_links, x.kept) for x in out} == lines_by_hand(rows)
+    assert sum(x.n_links for x in out) > 100
+
+
 @pytest.mark.parametrize("k", [1, 2, 3])
 def test_automaton(spark, k):
     import random
