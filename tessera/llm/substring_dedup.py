@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WordHash, documents_only, forget, mix, release, rolling, settle, sha, shards_for, slices, utf8
+from tessera.llm._common import WordHash, documents_only, forget, mix, rolling, settle, sha, shards_for, slices, utf8
 
 #: A shard's part of a slice: for each document its id and number of entries, then the entries' hashes and positions.
 PACKED = "shard int, ids binary, counts binary, low binary, high binary, places binary"
@@ -232,10 +232,8 @@ def remove_repeats(documents: DataFrame, window: int = 50, keep_text: bool = Fal
     shards, block = shards_for(docs), window // 2
     named = docs.where("doc_id is not null")
     anchors = settle(_anchors(_probes(named, block, shards), block, shards))
-    release(docs.sparkSession)
     windows = _windows(named.join(anchors.select("doc_id", "first"), "doc_id"), window, block, shards)
     repeats = settle(_repeats(windows, shards))
     forget(anchors)
-    release(docs.sparkSession)
     null_rows = docs.where("doc_id is null").withColumn("first", F.lit(None).cast("binary"))
     return _removed(named.join(repeats.select("doc_id", "first"), "doc_id", "left").union(null_rows), window, keep_text)

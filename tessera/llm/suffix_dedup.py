@@ -21,9 +21,9 @@ A byte goes if a string of ``length`` bytes over it also starts earlier
    ``length`` bytes, the later place is a repeat over all of them.  Large groups
    are settled class by class, not pair by pair.
 
-Strings are compared byte by byte in the merge; hashes only choose and bring
-together.  Exceptions are gram counts and, in groups over ``PAIRWISE``, what
-stands before the anchor (64-bit hashes).
+Strings are compared byte by byte, in the merge and to the left of anchors;
+hashes only choose and bring together.  Two grams of one hash are kept apart by
+the merge, and cost an anchor that would not have been needed at most.
 
 Cases: null and empty texts have no bytes and keep the empty text.  Texts
 shorter than ``length`` are kept.  Rows with one doc_id count as the same places
@@ -41,11 +41,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import documents_only, forget, mix, release, rolling, settle, sha, shards_for, text_slices, utf8
+from tessera.llm._common import documents_only, forget, mix, rolling, settle, sha, shards_for, text_slices, utf8
 from tessera.llm.substring_dedup import DEALT, PACKED, deal, gathered, pack, places_of, unpack, widen
 
 GRAM = 48
-#: Groups up to this size are compared pair by pair, in memory.
+#: Groups up to this size are compared pair by pair, larger ones class by class: the same answer for less work.
 PAIRWISE = 24
 #: Suffixes that a task sorts at once.
 RUN_ENTRIES = 60_000
@@ -220,17 +220,18 @@ def _judge(group: list, length: int, out: list) -> None:
     docs, places = np.array([g[3] for g in group]), np.array([g[4] for g in group])
     rank = np.empty(len(group), np.int64)
     rank[np.lexsort((places, docs))] = np.arange(len(group))
-    before = np.zeros(len(group), np.uint64)  # hash of the o bytes before the anchor
+    by_left = sorted(range(len(group)), key=lambda i: group[i][2])
+    shared_left = np.array([0, *(common(group[i][2], group[j][2]) for i, j in zip(by_left, by_left[1:]))])
+    left_class = np.empty(len(group), np.int64)
     low, high = np.full(len(group), -1), np.full(len(group), -1)
     for o in range(reach + 1):
-        if o:
-            before = mix(before ^ _BYTE_CODES[np.array([g[2][o - 1] if len(g[2]) >= o else 0 for g in group])])
         fits = np.flatnonzero((lefts >= o) & (rights >= length - o))
         if not len(fits):
             continue
         right_class = np.cumsum(prefix < length - o)
-        order = fits[np.lexsort((rank[fits], before[fits], right_class[fits]))]
-        new = np.append(True, (np.diff(right_class[order]) != 0) | (before[order][1:] != before[order][:-1]))
+        left_class[by_left] = np.cumsum(shared_left < o)
+        order = fits[np.lexsort((rank[fits], left_class[fits], right_class[fits]))]
+        new = np.append(True, (np.diff(right_class[order]) != 0) | (np.diff(left_class[order]) != 0))
         first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
         later = order[(docs[order] != docs[first]) | (places[order] != places[first])]
         low[later] = np.where(low[later] < 0, o, low[later])
@@ -370,13 +371,11 @@ def remove_repeats(documents: DataFrame, length: int = 100, keep_bytes: bool = F
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of every document."""
     assert length > GRAM
     docs = documents_only(documents)
-    spark, shards = docs.sparkSession, shards_for(docs, SHARD_BYTES)
+    shards = shards_for(docs, SHARD_BYTES)
     named = docs.where("doc_id is not null")
     anchors = settle(_recurring(_grams(named, length, shards), shards))
-    release(spark)
     repeats = settle(_repeats(_runs(named.join(anchors.select("doc_id", "first"), "doc_id"), length, shards), length, shards))
     forget(anchors)
-    release(spark)
     nothing = F.lit(None).cast("binary")
     null_rows = docs.where("doc_id is null").withColumns({"first": nothing, "second": nothing})
     return _removed(named.join(repeats, "doc_id", "left").union(null_rows), keep_bytes)
