@@ -1,20 +1,28 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations alone.
 
 A line goes if it isn't the first occurrence of its text, or if another text
-within ``edits`` edits (of UTF-8 bytes) occurs earlier; both are judged on the
-input.  Order is by doc_id, then line number.  Edits count in lines of
-``least_bytes`` bytes or more; shorter ones are compared for equality, as few
-edits change what they say.  Blank lines are left alone.
+within so many edits (of UTF-8 bytes) occurs earlier; both are judged on the
+input.  Order is by doc_id, then line number.  Two texts may differ by one edit
+for each ``bytes_per_edit`` bytes of the shorter one, ``edits`` at most; texts
+under ``bytes_per_edit`` bytes are compared for equality.  Blank lines are left
+alone.
 
 1. Equal lines are one text with its first occurrence (partial aggregation, so
    a line in a third of the documents is no hot key).
-2. A text is split into ``edits + 1`` segments.  Two texts within ``edits`` edits
-   share a segment, at places that differ by few bytes: the index has each
-   text's segments by length, number and content; a text probes it for each
-   length up to ``edits`` less than its own, at the places the other edits allow.
-3. Index and probe rows carry counts of 16 frequent bytes, four bits each.  An
-   edit changes two counts by one at most, so pairs further apart never leave
-   the join.
+2. A text has ``edits + 1`` segments of one width: the first ones at places
+   counted from its start, the others from its end.  The width follows the
+   length in steps (the two highest bits of length / (edits + 1)), so texts of
+   nearly equal length have equal widths, and those next to a step take part
+   with both.  Of two texts within the edits, one segment is untouched, with at
+   most as many edits before it as it has segments before it (and likewise
+   after it): the index has each text's segments, and a text probes it at the
+   few places to which so many edits can have moved them, 3 + 2 keys for 2 edits.
+3. Texts that share a key are pairs, but for hot keys (a beginning that a third of
+   all lines share).  Texts under hot keys meet by their rarest grams instead:
+   ``edits`` edits touch at most ``edits`` * 5 of a text's runs of 5 bytes and move
+   the others by ``edits`` places, so of the 5 * ``edits`` + 1 rarest of each, two
+   texts have one in common at nearly the same place (prefix filter).  What makes
+   a key hot is frequent, and comes last in that order.
 4. Pairs are verified by a banded bit-parallel automaton: common ends are cut
    off, and for each number of edits the 2 * edits + 1 diagonals around the main
    one are bits of a word that each byte moves on.
@@ -27,46 +35,103 @@ without a repeated line stay as they are.  Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import forget, release, settle, shuffle_parts
+from tessera.llm._common import forget, settle, shuffle_parts
 
-#: Bytes whose counts are compared before a pair leaves the join.
-COUNTED = "etaonihrsdlcu.b "
+#: Texts under keys of more rows than this meet by their rarest grams; grams of more texts are frequent.
+HOT_ROWS = 32
+GRAM = 5
 
 
-def _segments(length: Column, parts: int) -> list[tuple[Column, Column]]:
-    """Start (from 0) and width of each segment; the last ones are longer by one where the length doesn't divide."""
-    base, rest = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    out = []
-    for i in range(parts):
-        longer = F.greatest(F.lit(0), rest + (i - parts))
-        out.append((base * i + longer, base + F.when(rest >= parts - i, 1).otherwise(0)))
-    return out
+def _width(length: Column, parts: Column) -> Column:
+    """The two highest bits of length / parts: 0, 1, 2, 3, 4, 6, 8, 12, 16, ..."""
+    most = F.floor(length / parts).cast("int")
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(most)) - 1, F.lit(0))).cast("int")
+    return F.when(most > 0, F.floor(most / step).cast("int") * step).otherwise(0).cast("long")
 
 
-def _key(length: Column, i: int, start: Column, width: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), F.substring(F.col("bytes"), start + 1, width))
+def _allowed(length: Column, edits: int, bytes_per_edit: int) -> Column:
+    return F.least(F.lit(edits), F.floor(length / bytes_per_edit).cast("int"))
 
 
-def _counts(line: Column) -> Column:
-    """Counts of the COUNTED bytes modulo 16, packed in a long."""
-    out = F.lit(0).cast("long")
-    for k, c in enumerate(COUNTED):
-        n = (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
-        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(15)), 4 * k))
-    return out
+def _shaped(texts: DataFrame, edits: int, bytes_per_edit: int) -> DataFrame:
+    """A row for each (e, w), edits and segment width, with which a text can meet one that is no longer: its own and those of texts shorter by up to ``edits``."""
+    n = F.octet_length("bytes")
+    packed = []
+    for shorter in range(edits + 1):
+        e = _allowed(n - shorter, edits, bytes_per_edit)
+        packed.append(F.when(e > 0, e.cast("long") * (1 << 32) + _width(n - shorter, e + 1)))
+    each = F.explode(F.array(packed[0], *(F.when(~b.eqNullSafe(a), b) for a, b in zip(packed, packed[1:])))).alias("shape")
+    return texts.select("*", each).where("shape is not null").select(*texts.columns, F.shiftright("shape", 32).cast("int").alias("e"), (F.col("shape") % (1 << 32)).cast("int").alias("w"))
 
 
-def _differ(a: Column, b: Column) -> Column:
-    """At least so many counts differ, by how much they must (modulo 16)."""
-    total = F.lit(0)
-    for k in range(len(COUNTED)):
-        x, y = (F.shiftrightunsigned(v, 4 * k).bitwiseAND(F.lit(15)).cast("int") for v in (a, b))
-        d = F.abs(x - y)
-        total = total + F.least(d, 16 - d)
-    return total
+def _segments(edits: int) -> Column:
+    """Rows of (key, moved): each of e + 1 segments of a text, and where a probe has to look for it."""
+    n, w, e = F.octet_length("bytes"), F.col("w"), F.col("e")
+    out = []
+    for most in range(1, edits + 1):
+        for i in range(most + 1):
+            reach = min(i, most - i)
+            for shift in range(-reach, reach + 1):
+                at = (w * i if i <= most - i else n - w * (most + 1 - i)) + shift
+                key = F.struct(F.xxhash64(F.lit(most * 100 + i), F.substring(F.col("bytes"), at + 1, w)).alias("key"), F.lit(shift != 0).alias("moved"))
+                out.append(F.when((e == most) & (at >= 0) & (at + w <= n) if shift else e == most, key))
+    return F.explode(F.array(*out)).alias("k")
+
+
+def _by_segments(texts: DataFrame, edits: int, bytes_per_edit: int) -> tuple[DataFrame, DataFrame]:
+    """(x, y), ids of texts that share a segment under a key that isn't hot; and the ids of texts under hot keys."""
+    keyed = _shaped(texts.select("id", "bytes"), edits, bytes_per_edit).select("id", _segments(edits)).where("k is not null")
+    rows = keyed.select("k.key", (F.col("id") * 2 + F.col("k.moved").cast("long")).alias("tag"))
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = settle(rows.join(several, "key"))
+    x, y = (shared.where(F.col("n") <= HOT_ROWS).select("key", F.col("tag").alias(name)) for name in "xy")
+    # The lesser id is the index, with its segments in their own places; those of the other may have moved.
+    order = F.when(F.shiftright("x", 1) < F.shiftright("y", 1), F.col("x") % 2) == 0
+    pairs = settle(x.join(y.hint("shuffle_merge"), "key").where(order).select(F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y")).distinct())
+    hot = settle(shared.where(F.col("n") > HOT_ROWS).select(F.shiftright("tag", 1).alias("id")).distinct())
+    forget(shared)
+    return pairs, hot
+
+
+def _by_rare_grams(texts: DataFrame, edits: int, bytes_per_edit: int) -> DataFrame:
+    """(x, y): ids of texts that share one of their rarest grams at nearly one place; all pairs within their edits are among them.
+
+    Where that gram is frequent and no rarer one is shared, the edits must touch all rare grams of both texts.  One
+    edit touches such grams of both only where these lie at nearly one place; else each text needs edits of its own,
+    and both together no more than are allowed.  So members of a large family of near-copies meet where they differ
+    from it at one place or very little.
+    """
+    assert bytes_per_edit >= 2 * GRAM  # so a text has more grams than its edits can touch
+    n = F.octet_length("bytes")
+    places = F.explode(F.sequence(F.lit(1), n - GRAM + 1)).alias("at")
+    grams = texts.select("id", n.alias("n"), "bytes", places).select("id", "n", "at", F.xxhash64(F.substring(F.col("bytes"), F.col("at"), F.lit(GRAM))).alias("gram"))
+    # How often a gram occurs, exactly up to HOT_ROWS: a frame of bounded size, however frequent it is.
+    around = Window.partitionBy("gram").orderBy("id").rowsBetween(-HOT_ROWS - 1, HOT_ROWS + 1)
+    counted = grams.withColumn("k", F.least(F.count(F.lit(1)).over(around), F.lit(HOT_ROWS + 1)).cast("int"))
+    each = counted.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("k", "gram", "at"))).alias("all"))
+    # Occurrences of the last of the rarest belong to them together.
+    each = each.withColumn("last", F.col("all")[_allowed(F.col("n"), edits, bytes_per_edit) * GRAM])
+    rarest = F.filter("all", lambda g: F.struct(g.k, g.gram) <= F.struct(F.col("last.k"), F.col("last.gram")))
+    starts = F.array_sort(F.transform(F.filter("all", lambda g: g.k <= HOT_ROWS), lambda g: g["at"]))
+
+    def touch(done: Column, at: Column) -> Column:
+        """Starts of the first grams that need an edit of their own, edits + 1 at most."""
+        new = (F.size(done) == 0) | (at >= F.try_element_at(done, F.lit(-1)) + GRAM)
+        return F.when(new & (F.size(done) <= edits), F.array_append(done, at)).otherwise(done)
+
+    touched = F.aggregate(starts, F.array().cast("array<int>"), touch)
+    rows = settle(each.select("id", "n", touched.alias("own"), F.explode(rarest).alias("g")).select("id", "n", "own", "g.k", "g.gram", "g.at"))
+    x, y = (rows.select("gram", *(F.col(c).alias(f"{c}_{name}") for c in ("n", "at", "own", "k")), F.col("id").alias(name)) for name in "xy")
+    near = (F.col("x") < F.col("y")) & (F.abs(F.col("n_x") - F.col("n_y")) <= edits) & (F.abs(F.col("at_x") - F.col("at_y")) <= edits)
+    few = F.size("own_x") + F.size("own_y") <= edits
+    together = F.exists("own_x", lambda a: F.exists("own_y", lambda b: F.abs(a - b) <= 2 * (GRAM - 1) + edits))
+    possible = (F.col("k_x") <= HOT_ROWS) | (F.greatest(F.size("own_x"), F.size("own_y")) <= edits) & (few | together)
+    pairs = settle(x.join(y.hint("shuffle_merge"), "gram").where(near & possible).select("x", "y").distinct())
+    forget(rows)
+    return pairs
 
 
 def _common_length(a: str, b: str, at_most: str, from_end: bool) -> str:
@@ -108,63 +173,51 @@ def _with_distance(pairs: DataFrame, edits: int) -> DataFrame:
     return out.withColumn("distance", F.expr(f"case when abs(m - n) > {edits} then null when m = 0 or n = 0 then greatest(m, n) else {automaton} end"))
 
 
-def _links(texts: DataFrame, edits: int, least_bytes: int) -> DataFrame:
-    """(x, y, distance): ids of all pairs of texts within ``edits`` edits, once each."""
-    long_ones = texts.select("id", F.encode("line", "UTF-8").alias("bytes"), "line").withColumn("n", F.octet_length("bytes")).where(F.col("n") >= least_bytes)
-    long_ones = long_ones.withColumn("counts", _counts(F.col("line"))).select("id", "bytes", "n", "counts")
-    n, parts = F.col("n"), edits + 1
-    index = long_ones.select(F.explode(F.array(*(_key(n, i, p, w) for i, (p, w) in enumerate(_segments(n, parts))))).alias("key"), F.col("id").alias("x"), F.col("counts").alias("counts_x"), F.col("n").alias("n_x"))
-    probes = []
-    for shorter in range(edits + 1):
-        length = n - shorter
-        for i, (p, w) in enumerate(_segments(length, parts)):
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                probes.append(F.when((length >= least_bytes) & (p + shift >= 0) & (p + shift <= n - w), _key(length, i, p + shift, w)))
-    probe = long_ones.select(F.explode(F.array(*probes)).alias("key"), F.col("id").alias("y"), F.col("counts").alias("counts_y"), F.col("n").alias("n_y")).where("key is not null")
-    near = (_differ(F.col("counts_x"), F.col("counts_y")) <= 2 * edits) & ((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("x") < F.col("y"))))
-    pairs = settle(index.hint("shuffle_merge").join(probe, "key").where(near).select("x", "y").distinct())
-    release(texts.sparkSession)
+def _links(texts: DataFrame, edits: int, bytes_per_edit: int) -> DataFrame:
+    """(x, y, distance): ids of all pairs of texts within their edits, once each.  texts: id and bytes."""
+    pairs, hot = _by_segments(texts, edits, bytes_per_edit)
+    if not hot.isEmpty():
+        among_hot = _by_rare_grams(texts.join(hot.hint("shuffle_merge"), "id", "left_semi"), edits, bytes_per_edit)
+        pairs = settle(pairs.union(among_hot).distinct())
     ends = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    words = settle(texts.join(ends.hint("shuffle_merge"), "id", "left_semi").select("id", F.encode("line", "UTF-8").alias("bytes")))
-    release(texts.sparkSession)
+    words = settle(texts.join(ends.hint("shuffle_merge"), "id", "left_semi").select("id", "bytes"))
     both = pairs.join(words.toDF("x", "a"), "x").join(words.toDF("y", "b"), "y")
-    found = settle(_with_distance(both, edits).where("distance is not null").select("x", "y", "distance"))
+    both = both.where(F.abs(F.octet_length("a") - F.octet_length("b")) <= edits)
+    allowed = _allowed(F.least(F.octet_length("a"), F.octet_length("b")), edits, bytes_per_edit)
+    found = settle(_with_distance(both, edits).where(F.col("distance") <= allowed).select("x", "y", "distance"))
     forget(pairs, words)
     return found
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
     lines = docs.where("doc_id is not null and text <> ''").select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return lines.where("trim(line) <> ''").withColumn("place", F.struct("doc_id", "th", "at"))
+    return lines.where("trim(line) <> ''")
 
 
-def line_duplicates(documents: DataFrame, edits: int = 2, least_bytes: int = 60, columns: tuple[str, ...] = ()) -> DataFrame:
+def line_duplicates(documents: DataFrame, edits: int = 2, bytes_per_edit: int = 20, columns: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_lines, n_removed, n_links and the kept text of every document, with the named other columns.
 
-    n_links counts the other texts within ``edits`` edits of the document's lines.
+    n_links counts the other texts within so many edits of the document's lines.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"_{c}") for c in columns)).withColumn("th", F.xxhash64("text"))
-    spark = documents.sparkSession
-    names = F.xxhash64("line"), F.xxhash64(F.lit(1), "line")
-    first = _occurrences(docs.select("doc_id", "text", "th")).groupBy("line").agg(F.min("place").alias("first"))
-    texts = settle(first.select(F.monotonically_increasing_id().alias("id"), "line", "first"))
-    release(spark)
-    links = _links(texts, edits, least_bytes)
+    place = F.struct("doc_id", "th", "at")
+    names = F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2")
+    first = _occurrences(docs.select("doc_id", "text", "th")).groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
+    texts = settle(first.select(F.monotonically_increasing_id().alias("id"), F.encode("line", "UTF-8").alias("bytes"), *names, "first", "times"))
+    links = _links(texts.select("id", "bytes").where(F.octet_length("bytes") >= bytes_per_edit), edits, bytes_per_edit)
     places = texts.select("id", "first")
     both = links.select("x", "y").union(links.select("y", "x")).toDF("id", "other")
-    linked = both.join(places.toDF("other", "theirs").hint("shuffle_merge"), "other").groupBy("id").agg(F.count(F.lit(1)).alias("links"), F.min("theirs").alias("theirs"))
-    judged = texts.join(linked, "id", "left").select(names[0].alias("h"), names[1].alias("h2"), "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce(F.col("theirs") < F.col("first"), F.lit(False)).alias("near"))
-    occurrences = _occurrences(docs.select("doc_id", "text", "th")).select(names[0].alias("h"), names[1].alias("h2"), "doc_id", "th", "at", "place")
-    judged = settle(judged)
-    release(spark)
-    gone = (F.col("place") != F.col("first")) | F.col("near")
-    fate = occurrences.join(judged.hint("shuffle_merge"), ["h", "h2"]).where(gone | (F.col("links") > 0))
-    fate = fate.groupBy("doc_id", "th").agg(F.collect_set(F.when(gone, F.col("at"))).alias("removed"), F.sum("links").alias("links"))
-    fate = settle(fate)
+    linked = both.join(places.toDF("other", "theirs"), "other").groupBy("id").agg(F.count(F.lit(1)).alias("links"), F.min("theirs").alias("theirs"))
+    # Only lines that occur again or are linked decide anything.
+    judged = texts.select("id", "h", "h2", "first", "times").join(linked, "id", "left").where("times > 1 or links is not null")
+    judged = settle(judged.select("h", "h2", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce(F.col("theirs") < F.col("first"), F.lit(False)).alias("near")))
+    occurrences = _occurrences(docs.select("doc_id", "text", "th")).select(*names, "doc_id", "th", "at")
+    gone = (place != F.col("first")) | F.col("near")
+    fate = occurrences.join(judged, ["h", "h2"]).where(gone | (F.col("links") > 0))
+    fate = settle(fate.groupBy("doc_id", "th").agg(F.collect_set(F.when(gone, F.col("at"))).alias("removed"), F.sum("links").alias("links")))
     forget(texts, links, judged)
-    release(spark)
     lines = F.when(F.col("text") != "", F.split("text", "\n")).otherwise(F.array().cast("array<string>"))
-    out = docs.join(fate.hint("shuffle_merge"), ["doc_id", "th"], "left").withColumn("lines", lines).withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    out = docs.join(fate, ["doc_id", "th"], "left").withColumn("lines", lines).withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     places_kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
     kept = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(F.transform(places_kept, lambda i: F.col("lines")[i]), "\n"))
     return out.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), kept.alias("kept"), *(F.col(f"_{c}").alias(c) for c in columns))

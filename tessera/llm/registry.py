@@ -87,7 +87,7 @@ f AS (
   SELECT line, min((doc_id, pos)) AS first, strlen(line) AS n FROM l WHERE trim(line) <> '' GROUP BY line),
 k AS (
   SELECT a.line, b.first AS other FROM f a JOIN f b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.line <> b.line
-  WHERE a.n >= 60 AND b.n >= 60 AND levenshtein(a.line, b.line) <= 2),
+  WHERE levenshtein(a.line, b.line) <= least(2, least(a.n, b.n) // 20)),
 j AS (
   SELECT f.line, f.first, count(k.other) AS links, coalesce(min(k.other) < f.first, false) AS near
   FROM f LEFT JOIN k ON k.line = f.line GROUP BY f.line, f.first),
@@ -108,9 +108,10 @@ WITH v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+q AS (SELECT vec_id, min(e) AS e FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id),
 p AS (
   SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score
-  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+  FROM q JOIN v ON q.vec_id <> v.vec_id)
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM p)
 WHERE r <= 20
