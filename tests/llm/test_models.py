@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, quality, tiling, toxicity
@@ -16,7 +18,7 @@ def test_search(spark):
     x[7] = x[3]
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(500, None, 1), (501, [0.0] * 24, 1), (502, [float("nan")] * 24, 1), (503, [None] * 24, 1), (504, [1.0, 2.0], 1), (None, x[0].tolist(), 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, block int")
-    out = ann.search(df, df.where("vec_id % 20 = 0"), k=10, block_rows=100, query_block_rows=8).collect()
+    out = ann.search(df, df.where("vec_id % 20 = 0"), k=10, block_rows=40, query_rows=8).collect()
     found = hit = 0
     for q in range(0, 400, 20):
         score = x.astype(float) @ x[q].astype(float)
@@ -31,6 +33,45 @@ def test_search(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def nearest_by_hand(rows, k):
+    """The k best candidates of each query, with exact sums in the order of the components."""
+    usable = [(i, v) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    out = []
+    for own, q in sorted({(i, tuple(v)) for i, v in usable if i % 20 == 0}):
+        scores = []
+        for i, v in usable:
+            if i != own and len(v) == len(q):
+                total = 0.0
+                for a, b in zip(v, q):
+                    total += a * b
+                scores.append((-total, i))
+        out += [(own, r, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k], 1)]
+    return out
+
+
+def test_search_of_doubles(spark):
+    """Doubles that floats can't tell apart, very large and small ones, ties, and repeated rows and queries."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(round(c, 2)) for c in rng.standard_normal(3)]) for i in range(1, 60)]
+    rows += [(0, [1.0, 1.0, 0.0]), (0, [1.0, 1.0, 0.0]), (5, [1.0 + 1e-12, 1.0, 0.0]), (6, [1.0, 1.0, 0.0]), (6, [1.0, 1.0, 0.0]), (100, [1e300, 1.0, 0.0]), (101, [1e-300, 1e-300, 0.0]), (120, [1e-9, 0.0, 1.0]), (121, [2.0]), (140, [3.0]), (160, None), (180, [0.0, 0.0, 0.0])]
+    for k, options in ((5, {}), (30, {"block_rows": 10, "query_rows": 2}), (4, {"block_rows": 10, "exact": True})):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        out = ann.search(df, df.where("vec_id % 20 = 0"), k=k, **options).collect()
+        want = nearest_by_hand(rows, k)
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == want
+
+
+def test_search_recall(spark):
+    """Recall of whole tables against the exact mode, and lists that bounds leave out."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    queries = df.where("vec_id % 20 = 0")
+    key = ["query_id", "vec_id"]
+    exact = ann.search(df, queries, exact=True).select(key)
+    found = ann.search(df, queries, block_rows=128).select(key)
+    assert exact.count() == found.count() == 2000
+    assert found.join(exact, key).count() >= 0.98 * 2000
+
+
 def test_estimates_keep_their_bounds():
     rng = np.random.default_rng(2)
     x, q = rng.standard_normal((500, 64)).astype(np.float32), rng.standard_normal((20, 64))
@@ -50,13 +91,65 @@ def test_leaks(spark, docs, empty):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, None), (3, ""), (4, "one two three"), (None, "x")], "item_id long, text string")
     rows = [(1, "foo epsilon, zeta ETA theta bar Alpha beta gamma delta"), (2, "alpha beta gamma delta only"), (3, "alpha beta epsilon zeta gamma eta"), (4, None), (5, "one two three")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for passes in (1 << 20, 20):
-        out = tiling.leaks(df, items, pass_bytes=passes)
+    for bits in (24, 6):  # a filter that lets nearly all through changes nothing
+        out = tiling.leaks(df, items, filter_bits=bits)
         assert sorted((r.doc_id, r.item_id, r.n_tiles) for r in out.collect()) == [(1, 1, 2), (5, 4, 1)]
     assert sorted(r.doc_id for r in tiling.clean(df, items).collect()) == [2, 3, 4]
     assert tiling.leaks(empty, items).count() == 0 and tiling.leaks(df, items.limit(0)).count() == 0
 
 
+def tiles_by_hand(item, doc, least):
+    """Greedy string tiling from all pairs of places."""
+    least, free_a, free_b, out = min(least, len(item)), set(range(len(item))), set(range(len(doc))), []
+    while least:
+        found = []
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                n = 0
+                while i + n in free_a and j + n in free_b and item[i + n] == doc[j + n]:
+                    n += 1
+                found.append((-n, i, j))
+        most = -min(found, default=(0,))[0]
+        if most < least:
+            break
+        for _, i, j in sorted(f for f in found if f[0] == -most):
+            if set(range(i, i + most)) <= free_a and set(range(j, j + most)) <= free_b:
+                free_a -= set(range(i, i + most))
+                free_b -= set(range(j, j + most))
+                out.append((i, j, most))
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), max_size=24), st.integers(1, 4))
+def test_tiles_against_all_pairs_of_places(item, doc, least):
+    assert tiling.tiles(np.array(item, np.uint64), np.array(doc, np.uint64), least) == tiles_by_hand(item, doc, least)
+
+
+def test_leaks_by_hand(spark, docs, rows, empty):
+    """Every document against every item: repeated rows and items, reordered passages, one long text, ids with several texts."""
+    from tests.llm.conftest import passage
+
+    words = passage(40, 1).split()  # the fixture's documents 10 to 21 share these
+    items = [(1, " ".join(words[:20])), (2, " ".join(words[20:30] + words[5:15])), (3, " ".join(words[:6]) + " but this is another matter " + passage(20, 900)), (4, passage(3000, 6)[-300:].upper()), (4, "xyz xyz xyz xyz xyz xyz"), (5, "Short."), (5, "Short."), (6, "one, two"), (7, None), (None, "of")]
+    table = spark.createDataFrame([(*r, 1.0) for r in items], "item_id long, text string, seed double")
+    want = []
+    for d, text in rows:
+        doc = tiling.words_of(text)
+        for i, t in items:
+            item = tiling.words_of(t)
+            if d is not None and i is not None and item:
+                if len(item) >= 4 and not {tuple(item[k : k + 4]) for k in range(len(item) - 3)} & {tuple(doc[k : k + 4]) for k in range(len(doc) - 3)}:
+                    continue
+                found = tiles_by_hand(item, doc, 4) if len(doc) < 400 else tiling.tiles(*(np.array([hash(w) & (1 << 62) - 1 for w in s], np.uint64) for s in (item, doc)), 4)
+                covered = sum(n for *_, n in found)
+                if covered >= 0.6 * len(item):
+                    want.append((d, i, len(item), covered, len(found)))
+    out = tiling.leaks(docs, table).collect()
+    assert sorted((r.doc_id, r.item_id, r.item_words, r.covered_words, r.n_tiles) for r in out) == sorted(want)
+    assert {i for _, i, *_ in want} == {1, 2, 4, 5, 6}
+
+
 def held_out_counts(scores, labels, label):
     rows = scores.where("held_out").join(labels, "doc_id").select(label, "predicted").collect()
     return np.array([[sum(r[label] == y and r.predicted == p for r in rows) for p in (0, 1)] for y in (0, 1)])
