@@ -45,26 +45,20 @@ HOT_ROWS = 32
 GRAM = 5
 
 
-def _width(length: Column, parts: Column) -> Column:
-    """The two highest bits of length / parts: 0, 1, 2, 3, 4, 6, 8, 12, 16, ..."""
-    most = F.floor(length / parts).cast("int")
-    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(most)) - 1, F.lit(0))).cast("int")
-    return F.when(most > 0, F.floor(most / step).cast("int") * step).otherwise(0).cast("long")
-
-
 def _allowed(length: Column, edits: int, bytes_per_edit: int) -> Column:
     return F.least(F.lit(edits), F.floor(length / bytes_per_edit).cast("int"))
 
 
-def _shaped(texts: DataFrame, edits: int, bytes_per_edit: int) -> DataFrame:
-    """A row for each (e, w), edits and segment width, with which a text can meet one that is no longer: its own and those of texts shorter by up to ``edits``."""
-    n = F.octet_length("bytes")
-    packed = []
-    for shorter in range(edits + 1):
-        e = _allowed(n - shorter, edits, bytes_per_edit)
-        packed.append(F.when(e > 0, e.cast("long") * (1 << 32) + _width(n - shorter, e + 1)))
-    each = F.explode(F.array(packed[0], *(F.when(~b.eqNullSafe(a), b) for a, b in zip(packed, packed[1:])))).alias("shape")
-    return texts.select("*", each).where("shape is not null").select(*texts.columns, F.shiftright("shape", 32).cast("int").alias("e"), (F.col("shape") % (1 << 32)).cast("int").alias("w"))
+def _shapes(edits: int, bytes_per_edit: int) -> Column:
+    """The (e, w), edits and segment width, with which a text can meet one that is no longer: its own and those of texts shorter by up to ``edits``.
+
+    w is the two highest bits of length / (e + 1): 1, 2, 3, 4, 6, 8, 12, 16, ...  Packed as e * 2 ** 32 + w.
+    """
+    e = f"least({edits}, n div {bytes_per_edit})"
+    lengths = f"transform(sequence(0, {edits}), s -> octet_length(bytes) - s)"
+    with_edits = f"transform(filter({lengths}, n -> n >= {bytes_per_edit}), n -> struct({e} as e, int(n div ({e} + 1)) as q))"
+    packed = f"transform({with_edits}, p -> p.e * {1 << 32} + shiftleft(shiftright(p.q, greatest(length(bin(p.q)) - 2, 0)), greatest(length(bin(p.q)) - 2, 0)))"
+    return F.expr(f"array_distinct({packed})")
 
 
 def _segments(edits: int) -> Column:
@@ -81,9 +75,11 @@ def _segments(edits: int) -> Column:
     return F.explode(F.array(*out)).alias("k")
 
 
-def _by_segments(texts: DataFrame, edits: int, bytes_per_edit: int) -> tuple[DataFrame, DataFrame]:
+def _by_segments(texts: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
     """(x, y), ids of texts that share a segment under a key that isn't hot; and the ids of texts under hot keys."""
-    keyed = _shaped(texts.select("id", "bytes"), edits, bytes_per_edit).select("id", _segments(edits)).where("k is not null")
+    shaped = texts.select("id", "bytes", F.explode("shapes").alias("shape"))
+    shaped = shaped.select("id", "bytes", F.shiftright("shape", 32).cast("int").alias("e"), (F.col("shape") % (1 << 32)).cast("int").alias("w"))
+    keyed = shaped.select("id", _segments(edits)).where("k is not null")
     rows = keyed.select("k.key", (F.col("id") * 2 + F.col("k.moved").cast("long")).alias("tag"))
     several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = settle(rows.join(several, "key"))
@@ -174,8 +170,8 @@ def _with_distance(pairs: DataFrame, edits: int) -> DataFrame:
 
 
 def _links(texts: DataFrame, edits: int, bytes_per_edit: int) -> DataFrame:
-    """(x, y, distance): ids of all pairs of texts within their edits, once each.  texts: id and bytes."""
-    pairs, hot = _by_segments(texts, edits, bytes_per_edit)
+    """(x, y, distance): ids of all pairs of texts within their edits, once each.  texts: id, bytes and their shapes."""
+    pairs, hot = _by_segments(texts, edits)
     if not hot.isEmpty():
         among_hot = _by_rare_grams(texts.join(hot.hint("shuffle_merge"), "id", "left_semi"), edits, bytes_per_edit)
         pairs = settle(pairs.union(among_hot).distinct())
@@ -203,8 +199,9 @@ def line_duplicates(documents: DataFrame, edits: int = 2, bytes_per_edit: int =
     place = F.struct("doc_id", "th", "at")
     names = F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2")
     first = _occurrences(docs.select("doc_id", "text", "th")).groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
-    texts = settle(first.select(F.monotonically_increasing_id().alias("id"), F.encode("line", "UTF-8").alias("bytes"), *names, "first", "times"))
-    links = _links(texts.select("id", "bytes").where(F.octet_length("bytes") >= bytes_per_edit), edits, bytes_per_edit)
+    texts = first.select(F.monotonically_increasing_id().alias("id"), F.encode("line", "UTF-8").alias("bytes"), *names, "first", "times")
+    texts = settle(texts.withColumn("shapes", _shapes(edits, bytes_per_edit)))
+    links = _links(texts.select("id", "bytes", "shapes").where(F.octet_length("bytes") >= bytes_per_edit), edits, bytes_per_edit)
     places = texts.select("id", "first")
     both = links.select("x", "y").union(links.select("y", "x")).toDF("id", "other")
     linked = both.join(places.toDF("other", "theirs"), "other").groupBy("id").agg(F.count(F.lit(1)).alias("links"), F.min("theirs").alias("theirs"))
