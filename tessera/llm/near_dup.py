@@ -184,8 +184,8 @@ def _prefix_pairs(documents: DataFrame, left: DataFrame, width: int, percent: in
     and the first n - ceil(p / 100 n) + 1 of the larger, and so many after the first of these that the threshold can
     still be met.  What a group of near-copies has in common comes last in that order, so its members don't meet there.
     """
-    full = settle(_grams(documents, left, width))
-    each = full.select("node", F.xxhash64("grams").alias("set"), F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    full = settle(_grams(documents, left, width).select("node", F.xxhash64("grams").alias("set"), F.size("grams").alias("n"), "grams"))
+    each = full.select("node", "set", "n", F.explode("grams").alias("gram"))
     held = each.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     # A shingle of one set alone is in no pair: it takes its place before all others and needs no row.
     kept = each.join(held.hint("shuffle_merge"), "gram").groupBy("node", "set", "n").agg(F.sort_array(F.collect_list(F.struct("k", "gram"))).alias("rare"))
