@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import text_column
@@ -82,18 +82,21 @@ def other_basis(label: Column | str) -> Column:
 
 
 def unit_factor(source: Column | str, target: Column | str) -> Column:
-    """Factor from one unit to another; 1 where either is unknown, no mass, or on another basis."""
-
-    def grams(c: Column | str) -> Column:
-        u = unit_symbol(c)
-        out = F.lit(None).cast("double")
-        for name, g in MASS_UNITS.items():
-            out = F.when(u == name, F.lit(g)).otherwise(out)
-        return F.when(other_basis(c), F.lit(None).cast("double")).otherwise(out)
+    """Factor from one unit to another; 1 where either is unknown, no mass, or on another basis.
 
+    Labels recur in every cell of a column: use ``with_factor`` on long tables.
+    """
+    table = F.create_map(*(F.lit(x) for unit in MASS_UNITS.items() for x in unit))
+    grams = lambda c: F.when(~other_basis(c), F.element_at(table, unit_symbol(c)))
     return F.coalesce(grams(source) / grams(target), F.lit(1.0))
 
 
+def with_factor(rows: DataFrame, labels: DataFrame, key: str, source: str = "source_unit", target: str = "target_unit") -> DataFrame:
+    """rows with factor, looked up by ``key`` in labels (key and two units): units are read once a label, not once a cell."""
+    factors = labels.groupBy(key).agg(F.min(F.struct(source, target)).alias("_u")).select(key, unit_factor(f"_u.{source}", f"_u.{target}").alias("factor"))
+    return rows.join(factors, key, "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
+
+
 def bucket_of(column: Column | str, buckets: int = 256) -> Column:
     """Non-negative bucket of an id; null goes to the bucket of -1."""
     return F.pmod(F.coalesce(text_column(column).cast("long"), F.lit(-1)), F.lit(buckets)).cast("int")

@@ -104,27 +104,26 @@ def skeleton(c: Column | str) -> Column:
 
 
 ORGANISM = T.StructType([T.StructField("genus", T.StringType()), T.StructField("species", T.StringType()), T.StructField("strain", T.StringType())])
-_RANKS = {"subsp.", "subspecies", "bv.", "pv.", "var.", "serovar", "biovar", "sv."}
+# Ranks below the species, marks of a strain, and of an uncertain species.
+_RANKS = {"subsp.", "subsp", "pv.", "bv.", "var.", "serovar", "biovar", "f.sp."}
+_STRAIN_MARKS = {"str.", "strain"}
+_UNCERTAIN = {"cf.", "aff."}
 
 
 def organism_parts(name: str | None) -> tuple[str | None, str | None, str | None]:
-    """Genus, species (with its infraspecific rank) and strain of an organism's name."""
-    words = (name or "").replace('"', "").replace("'", "").split()
+    """Genus, species (with ranks below it) and strain of an organism's name; what is missing is null.
+
+    Quotes around genus and species go, those of a strain stay; a strain's mark counts at its beginning alone.
+    """
+    words = (name or "").split()
     if not words:
         return None, None, None
-    taken = words[:1]
-    rest = words[1:]
-    if rest and rest[0] in {"cf.", "aff."}:
-        taken += rest[:2]
-        rest = rest[2:]
-    elif rest:
-        taken += rest[:1]
-        rest = rest[1:]
-    while len(rest) > 1 and rest[0] in _RANKS:
-        taken += rest[:2]
-        rest = rest[2:]
-    strain = " ".join(w for w in rest if w not in {"str.", "strain"})
-    return words[0], " ".join(taken), strain or None
+    taken = 2 if len(words) > 1 and words[1].lower() not in _UNCERTAIN else min(3, len(words))
+    while taken + 1 < len(words) and words[taken].lower() in _RANKS:
+        taken += 2
+    strain = words[taken + 1 :] if taken < len(words) and words[taken].lower() in _STRAIN_MARKS else words[taken:]
+    genus = words[0].strip("'\"")
+    return genus, " ".join([genus, *words[1:taken]]).strip("'\""), " ".join(strain) or None
 
 
 @F.pandas_udf(ORGANISM)

@@ -46,9 +46,10 @@ def collapse_witnesses(facts: DataFrame, keys: Sequence[str], source: str) -> Da
 
 def ordered_distinct_concat(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, separator: str, name: str) -> DataFrame:
     """Distinct values of a group joined in the order of their first place."""
-    item = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), value.alias("v"))
-    values = F.array_distinct(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["v"]))
-    return df.groupBy(*keys).agg(F.array_join(values, separator).alias(name))
+    place = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)))
+    first = df.groupBy(*keys, value.alias("_v")).agg(F.min(place).alias("_p"))  # each value once, before any list is made
+    values = F.transform(F.sort_array(F.collect_list(F.struct("_p", "_v"))), lambda x: x["_v"])
+    return first.groupBy(*keys).agg(F.array_join(values, separator).alias(name))
 
 
 def drop_relistings(entities: DataFrame, facts: DataFrame, key: str, same: Sequence[str], item: str, amount: str, exempt: Column | None = None) -> DataFrame:
@@ -90,9 +91,30 @@ def mint(codes: DataFrame, registry: DataFrame, code: str, number: str, base: in
     return out.select(code, value.cast("long").alias(number))
 
 
-def upsert(current: DataFrame, new: DataFrame, key: str, stale: Column | None = None) -> DataFrame:
-    """Current rows but the stale ones, with new rows added; of equal keys the new row stays.  Columns are united."""
+def order_breaks(df: DataFrame, old: str, new: str) -> DataFrame:
+    """One row, n and breaks: how often ``new`` falls in the order of ``old``; null keys are left out.
+
+    The order is made by ranges of ``old``: a range counts its own breaks, and only its first and last keys meet the next one's.
+    """
+    rows = df.select(F.col(old).alias("_old"), F.col(new).alias("_new")).na.drop()
+    placed = rows.repartitionByRange("_old").withColumn("_part", F.spark_partition_id())
+    inside = placed.withColumn("_before", F.lag("_new").over(Window.partitionBy("_part").orderBy("_old", "_new")))
+    of_range = inside.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_new") < F.col("_before")).alias("_b"), F.min_by("_new", F.struct("_old", "_new")).alias("_first"), F.max_by("_new", F.struct("_old", "_new")).alias("_last"))
+    across = of_range.withColumn("_prev", F.lag("_last").over(Window.orderBy("_part")))  # one row a range
+    return across.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("_b") + F.coalesce((F.col("_first") < F.col("_prev")).cast("int"), F.lit(0))), F.lit(0)).alias("breaks"))
+
+
+def upsert(current: DataFrame, new: DataFrame, key: str, stale: Column | None = None, order: Column | None = None) -> DataFrame:
+    """Current rows but the stale ones, with new rows added; of equal keys the new row stays.  Columns are united.
+
+    Repeated keys inside ``new`` keep the row that ``order`` puts last (the greatest row where there is no order).
+    """
     kept = current if stale is None else current.where(~F.coalesce(stale, F.lit(False)))
+    if order is not None:
+        columns = new.columns
+        new = new.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_r")).select("_r.*")
+    else:
+        new = new.groupBy(key).agg(F.max(F.struct(*new.columns)).alias("_r")).select("_r.*")
     return kept.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
@@ -114,9 +136,11 @@ def augment_thin(own: DataFrame, reference: DataFrame, entity: str, item: str, t
 
 
 def best_label(df: DataFrame, key: str, labels: str, tiers: DataFrame, label: str, rank: str) -> DataFrame:
-    """The strictest tier among a row's labels joined by ";"."""
-    each = df.select(key, F.explode(F.split(labels, ";")).alias(label))
-    return each.join(tiers, label).groupBy(key).agg(F.max_by(label, F.struct(rank, label)).alias("strictest"), F.max(rank).alias(rank))
+    """The strictest tier among a row's labels joined by ";"; "unknown" without a rank where none of them is known."""
+    each = df.select(key, F.explode_outer(F.split(labels, ";")).alias(label))
+    known = each.join(tiers.select(label, rank), label, "left")
+    best = F.max_by(label, F.when(F.col(rank).isNotNull(), F.struct(rank, label)))
+    return known.groupBy(key).agg(F.coalesce(best, F.lit("unknown")).alias("strictest"), F.max(rank).alias(rank))
 
 
 def unpivot_units(df: DataFrame, keys: Sequence[str], columns: Sequence[str], item: str, amount: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import link_score
+from tessera.functions.rules import moves_element, strict_prebiotic
 
 #: Cost of an edge type along (up) and against (down) its direction (fixed values).
 EDGE_COSTS = {
@@ -29,7 +30,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """A checkpoint in the folder of spark.checkpoint.dir; one under the warehouse is set where that is unset."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        root = root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint()
 
@@ -118,3 +122,44 @@ def expand(generics: DataFrame, names: DataFrame, rules: list[tuple[str, str, st
     fits = F.explode(F.array_compact(F.array(*(F.when(F.lower(F.col(name)).rlike(s), F.lit(r)) for r, _, s in rules))))
     right = names.select(F.col(id_).alias("dst"), fits.alias("rule"))
     return left.join(right, "rule").where("src <> dst").select("src", "dst", "rule")
+
+
+def emit(nutrients: DataFrame, walk: DataFrame, digest: DataFrame, names: DataFrame, live: DataFrame | None = None, strict: bool = False, sugars: bool = False, amino_acids: bool = False, hub: int = 40, keep_transport: bool = False, keep_unmatched: bool = False) -> DataFrame:
+    """(nutrient_id, seed, node, code, substrate, relation, cost, steps, score, path): a nutrient's links over its seeds' walks.
+
+    nutrients has nutrient_id, nutrient_name and seed; walk is a scored walk; digest
+    has node, code and substrate; names has node and name.  Only live nutrients
+    count where they are given, and the strict filter can leave names out.  A hub is
+    reached by no loose relation, and a code that moves an element is no link to
+    it.  Of rows with one nutrient, seed, node and code the least substrate stays.
+    """
+    own = nutrients if live is None else nutrients.join(live.select("nutrient_id").distinct(), "nutrient_id", "left_semi")
+    if strict:
+        own = own.where(strict_prebiotic("nutrient_name", sugars, amino_acids))
+    hubs = digest.groupBy("node").agg(F.countDistinct("code").alias("_codes")).where(F.col("_codes") > hub).select("node", F.lit(True).alias("_hub"))
+    steps = walk.join(hubs, "node", "left").where(~(F.coalesce("_hub", F.lit(False)) & F.col("relation").isin("scaffold", "part_of", "enantiomer", "mixed"))).drop("_hub")
+    rows = own.select("nutrient_id", "seed").distinct().join(steps, "seed")
+    found = rows.join(digest.groupBy("node", "code").agg(F.min("substrate").alias("substrate")), "node")
+    if not keep_transport:
+        found = found.join(names.select(F.col("node").alias("seed"), F.col("name").alias("_name")), "seed", "left").where(~moves_element("_name", "code")).drop("_name")
+    out = found.select("nutrient_id", "seed", "node", "code", "substrate", "relation", "cost", "steps", "score", "path")
+    if keep_unmatched:
+        blank = own.select("nutrient_id").distinct().join(out.select("nutrient_id"), "nutrient_id", "left_anti")
+        out = out.unionByName(blank, allowMissingColumns=True)
+    return out
+
+
+def substitutes(facts: DataFrame, aliases: DataFrame, item: str, nutrient: str, amount: str) -> DataFrame:
+    """Facts, and for items that lack a target the amount of a related generic, scaled by the alias's efficiency.
+
+    aliases has target, generic and efficiency; of several generics the largest scaled amount counts.
+    """
+    offered = facts.join(aliases, F.col(nutrient) == F.col("generic")).groupBy(item, F.col("target").alias(nutrient)).agg(F.max(F.col(amount) * F.col("efficiency")).alias(amount))
+    lacking = offered.join(facts.select(item, nutrient), [item, nutrient], "left_anti")
+    return facts.select(item, nutrient, amount, F.lit(False).alias("substituted")).union(lacking.select(item, nutrient, amount, F.lit(True)))
+
+
+def canonical_ids(df: DataFrame, column: str, aliases: DataFrame, pattern: str = r"(?i)(CHEBI:\d+)") -> DataFrame:
+    """The id found anywhere in a text, in upper case and through the alias table (alias, main); no id, "NA" and blanks are null."""
+    found = F.upper(F.regexp_extract(F.coalesce(F.col(column), F.lit("")), pattern, 1))
+    return canonical(df.withColumn(column, F.when(found != "", found)), column, aliases)

@@ -55,6 +55,35 @@ def purity_toll(scored: DataFrame, model_count: str, kernel: Kernel = Kernel())
     return scored.withColumn("purity", purity).withColumn("score", F.col("score") - kernel.broad * F.pow(1 - purity, kernel.broad_power) * F.log1p("gain"))
 
 
+def community_weights(weights: DataFrame, shares: DataFrame, nutrient: str, alpha: float = 1.0) -> DataFrame:
+    """Weights of nutrients times the share of entities that carry them, to a power; nutrients of no entity weigh nothing."""
+    out = weights.join(shares.select(nutrient, "share"), nutrient, "left")
+    return out.withColumn("weight", F.col("weight") * F.pow(F.coalesce("share", F.lit(0.0)), F.lit(alpha))).drop("share")
+
+
+def formula(scored: DataFrame, kind: str = "full", kernel: Kernel = Kernel()) -> DataFrame:
+    """The score by one of the published formulas, from gain, improved, purity and processing.
+
+    "gain_only" is the gain's breadth alone; "full" takes the tolls of processing and of what else an item holds;
+    "explicit_admission" is the gain alone for items whose full score is positive, and nothing for others.
+    """
+    gain = F.log1p("gain") * breadth(F.col("improved"))
+    tolls = (kernel.processing * F.col("processing") + kernel.broad * F.pow(1 - F.col("purity"), kernel.broad_power)) * F.log1p("gain")
+    kinds = {"gain_only": gain, "full": gain - tolls, "explicit_admission": F.when(gain - tolls > 0, gain).otherwise(0.0)}
+    return scored.withColumn("score", kinds[kind])
+
+
+def portions(facts: DataFrame, category: str, amount: str, spices: str = "Spices and Herbs", allow: bool = False, share: float = 0.02) -> DataFrame:
+    """Facts without spices, or with spices at the share of 100 g that is eaten of them."""
+    spice = F.coalesce(F.col(category) == spices, F.lit(False))
+    return facts.withColumn(amount, F.when(spice, F.col(amount) * share).otherwise(F.col(amount))) if allow else facts.where(~spice)
+
+
+def scored_items(items: DataFrame, type_: str, category: str, types: tuple[str, ...] = ("branded_food", "survey_fndds_food"), categories: tuple[str, ...] = ()) -> DataFrame:
+    """Items that are scored: not of the label or recipe types, and of no dropped category; nulls are neither."""
+    return items.where(~F.coalesce(F.col(type_).isin(*types), F.lit(False)) & ~F.coalesce(F.col(category).isin(*categories), F.lit(False)))
+
+
 def ranked(df: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
     """The k best of each group, with rank from 1.
 

@@ -55,10 +55,10 @@ def sorensen(presence: DataFrame, entity: str, item: str) -> DataFrame:
 
     The work is the pairs that share items, not all pairs.
     """
-    own = presence.select(entity, item).distinct()
-    size = own.groupBy(entity).agg(F.count(F.lit(1)).alias("n"))
-    left, right = own.select(F.col(entity).alias("i"), item), own.select(F.col(entity).alias("j"), item)
-    shared = left.join(right, item).where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("shared"))
+    own = presence.select(F.col(entity).alias("_entity"), F.col(item).alias("_item")).distinct()
+    size = own.groupBy("_entity").agg(F.count(F.lit(1)).alias("n"))
+    left, right = (own.select(F.col("_entity").alias(name), "_item") for name in "ij")
+    shared = left.join(right, "_item").where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("shared"))
     out = shared.join(size.toDF("i", "n_i"), "i").join(size.toDF("j", "n_j"), "j")
     return out.select("i", "j", "shared", (1 - 2 * F.col("shared") / (F.col("n_i") + F.col("n_j"))).alias("distance"))
 
@@ -101,21 +101,70 @@ def rarefied(counts: DataFrame, sample: str, kind: str, n: str, depth: int) -> D
     return out.withColumn("expected", F.when(F.col("total") >= depth, F.col("expected")))
 
 
-def permanova(distances: DataFrame, groups: DataFrame, entity: str, group: str, permutations: int = 199, seed: int = 42) -> DataFrame:
+def _shape(groups: DataFrame, group: str) -> DataFrame:
+    """One row: n entities, g groups, and the pairs within groups and in all."""
+    m = groups.groupBy(group).agg(F.count(F.lit(1)).alias("m"))
+    return m.agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("g"), F.sum(F.expr("m * (m - 1) div 2")).alias("inside"), F.expr("sum(m) * (sum(m) - 1) div 2").alias("pairs"))
+
+
+def null_floor(groups: DataFrame, entity: str, group: str) -> DataFrame:
+    """One row: the R2 that a grouping without meaning is expected to reach, (g - 1) / (n - 1)."""
+    return _shape(groups.select(entity, group).na.drop(), group).select(F.try_divide(F.col("g") - 1, F.col("n") - 1).alias("floor"))
+
+
+def anosim(distances: DataFrame, groups: DataFrame, entity: str, group: str) -> DataFrame:
+    """One row, r: the difference of mean ranks of distances between and within groups, over a quarter of n (n - 1).
+
+    Ties take their mean rank; pairs without a row have distance 1 and are one tie at the end.
+    """
+    own = groups.select(entity, group).na.drop()
+    rows = distances.join(own.toDF("i", "g_i"), "i").join(own.toDF("j", "g_j"), "j").select("distance", (F.col("g_i") == F.col("g_j")).alias("_same"))
+    ranks = _cumulative(rows, "distance").select("distance", (F.col("below") + (F.col("n") + 1) / 2).alias("_rank"))
+    sums = rows.join(ranks, "distance").agg(
+        F.coalesce(F.sum(F.when(F.col("_same"), F.col("_rank"))), F.lit(0.0)).alias("_w"), F.coalesce(F.sum(F.when(~F.col("_same"), F.col("_rank"))), F.lit(0.0)).alias("_b"),
+        F.count_if("_same").alias("_nw"), F.count(F.lit(1)).alias("_n"),
+    )
+    one = sums.crossJoin(_shape(own, group))  # one row each
+    last = F.col("_n") + (F.col("pairs") - F.col("_n") + 1) / 2
+    within = F.try_divide(F.col("_w") + (F.col("inside") - F.col("_nw")) * last, "inside")
+    across = F.col("pairs") - F.col("inside")
+    between = F.try_divide(F.col("_b") + (across - (F.col("_n") - F.col("_nw"))) * last, across)
+    return one.select(((between - within) / (F.col("pairs") / 2)).alias("r"))
+
+
+def dispersion(distances: DataFrame, groups: DataFrame, entity: str, group: str) -> DataFrame:
+    """(group, n, spread): the mean distance of a group's entities from its centroid, from distances alone.
+
+    The squared distance of i is the mean of its squared distances in the group less half the mean over all of its
+    pairs; pairs without a row have distance 1.
+    """
+    own = groups.select(entity, group).na.drop()
+    m = own.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    both = distances.select("i", "j", "distance").union(distances.select("j", "i", "distance"))
+    near = both.join(own.toDF("i", "_g"), "i").join(own.toDF("j", "_h"), "j").where("_g = _h")
+    sums = near.groupBy(F.col("i").alias(entity)).agg(F.sum(F.col("distance") ** 2 - 1).alias("_less"))
+    rows = own.join(sums, entity, "left").join(m, group).withColumn("_row", (F.col("n") - 1 + F.coalesce("_less", F.lit(0.0))) / F.col("n"))
+    half = rows.groupBy(group).agg((F.avg("_row") / 2).alias("_half"))
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("_row") - F.col("_half")))
+    return rows.join(half, group).groupBy(group, "n").agg(F.avg(spread).alias("spread"))
+
+
+def permanova(distances: DataFrame, groups: DataFrame, entity: str, group: str, permutations: int = 199, seed: int = 42, block: str | None = None) -> DataFrame:
     """One row: F, R2 and the permutation p of a grouping, from squared distances of all pairs of the entities of ``groups``.
 
     Pairs without a row in ``distances`` have distance 1.  They are summed in closed form: with all distances 1 the sums
     of squares are (n - 1) / 2 in total and (n - g) / 2 within, and the rows' differences from 1 are added.
-    Each permutation is a deal of the group labels by hash; all of them are
-    summed in one join of pairs and labels.
+    Each permutation is a deal of the group labels by hash, within the blocks of ``block`` where it is given; all of
+    them are summed in one join of pairs and labels.
     """
-    groups = groups.select(entity, group).na.drop()
+    groups = groups.select(entity, group, (F.col(block) if block else F.lit(0)).alias("_block")).na.drop()
     sizes = groups.groupBy(group).agg(F.count(F.lit(1)).alias("_m"))
-    order = F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", entity), entity))
-    reps = F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("rep")
-    base = groups.select(entity, group, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(group, entity)).alias("_slot"))
-    dealt = groups.select(entity, reps).withColumn("_slot", order)
-    labels = dealt.where("rep > 0").join(base.select("_slot", group), "_slot").select("rep", entity, group).union(base.select(F.lit(0).alias("rep"), entity, group))
+    # Deal 0 is the order of the labels themselves: the others take labels from its places.
+    dealt = F.when(F.col("rep") > 0, F.xxhash64(F.lit(seed), "rep", entity)).otherwise(F.lit(0).cast("long"))
+    slots = groups.select(entity, group, "_block", F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("rep"))
+    slots = slots.withColumn("_slot", F.row_number().over(Window.partitionBy("rep", "_block").orderBy(dealt, group, entity)))
+    base = slots.where("rep = 0").select("_block", "_slot", group)
+    labels = slots.select("rep", entity, "_block", "_slot").join(base, ["_block", "_slot"]).select("rep", entity, group)
     pairs = distances.select("i", "j", (F.col("distance") ** 2 - 1).alias("_d2"))
     rows = pairs.join(labels.toDF("rep", "i", "g_i"), "i").join(labels.toDF("rep", "j", "g_j"), ["rep", "j"])
     inside = rows.where("g_i = g_j").join(sizes.toDF("g_i", "_m"), "g_i").groupBy("rep").agg(F.sum(F.col("_d2") / F.col("_m")).alias("_w"))

@@ -6,43 +6,12 @@ parts and brands the nutrients, quantities the amounts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers, text
 from tessera.operators import facts, graph, linkage, score, stats, verify
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-class Tables:
-    """The tables of a folder by name."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    """Register a function of Tables under its name, with its SQL."""
-
-    def add(f: Callable[[Tables], DataFrame]):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(Tables(spark, sf_dir))
-
-        run.__name__, run.__doc__ = f.__name__, f.__doc__
-        QUERIES[f.__name__] = run
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from tessera.plans.registry import Tables, query
 
 @query("""
 WITH a AS (
@@ -257,9 +226,10 @@ SELECT l_orderkey, l_linenumber, item, round(amount * CASE item WHEN 'l_quantity
 def unpivot_units(t: Tables) -> DataFrame:
     """A wide sheet as facts, each column's unit brought to its target's."""
     rows = facts.unpivot_units(t.lineitem, ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"], "item", "amount")
-    unit = F.when(F.col("item") == "l_quantity", "mg/100 g").when(F.col("item") == "l_discount", "G").otherwise("kcal")
-    target = F.when(F.col("item") == "l_quantity", "G").when(F.col("item") == "l_discount", "MG").otherwise("KJ")
-    return rows.withColumn("amount", F.round(F.col("amount") * numbers.unit_factor(unit, target), 6))
+    units = [("l_quantity", "mg/100 g", "G"), ("l_discount", "G", "MG"), ("l_tax", "kcal", "KJ")]
+    labels = t.spark.createDataFrame(units, "item string, source_unit string, target_unit string")
+    rows = numbers.with_factor(rows, labels, "item")
+    return rows.select("l_orderkey", "l_linenumber", "item", F.round(F.col("amount") * F.col("factor"), 6).alias("amount"))
 
 
 _CELL = "CASE l_linenumber % 7 WHEN 0 THEN 'Tr' WHEN 1 THEN '<' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) WHEN 2 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ',5' WHEN 3 THEN 'N' WHEN 4 THEN '(' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || '.25)' WHEN 5 THEN '-' ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END"
@@ -358,11 +328,12 @@ def augment_under_threshold(t: Tables) -> DataFrame:
 
 @query("""
 WITH o AS (SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ';') AS labels FROM orders GROUP BY o_custkey),
-e AS (SELECT o_custkey, unnest(string_split(labels, ';')) AS tier FROM o), r AS (SELECT *, CAST(substr(tier, 1, 1) AS INTEGER) AS rank FROM e)
-SELECT o_custkey, max_by(tier, rank) AS strictest, max(rank) AS rank FROM r GROUP BY o_custkey""")
+e AS (SELECT o_custkey, unnest(string_split(labels, ';')) AS tier FROM o),
+r AS (SELECT *, CASE WHEN substr(tier, 1, 1) <= '3' THEN CAST(substr(tier, 1, 1) AS INTEGER) END AS rank FROM e)
+SELECT o_custkey, coalesce(max_by(tier, rank), 'unknown') AS strictest, max(rank) AS rank FROM r GROUP BY o_custkey""")
 def strictest_tier(t: Tables) -> DataFrame:
     composite = facts.collapse_witnesses(t.orders.select("o_custkey", "o_orderpriority"), ["o_custkey"], "o_orderpriority")
-    tiers = t.orders.select(F.col("o_orderpriority").alias("tier")).distinct().withColumn("rank", F.substring("tier", 1, 1).cast("int"))
+    tiers = t.orders.select(F.col("o_orderpriority").alias("tier")).distinct().withColumn("rank", F.substring("tier", 1, 1).cast("int")).where("rank <= 3")
     return facts.best_label(composite, "o_custkey", "o_orderpriority", tiers, "tier", "rank")
 
 
@@ -428,13 +399,62 @@ def sorensen_pairs(t: Tables) -> DataFrame:
     return _distances(t).select("i", "j", "shared", F.round("distance", 6).alias("distance"))
 
 
-@query(_SORENSEN + """SELECT round(avg(distance) FILTER (WHERE a.n_regionkey = b.n_regionkey), 6) AS within, round(avg(distance) FILTER (WHERE a.n_regionkey <> b.n_regionkey), 6) AS between_
-FROM d JOIN nation a ON a.n_nationkey = i JOIN nation b ON b.n_nationkey = j""")
+#: All pairs of nations, over few of their parts: many pairs share none.
+_SPARSE = """
+WITH e AS (SELECT DISTINCT c_nationkey AS entity, l_partkey AS item FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey
+  WHERE l_quantity >= 49 AND l_linenumber = 1),
+n AS (SELECT entity, count(*) AS n FROM e GROUP BY entity),
+p AS (
+  SELECT a.n_nationkey AS i, b.n_nationkey AS j, a.n_regionkey = b.n_regionkey AS same, a.n_regionkey AS region,
+    coalesce(1 - 2.0 * (SELECT count(*) FROM e x JOIN e y ON x.item = y.item WHERE x.entity = a.n_nationkey AND y.entity = b.n_nationkey)
+      / ((SELECT n FROM n WHERE entity = a.n_nationkey) + (SELECT n FROM n WHERE entity = b.n_nationkey)), 1.0) AS distance
+  FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey)
+"""
+
+
+def _sparse_distances(t: Tables) -> DataFrame:
+    few = t.lineitem.where("l_quantity >= 49 and l_linenumber = 1")
+    own = t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey")).join(few, F.col("o_orderkey") == F.col("l_orderkey"))
+    return stats.sorensen(own, "c_nationkey", "l_partkey")
+
+
+@query(_SPARSE + "SELECT round(avg(distance) FILTER (WHERE same), 6) AS within, round(avg(distance) FILTER (WHERE NOT same), 6) AS between_ FROM p")
 def within_between_gap(t: Tables) -> DataFrame:
-    out = stats.within_between(_distances(t), t.nation, "n_nationkey", "n_regionkey")
+    out = stats.within_between(_sparse_distances(t), t.nation, "n_nationkey", "n_regionkey")
     return out.select(F.round("within", 6).alias("within"), F.round("between", 6).alias("between_"))
 
 
+@query(_SPARSE + """,
+r AS (SELECT *, rank() OVER (ORDER BY distance) + (count(*) OVER (PARTITION BY distance) - 1) / 2.0 AS rk FROM p)
+SELECT round((avg(rk) FILTER (WHERE NOT same) - avg(rk) FILTER (WHERE same)) / (count(*) / 2.0), 6) AS r, round((SELECT (count(DISTINCT n_regionkey) - 1.0) / (count(*) - 1) FROM nation), 6) AS floor FROM r""")
+def anosim_statistic(t: Tables) -> DataFrame:
+    """The difference of mean ranks between and within groups, and what a grouping without meaning reaches."""
+    r = stats.anosim(_sparse_distances(t), t.nation, "n_nationkey", "n_regionkey")
+    floor = stats.null_floor(t.nation, "n_nationkey", "n_regionkey")
+    return r.crossJoin(floor).select(F.round("r", 6).alias("r"), F.round("floor", 6).alias("floor"))  # one row each
+
+
+@query(_SPARSE + """,
+b AS (SELECT i, j, distance, region FROM p WHERE same UNION ALL SELECT j, i, distance, region FROM p WHERE same), m AS (SELECT n_regionkey AS region, count(*) AS n FROM nation GROUP BY 1),
+z AS (SELECT n_nationkey AS i, n_regionkey AS region, coalesce((SELECT sum(distance * distance) FROM b WHERE b.i = n_nationkey), 0) / n AS own, n FROM nation JOIN m ON region = n_regionkey),
+h AS (SELECT region, avg(own) / 2 AS half FROM z GROUP BY region)
+SELECT region AS n_regionkey, n, round(avg(sqrt(greatest(0, own - half))), 6) AS spread FROM z JOIN h USING (region) GROUP BY region, n""")
+def group_dispersion(t: Tables) -> DataFrame:
+    """The mean distance of each group's entities from their centroid."""
+    return stats.dispersion(_sparse_distances(t), t.nation, "n_nationkey", "n_regionkey").withColumn("spread", F.round("spread", 6))
+
+
+@query(_SPARSE + """,
+k AS (SELECT count(*) AS n, count(DISTINCT n_regionkey) AS g FROM nation), m AS (SELECT n_regionkey, count(*) AS m FROM nation GROUP BY n_regionkey),
+t AS (SELECT sum(distance * distance) / (SELECT n FROM k) AS total FROM p),
+w AS (SELECT sum(distance * distance / m) AS within FROM p JOIN m ON n_regionkey = region WHERE same)
+SELECT round(((total - within) / (g - 1)) / (within / (n - g)), 6) AS pseudo_f, round(1 - within / total, 6) AS r2 FROM k, t, w""")
+def permanova_statistic(t: Tables) -> DataFrame:
+    """F and R2 over all pairs, without permutations; the p of permanova rests on deals by hash."""
+    out = stats.permanova(_sparse_distances(t), t.nation, "n_nationkey", "n_regionkey", permutations=0)
+    return out.select(F.round("pseudo_f", 6).alias("pseudo_f"), F.round("r2", 6).alias("r2"))
+
+
 @query("""
 WITH r AS (SELECT o_custkey, o_orderpriority LIKE '1%' AS good, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders),
 f AS (SELECT o_custkey, min(CASE WHEN good THEN k END) AS k FROM r GROUP BY o_custkey)
@@ -461,8 +481,7 @@ def order_preserving_rekey(t: Tables) -> DataFrame:
     """New keys in the order of the old; one row says how often the order breaks."""
     empty = t.spark.createDataFrame([], "old long, new long")
     keys = facts.mint(t.supplier.select(F.col("s_suppkey").alias("old")), empty, "old", "new", 5001)
-    moved = keys.select("new", F.lag("new").over(Window.orderBy("old")).alias("prev"))  # a check of one small table
-    return moved.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("new") < F.col("prev")).alias("breaks"))
+    return facts.order_breaks(keys, "old", "new")
 
 
 @query("SELECT CAST(l_partkey % 256 AS INTEGER) AS bucket, count(*) AS n, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1")
@@ -596,10 +615,15 @@ def diversity_cap(t: Tables) -> DataFrame:
     return score.diversity_cap(slate, "entity", "item", "score", ["category"], 10)
 
 
-@query()
+@query("""
+WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), t AS (SELECT user_id, sum(n) AS total FROM c GROUP BY 1)
+SELECT user_id, CAST(total AS BIGINT) AS total, CASE WHEN total >= 5 THEN round(sum(1 - CASE WHEN total - n < 5 THEN 0 ELSE
+  ((total - n) * (total - n - 1) * (total - n - 2) * (total - n - 3) * (total - n - 4))::DOUBLE / (total * (total - 1) * (total - 2) * (total - 3) * (total - 4)) END), 6) END AS expected
+FROM c JOIN t USING (user_id) GROUP BY user_id, total""")
 def rarefaction_expectation(t: Tables) -> DataFrame:
+    """Expected kinds among five draws of each user's events."""
     counts = t.events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return stats.rarefied(counts, "user_id", "event_type", "n", 5).withColumn("expected", F.round("expected", 9))
+    return stats.rarefied(counts, "user_id", "event_type", "n", 5).withColumn("expected", F.round("expected", 6))
 
 
 @query()
@@ -607,14 +631,17 @@ def permanova(t: Tables) -> DataFrame:
     return stats.permanova(_distances(t), t.nation.select(F.col("n_nationkey").alias("entity"), F.col("n_regionkey").alias("g")), "entity", "g", 999)
 
 
-@query()
+@query("""
+SELECT s_suppkey AS query, s_nationkey AS id, round((length('NATION_' || s_nationkey) - 1.0) / length('NATION_' || s_nationkey), 6) AS ratio FROM supplier""")
 def fuzzy_match(t: Tables) -> DataFrame:
     """Written names of suppliers' nations with a slip, matched by similarity within blocks."""
     asked = t.supplier.select("s_suppkey", F.concat(F.lit("NACION_"), "s_nationkey").alias("name"))
-    return linkage.blocked_similarity(asked, t.nation, "s_suppkey", "name", "n_nationkey", "n_name", 0.8)
+    return linkage.blocked_similarity(asked, t.nation, "s_suppkey", "name", "n_nationkey", "n_name", 0.8).withColumn("ratio", F.round("ratio", 6))
 
 
-@query()
+@query("""
+SELECT s_suppkey, 'Genus' || (s_nationkey % 5) AS genus, 'Genus' || (s_nationkey % 5) || ' species' || s_nationkey || CASE WHEN s_suppkey % 3 = 0 THEN ' subsp. sub' ELSE '' END AS species,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'X1' END AS strain FROM supplier""")
 def organism_split(t: Tables) -> DataFrame:
     """Parts of composed names, parsed once for each distinct name."""
     names = t.supplier.select(F.concat(F.lit("Genus"), F.col("s_nationkey") % 5, F.lit(" species"), F.col("s_nationkey"), F.when(F.col("s_suppkey") % 3 == 0, " subsp. sub str. X1").otherwise("")).alias("name"), "s_suppkey")

@@ -89,8 +89,10 @@ def analytes(labels: DataFrame, catalogue: DataFrame, spec: Source) -> DataFrame
 
 def facts_of(sheet: DataFrame, spec: Source, items: DataFrame, mapped: DataFrame) -> DataFrame:
     """(item_id, nutrient_id, amount, source_db) of a sheet."""
-    cells = long_cells(sheet, spec).join(mapped.where("nutrient_id is not null"), "label")
-    amount = clean_number("cell", spec.policy) * unit_factor("source_unit", "target_unit")
+    known = mapped.where("nutrient_id is not null")
+    factors = known.withColumn("factor", unit_factor("source_unit", "target_unit"))  # once a label
+    cells = long_cells(sheet, spec).join(factors, "label")
+    amount = clean_number("cell", spec.policy) * F.col("factor")
     rows = cells.join(items.select(F.col("source_code").alias("key"), "item_id"), "key").select("item_id", "nutrient_id", amount.alias("amount")).where("amount is not null")
     if not spec.keep_zero:
         rows = rows.where("amount > 0")
@@ -107,6 +109,8 @@ def header_contains(labels: DataFrame, needles: DataFrame, label: str = "label")
 
     Needles are a fixed list of a source's analytes, so they go into the plan as one array.
     """
-    rows = [(r.ord, r.needle.lower(), r.nutrient_id) for r in needles.orderBy("ord").collect()]
+    rows = [(r.ord, r.needle.lower(), r.nutrient_id) for r in needles.orderBy("ord").limit(1001).collect()]
+    if len(rows) > 1000:
+        raise ValueError("more than 1000 needles don't go into a plan; join them")
     first = F.coalesce(*(F.when(F.contains(F.lower(label), F.lit(n)), F.lit(i)) for _, n, i in rows))
     return labels.select(label, first.alias("nutrient_id")).where("nutrient_id is not null")

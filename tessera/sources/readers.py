@@ -129,3 +129,57 @@ def ko_codes(spark: SparkSession, path: str) -> DataFrame:
     rows = headerless_tsv(spark, path, "ko string, definition string").where(F.col("ko").rlike(r"^K\d{5}$"))
     each = rows.select("ko", F.explode(bracket_codes("definition")).alias("ec_number"))
     return each.withColumn("partial", F.when(F.col("ec_number").rlike(FULL_CODE), "no").otherwise("yes"))
+
+
+def code_substrates(spark: SparkSession, path: str, unique: bool = True) -> DataFrame:
+    """(code, species, substrate) of an older export, columns with or without "?", several substrates joined by ";"."""
+    from tessera.functions.rules import code_in
+
+    raw = headed_tsv(spark, path)
+    rows = pick(raw, code=("?ec", "ec"), species=("?species", "species"), substrates=("?substrates", "substrates"))
+    each = rows.select(code_in("code").alias("code"), F.trim("species").alias("species"), F.explode(F.split("substrates", ";")).alias("s"))
+    out = each.select("code", "species", F.trim("s").alias("substrate")).where("code is not null and substrate <> ''")
+    return out.distinct() if unique else out
+
+
+def locus_species(spark: SparkSession, path: str) -> DataFrame:
+    """(sample, locus, species) of a map with two columns or, with the sample first, three; sample is null in the former."""
+    raw = spark.read.text(path).where("trim(value) <> ''").select(F.split("value", "\t").alias("c"))
+    three = F.size("c") >= 3
+    return raw.select(F.when(three, F.col("c")[0]).alias("sample"), F.when(three, F.get("c", F.lit(1))).otherwise(F.get("c", F.lit(0))).alias("locus"), F.when(three, F.get("c", F.lit(2))).otherwise(F.get("c", F.lit(1))).alias("species"))
+
+
+def species_of_loci(rows: DataFrame, mapped: DataFrame, sample: str, locus: str) -> DataFrame:
+    """rows with species: the sample's own entry for a locus, else the entry for all samples."""
+    own = mapped.where("sample is not null").groupBy(F.col("sample").alias(sample), F.col("locus").alias(locus)).agg(F.min("species").alias("_own"))
+    general = mapped.where("sample is null").groupBy(F.col("locus").alias(locus)).agg(F.min("species").alias("_general"))
+    return rows.join(own, [sample, locus], "left").join(general, locus, "left").withColumn("species", F.coalesce("_own", "_general")).drop("_own", "_general")
+
+
+def reaction_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(code, reaction), (reaction, equation) and (entity, structure) of the three files of a reaction database."""
+    from tessera.functions.rules import code_in
+
+    codes = pick(headed_tsv(spark, f"{path}/rhea2ec.tsv"), reaction=("RHEA_ID", "MASTER_ID"), code=("ID", "EC")).select(code_in("code").alias("code"), "reaction").where("code is not null and reaction is not null")
+    reactions = headerless_tsv(spark, f"{path}/rhea-reaction-smiles.tsv", "reaction string, equation string").where("equation is not null")
+    structures = headerless_tsv(spark, f"{path}/rhea-chebi-smiles.tsv", "entity string, structure string").where("structure is not null")
+    return codes, reactions, structures
+
+
+def any_table(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
+    """A delimited table by its ending; commas give way to semicolons where a comma finds one column.  rows is for a look only."""
+    low = path.lower()
+    if low.endswith((".tsv", ".txt", ".tab")):
+        df = headed_tsv(spark, path)
+    elif low.endswith(".csv"):
+        df = headed_tsv(spark, path, separator=",")
+        if len(df.columns) == 1:
+            df = headed_tsv(spark, path, separator=";")
+    else:
+        raise ValueError(f"{path}: only delimited tables are read")
+    return df if rows is None else df.limit(rows)
+
+
+def later_wins(rows: DataFrame, key: str, name: str, line: str) -> DataFrame:
+    """(key, names): of names under one key and entry the later row's stays; line is the row's place in its file."""
+    return rows.groupBy(key, "entry").agg(F.max_by(name, line).alias(name))

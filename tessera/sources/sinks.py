@@ -65,3 +65,30 @@ def cached(spark: SparkSession, path: str, mark: str, build) -> DataFrame:
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         build().write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{mark}")
     return spark.read.parquet(f"{path}/{mark}")
+
+
+def manifest(spark: SparkSession, path: str, *parts: str) -> DataFrame:
+    """Rows, files and bytes of each partition of a stored table, from one pass over its files' metadata columns."""
+    df = spark.read.parquet(path).select(*parts, F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_size").alias("_s"))
+    each = df.groupBy(*parts, "_f", "_s").agg(F.count(F.lit(1)).alias("_n"))
+    return each.groupBy(*parts).agg(F.sum("_n").alias("n_rows"), F.count(F.lit(1)).alias("n_files"), F.sum("_s").alias("n_bytes"))
+
+
+#: The result tables of a prediction and their columns (fixed values of the format).
+RESULTS = {
+    "community": ("rank", "item", "score", "category", "n_contributing"),
+    "differential": ("entity", "rank", "item", "score", "comp_score", "peer_median", "category"),
+    "per_item": ("item", "rank", "entity", "score"),
+    "per_entity": ("entity", "rank", "item", "score"),
+}
+
+
+def write_results(path: str, **tables: DataFrame) -> None:
+    """The four result tables, each with its own columns in their order; a table that lacks one is refused before any is written."""
+    for name, df in tables.items():
+        missing = [c for c in RESULTS[name] if c not in df.columns]
+        if missing:
+            raise ValueError(f"{name} lacks {missing}")
+    for name, df in tables.items():
+        columns = RESULTS[name]
+        write_tsv(df.select(*columns), f"{path}/{name}", [c for c in ("entity", "item") if c == columns[0]] + ["rank"])

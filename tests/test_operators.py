@@ -145,3 +145,97 @@ def test_blocked_similarity(spark):
     asked = spark.createDataFrame([("q", "glucosee"), ("r", "zzz")], "q string, name string")
     out = linkage.blocked_similarity(asked, names, "q", "name", "id", "name", 0.9).collect()
     assert [(r.query, r.id) for r in out] == [("q", 1)]
+
+
+def test_upsert_keeps_the_last_of_repeated_keys(spark):
+    current = spark.createDataFrame([(1, "old"), (2, "kept")], "k int, v string")
+    new = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (3, "c", 1)], "k int, v string, at int")
+    got = facts.upsert(current, new, "k", order=F.col("at")).select("k", "v")
+    assert rows(got) == [(1, "b"), (2, "kept"), (3, "c")]
+
+
+def test_labels_without_a_tier_are_unknown(spark):
+    df = spark.createDataFrame([(1, "x;y"), (2, "z"), (3, None)], "k int, labels string")
+    tiers = spark.createDataFrame([("x", 1), ("y", 2)], "label string, rank int")
+    assert rows(facts.best_label(df, "k", "labels", tiers, "label", "rank")) == [(1, "y", 2), (2, "unknown", None), (3, "unknown", None)]
+
+
+def test_order_breaks(spark):
+    df = spark.createDataFrame([(1, 5), (2, 6), (3, 4), (4, 9), (None, 1)], "a int, b int")
+    assert rows(facts.order_breaks(df, "a", "b")) == [(4, 1)]
+    assert rows(facts.order_breaks(df.limit(0), "a", "b")) == [(0, 0)]
+
+
+def test_sets_that_share_nothing(spark):
+    """Columns with the names that the operator uses inside, and pairs at distance 1."""
+    presence = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "j string, i int")
+    distances = stats.sorensen(presence, "j", "i")
+    groups = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "e string, g string")
+    assert rows(stats.within_between(distances, groups, "e", "g")) == [(0.0, 1.0, 1.0)]
+
+
+def test_permanova_against_numpy(spark):
+    """F, R2 and blocked permutations from the full matrix of distances."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    own = [(i, int(k)) for i in range(14) for k in rng.choice(40, 4, replace=False)]
+    sets = [{k for j, k in own if j == i} for i in range(14)]
+    d2 = np.array([[(1 - 2 * len(a & b) / (len(a) + len(b))) ** 2 for b in sets] for a in sets])
+    labels = np.array([i % 3 for i in range(14)])
+
+    def within(g):
+        return sum(d2[np.ix_(g == k, g == k)].sum() / 2 / (g == k).sum() for k in range(3))
+
+    total = d2.sum() / 2 / 14
+    want = ((total - within(labels)) / 2) / (within(labels) / 11)
+    distances = stats.sorensen(spark.createDataFrame(own, "e int, k int"), "e", "k")
+    groups = spark.createDataFrame([(i, int(labels[i]), i // 7) for i in range(14)], "e int, g int, b int")
+    for block in (None, "b"):
+        r = stats.permanova(distances, groups, "e", "g", 50, block=block).first()
+        assert (r.pseudo_f, r.r2) == (pytest.approx(want), pytest.approx(1 - within(labels) / total)) and 0 < r.p <= 1
+
+
+def test_greedy_basket_step_by_step(spark):
+    """Each choice is the best of all that are left, given what was taken before."""
+    import math
+    import random
+
+    r = random.Random(8)
+    amounts = [("e", f"i{i}", n, r.randint(1, 9) * 1.0, "xyz"[i % 3]) for i in range(9) for n in range(4) if r.random() < 0.6]
+    weights = {n: (1.0 + n / 4, 2.0 + n) for n in range(4)}
+    own = {}
+    for _, i, n, a, c in amounts:
+        own.setdefault((i, c), []).append((n, a))
+    eaten, kinds, want, left = {}, {}, [], dict(own)
+    for rank in range(1, 5):
+        def value(key):
+            gain = sum(weights[n][0] * (math.log1p((eaten.get(n, 0) + a) / weights[n][1]) - math.log1p(eaten.get(n, 0) / weights[n][1])) for n, a in left[key])
+            shared = sum(n in eaten for n, _ in left[key]) / len(left[key])
+            return math.log1p(gain) * math.sqrt(len(left[key]) / (len(left[key]) + 2)) - 0.6 * shared - 0.2 * kinds.get(key[1], 0)
+
+        best = max(sorted(left), key=value)
+        want.append((rank, best[0], pytest.approx(value(best))))
+        for n, a in left.pop(best):
+            eaten[n] = eaten.get(n, 0) + a
+        kinds[best[1]] = kinds.get(best[1], 0) + 1
+    df = spark.createDataFrame(amounts, "e string, i string, n int, a double, c string")
+    w = spark.createDataFrame([(n, *v) for n, v in weights.items()], "n int, weight double, scale double")
+    got = score.greedy_basket(df, w, "e", "i", "n", "a", "c", 4).orderBy("rank").select("rank", "i", "score").collect()
+    assert [tuple(x) for x in got] == want
+
+
+def test_diversity_cap_by_hand(spark):
+    import random
+
+    r = random.Random(5)
+    items = [("e", f"i{i:02}", r.randint(0, 50) / 10, "xyz"[r.randint(0, 2)], r.randint(0, 4)) for i in range(40)]
+    for k, cap in ((6, 2), (10, -1), (5, 0), (30, 1)):
+        limit = max(2, round(0.4 * k)) if cap < 0 else cap
+        taken, rest = [], []
+        for x in sorted(items, key=lambda x: (-x[2], x[1])):
+            full = limit and any(sum(t[j] == x[j] for t in taken) >= limit for j in (3, 4))
+            (rest if full else taken).append(x) if len(taken) < k else None
+        want = {x[1] for x in taken + rest[: k - len(taken)]}
+        df = spark.createDataFrame(items, "e string, i string, s double, c string, l int")
+        assert {x.i for x in score.diversity_cap(df, "e", "i", "s", ["c", "l"], k, cap).collect()} == want, (k, cap)

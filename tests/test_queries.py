@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import queries as plans
+from tessera.plans import catalogue as plans
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -85,3 +85,50 @@ def test_mint_stream(spark, tmp_path):
         mint_stream(stream, "code", "number", 100, f"{tmp_path}/reg", f"{tmp_path}/ckpt").awaitTermination(120)
         (tmp_path / "in" / "b.json").write_text('{"code": "y"}\n{"code": "a"}\n')
     assert {(r.code, r.number) for r in spark.read.parquet(f"{tmp_path}/reg").collect()} == {("x", 100), ("y", 101), ("a", 102)}
+
+
+def test_older_exports_and_maps(spark, tmp_path):
+    from tessera.sources import readers
+
+    (tmp_path / "old.tsv").write_text("?ec\t?species\t?substrates\nhttp://x/1.2.3.4\tAa bb\turea; malate;\nnone\tAa bb\turea\n")
+    assert sorted(map(tuple, readers.code_substrates(spark, str(tmp_path / "old.tsv")).collect())) == [("1.2.3.4", "Aa bb", "malate"), ("1.2.3.4", "Aa bb", "urea")]
+    (tmp_path / "map.tsv").write_text("L1\tAa bb\nS1\tL1\tCc dd\n\n")
+    mapped = readers.locus_species(spark, str(tmp_path / "map.tsv"))
+    rows = spark.createDataFrame([("S1", "L1"), ("S2", "L1"), ("S2", "L2")], "sample string, locus string")
+    got = readers.species_of_loci(rows, mapped, "sample", "locus")
+    assert sorted(map(tuple, got.select("sample", "locus", "species").collect()), key=str) == [("S1", "L1", "Cc dd"), ("S2", "L1", "Aa bb"), ("S2", "L2", None)]
+
+
+def test_reaction_files(spark, tmp_path):
+    from tessera.operators.matching import participants
+    from tessera.sources import readers
+
+    (tmp_path / "rhea2ec.tsv").write_text("RHEA_ID\tID\n1\t1.1.1.1\n2\t1.1.1.-\n")
+    (tmp_path / "rhea-reaction-smiles.tsv").write_text("1\tA.B>>C\n2\tA>>D\n")
+    (tmp_path / "rhea-chebi-smiles.tsv").write_text("CHEBI:1\tA\nCHEBI:2\tC\nCHEBI:3\tD\n")
+    got = participants(*readers.reaction_files(spark, str(tmp_path)))
+    assert sorted(map(tuple, got.collect())) == [("1.1.1.1", "CHEBI:1"), ("1.1.1.1", "CHEBI:2")]
+
+
+def test_any_table_and_results(spark, tmp_path):
+    from tessera.sources import readers, sinks
+
+    (tmp_path / "a.csv").write_text("x;y\n1;2\n")
+    assert readers.any_table(spark, str(tmp_path / "a.csv")).columns == ["x", "y"]
+    with pytest.raises(ValueError):
+        readers.any_table(spark, "a.xlsx")
+    df = spark.createDataFrame([("i", 1, "e", 0.5)], "item string, rank int, entity string, score double")
+    with pytest.raises(ValueError):
+        sinks.write_results(str(tmp_path / "out"), community=df)
+    sinks.write_results(str(tmp_path / "out"), per_item=df, per_entity=df)
+    assert spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "out/per_entity")).columns == ["entity", "rank", "item", "score"]
+    facts = spark.createDataFrame([(k, k * 1.0) for k in range(20)], "nutrient_id long, amount double")
+    sinks.write_bucketed(facts, str(tmp_path / "store"), "nutrient_id", 4)
+    assert sorted((r.bucket, r.n_rows) for r in sinks.manifest(spark, str(tmp_path / "store"), "bucket").collect()) == [(b, 5) for b in range(4)]
+
+
+def test_later_rows_win(spark):
+    from tessera.sources import readers
+
+    df = spark.createDataFrame([(1, "c", "old", 1), (1, "c", "new", 2), (1, "d", "x", 3)], "nutrient_id int, entry string, name string, line int")
+    assert sorted(map(tuple, readers.later_wins(df, "nutrient_id", "name", "line").collect())) == [(1, "c", "new"), (1, "d", "x")]
