@@ -17,7 +17,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality classifier rejects."""
+    """Drop the documents that the quality classifier rejects.
+
+    Null and empty texts are scored as any other; every row of a repeated doc_id is scored by its own text.  Without
+    labels of both classes every score is 0.5 and all stay.  Columns other than COLUMNS go.  An empty table stays empty.
+    """
     from tessera.llm.quality import quality_scores
 
     scores = quality_scores(docs, table(spark, sf_dir, "labels"), columns=COLUMNS[1:])
@@ -25,7 +29,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove repeated and nearly repeated lines; a document that loses its last line goes."""
+    """Remove repeated and nearly repeated lines; a document that loses its last line goes.
+
+    Null, empty and blank texts have no lines to lose and stay, as do rows with a null doc_id.  Repeated rows are one
+    document, with one fate.  n_chars is counted again where a text changed.
+    """
     from tessera.llm.line_dedup import line_duplicates
 
     out = line_duplicates(docs, columns=COLUMNS[2:])
@@ -35,7 +43,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the smallest doc_id, of each group of near-duplicates."""
+    """Keep one document, that of the smallest doc_id, of each group of near-duplicates.
+
+    Documents without words and rows with a null doc_id are in no group and stay.  A doc_id goes or stays with all of
+    its rows.
+    """
     from tessera.llm.near_dup import near_duplicates as groups
 
     gone = groups(docs).where("not kept").select("doc_id").distinct()
@@ -43,14 +55,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a benchmark item."""
+    """Drop the documents that hold a benchmark item.
+
+    Null, empty and wordless texts hold none and stay, as do rows with a null doc_id.  Without items all stay.
+    """
     from tessera.llm.tiling import clean
 
     return clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode what is left; decoding gives the text back."""
+    """Encode what is left; decoding gives the text back.
+
+    A null text is the empty one and gives no tokens; every row gives a row, repeated ones too.
+    """
     from tessera.llm.bpe import encode_decode
     from tessera.llm.registry import tokenizer_files
 
