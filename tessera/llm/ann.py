@@ -13,11 +13,13 @@
    the part of the residual that the code leaves.  Vectors whose upper bound
    reaches the k-th largest lower bound are reranked on the original vectors in
    double precision, so an estimate decides only what is looked at.
-3. Search.  A query first looks at one block of the list with the most promising
-   centre; the k-th score found there is a floor.  It then goes to the lists that
-   may hold more: <query, centre> + |query| * radius reaches the floor.  That
-   bound loses nothing; only epsilon can.  ``exact`` reranks every vector of those
-   lists instead, to measure recall.
+3. Search.  A query looks at the blocks of the lists with the most promising
+   centres first: one, then four times as many, and so on.  The k-th score so far
+   is its floor.  It skips lists that can't reach the floor (<query, centre> +
+   |query| * radius), and a block returns only what reaches it, so what a query
+   gets back grows with the number of passes and not with that of the blocks.
+   Lists and floors lose nothing; only epsilon can.  ``exact`` reranks every vector
+   of the lists instead, to measure recall.
 
 Bounds and codes are computed on vectors divided by a power of two near the
 largest component of all, and on queries divided by one of their own, so any
@@ -45,8 +47,8 @@ from tessera.llm._common import forget, settle
 
 BLOCK_SQL = "dim int, list int, block int, ids binary, raw binary, codes binary, scalars binary"
 BLOCK = pa.schema([*((c, pa.int32()) for c in ("dim", "list", "block")), *((c, pa.binary()) for c in ("ids", "raw", "codes", "scalars"))])
-QUERIES_SQL = "dim int, list int, block int, part int, ids binary, raw binary"
-QUERIES = pa.schema([*((c, pa.int32()) for c in ("dim", "list", "block", "part")), ("ids", pa.binary()), ("raw", pa.binary())])
+QUERIES_SQL = "dim int, list int, block int, part int, ids binary, raw binary, floors binary"
+QUERIES = pa.schema([*((c, pa.int32()) for c in ("dim", "list", "block", "part")), *((c, pa.binary()) for c in ("ids", "raw", "floors"))])
 FOUND_SQL = "query_id long, vec_id long, score double"
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 PLANES = 8
@@ -105,29 +107,34 @@ def estimates(codes: np.ndarray, scalars: np.ndarray, q: np.ndarray, epsilon: fl
     return estimate, norm * left[None, :] + step * (dim / 2 * scale)[None, :] + SLACK * norm
 
 
-def nearest(ids: np.ndarray, x: np.ndarray, near, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple]:
-    """The k best of the vectors that ``near`` (queries by vectors) admits for each query, scored on the original vectors."""
+def nearest(ids: np.ndarray, x: np.ndarray, near, query_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, k: int) -> list[tuple]:
+    """The k best of the vectors that ``near`` (queries by vectors) admits for each query, scored on the original vectors, but none under the floor."""
     out = []
-    columns = np.ascontiguousarray(x.T)
     with np.errstate(over="ignore", invalid="ignore"):
         for i, own in enumerate(query_ids):
             at = np.flatnonzero(near[i] & (ids != own))
-            score = np.zeros(len(at))
+            some, score = x[at], np.zeros(len(at))
             for d in range(q.shape[1]):  # summed in the order of the components
-                score += columns[d, at] * q[i, d]
+                score += some[:, d] * q[i, d]
+            high = ~(score < floors[i])
+            at, score = at[high], score[high]
             best = np.lexsort((ids[at], -np.where(np.isnan(score), -np.inf, score)))[:k]
             out += zip([own] * len(best), ids[at[best]], score[best])
     return out
 
 
-def admitted(codes: np.ndarray, scalars: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, epsilon: float) -> np.ndarray:
-    """Which vectors may be among a query's k nearest of the block."""
+def admitted(codes: np.ndarray, scalars: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, k: int, epsilon: float) -> np.ndarray:
+    """Which vectors may be among a query's k nearest of the block, and reach its floor where it has one (else -inf)."""
     estimate, error = estimates(codes, scalars, q, epsilon)
     if len(ids) <= k:
         return np.ones(estimate.shape, bool)
-    lower = np.where(ids[None, :] == query_ids[:, None], -np.inf, estimate - error)
-    floor = np.partition(lower, -k, axis=1)[:, -k]
-    return estimate + error >= floor[:, None]
+    upper = estimate + error
+    few = np.isinf(floors)  # without a floor the block gives one
+    if few.any():
+        lower = np.where(ids[None, :] == query_ids[few, None], -np.inf, (estimate - error)[few])
+        floors = floors.copy()
+        floors[few] = np.partition(lower, -k, axis=1)[:, -k]
+    return upper >= floors[:, None]
 
 
 def unit(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +180,7 @@ def _usable(df: DataFrame) -> DataFrame:
     return df.select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & fine).withColumn("dim", F.size("embedding"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 4096, query_rows: int = 4096, epsilon: float = 2.5, max_lists: int = 1024, sample_rows: int = 16_384, exact: bool = False) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 4096, query_rows: int = 4096, epsilon: float = 1.9, max_lists: int = 1024, sample_rows: int = 16_384, exact: bool = False) -> DataFrame:
     """The k vectors of largest inner product for each query: query_id, rank, vec_id, score.
 
     Both frames have vec_id and embedding; a query is compared with every
@@ -200,11 +207,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int
     placed = settle(vectors.mapInArrow(assign, "vec_id long, embedding array<double>, dim int, list int, far double"))
     # One row a list: max_lists of them, and one more for a dimension outside the sample.
     held = {(r["dim"], r["list"]): (-(-r.n // block_rows), r.far) for r in placed.groupBy("dim", "list").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}
-    bounds = {dim: ([i for d, i in sorted(held) if d == dim], np.array([held[d, i][1] for d, i in sorted(held) if d == dim])) for dim in {d for d, _ in held}}
+    bounds = {dim: tuple(np.array(x) for x in zip(*((i, *held[d, i]) for d, i in sorted(held) if d == dim))) for dim in {d for d, _ in held}}
     n_parts = max(1, -(-queries.count() // query_rows))
-    sizes = F.create_map(*(F.lit(x) for (d, i), (blocks, _) in held.items() for x in (f"{d}:{i}", blocks))) if held else F.create_map().cast("map<string,int>")
+    sizes = F.create_map(*(F.lit(x) for (d, i), (blocks, _) in held.items() for x in (f"{d}:{i}", int(blocks)))) if held else F.create_map().cast("map<string,int>")
     n_blocks = F.try_element_at(sizes, F.concat_ws(":", "dim", "list"))
 
+    def scaled(floors: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Scores in the measure of bounds, or -inf where they overflow."""
+        with np.errstate(over="ignore"):
+            floors = floors / scale / size
+        return np.where(np.isfinite(floors), floors - SLACK, -np.inf)
+
     def encoded(t: pa.Table) -> pa.Table:
         ids, dim = t["vec_id"].to_numpy(), t["dim"][0].as_py()
         order = np.argsort(ids, kind="stable")
@@ -215,8 +228,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int
     numbered = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int"))
     blocks = settle(numbered.groupBy("dim", "list", "block").applyInArrow(encoded, BLOCK_SQL))
 
-    def aims(floors: bool):
-        """Rows (query, list) for each query: its most promising list, or all others whose bound reaches its floor."""
+    def aimed(start: int, stop: int):
+        """For each query the blocks from start to stop, in the order of its lists, whose bound reaches its floor: (list, low, high) each."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -225,29 +238,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int
                 for dim, at, q in _matrix(batch.column(1), dims):
                     if dim not in bounds:
                         continue
-                    own, radius = bounds[dim]
+                    own, blocks, radius = bounds[dim]
                     q, size = unit(q)
-                    norm = np.linalg.norm(q, axis=1, keepdims=True)
-                    best = q @ lists.of(dim)[own].T
-                    home = best.argmax(axis=1)
-                    if floors:
-                        floor = np.array([np.nan if f is None else f for f in batch.column(3).to_pylist()])[at] / scale / size
-                        floor = np.where(np.isfinite(floor), floor, -np.inf)
-                        hit = best + norm * (radius + SLACK) >= floor[:, None]
-                        hit[np.arange(len(at)), home] = True
-                        i, j = np.nonzero(hit)
-                    else:
-                        i, j = np.arange(len(at)), home
-                    rows.append(at[i]), to.append(np.array(own)[j] * 2 + (home[i] == j))
+                    near = q @ lists.of(dim)[own].T
+                    order = np.argsort(-near, axis=1, kind="stable")
+                    bound = near + np.linalg.norm(q, axis=1, keepdims=True) * (radius + SLACK)
+                    ends = np.cumsum(blocks[order], axis=1)
+                    begins = ends - blocks[order]
+                    low, high = np.maximum(begins, start) - begins, np.minimum(ends, stop) - begins
+                    reach = np.take_along_axis(bound, order, axis=1) >= scaled(batch.column(3).to_numpy()[at], size)[:, None]
+                    i, j = np.nonzero((low < high) & reach)
+                    rows.append(at[i]), to.append(np.stack([own[order[i, j]], low[i, j], high[i, j] - 1]))
                 if rows:
-                    rows, to = np.concatenate(rows), np.concatenate(to)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in range(3)), pa.array((to // 2).astype(np.int32)), pa.array(to % 2 == 1)], ["vec_id", "embedding", "dim", "list", "home"])
+                    taken, to = pa.array(np.concatenate(rows)), np.concatenate(to, axis=1).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in range(4)), *map(pa.array, to)], ["vec_id", "embedding", "dim", "floor", "list", "low", "high"])
 
-        return run, "vec_id long, embedding array<double>, dim int, list int, home boolean"
+        return run, "vec_id long, embedding array<double>, dim int, floor double, list int, low int, high int"
 
     def packed(t: pa.Table) -> pa.Table:
         key = {c: t[c][0].as_py() for c in ("dim", "list", "block", "part")}
-        return pa.Table.from_pylist([key | {"ids": t["vec_id"].to_numpy().astype("<i8").tobytes(), "raw": t["embedding"].combine_chunks().flatten().to_numpy().tobytes()}], schema=QUERIES)
+        return pa.Table.from_pylist([key | {"ids": t["vec_id"].to_numpy().astype("<i8").tobytes(), "raw": t["embedding"].combine_chunks().flatten().to_numpy().tobytes(), "floors": t["floor"].to_numpy().tobytes()}], schema=QUERIES)
 
     def looked_up(aimed: DataFrame) -> DataFrame:
         """The k best of each block for the queries (with list and block) that are sent to it."""
@@ -259,27 +269,32 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int
                 for r in range(batch.num_rows):
                     a = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
                     ids, query_ids = np.frombuffer(a["ids"], "<i8"), np.frombuffer(a["query_ids"], "<i8")
-                    x, q = (np.frombuffer(a[c]).reshape(-1, a["dim"]) for c in ("raw", "query_raw"))
+                    x, q, floors = *(np.frombuffer(a[c]).reshape(-1, a["dim"]) for c in ("raw", "query_raw")), np.frombuffer(a["floors"])
                     codes, scalars = np.frombuffer(a["codes"], np.uint64).reshape(len(ids), -1), np.frombuffer(a["scalars"])
                     rows: list[tuple] = []
                     for i in range(0, len(q), BATCH):
                         own, some = query_ids[i : i + BATCH], q[i : i + BATCH]
-                        near = np.ones((len(own), len(ids)), bool) if exact else admitted(codes, scalars, ids, own, unit(some)[0], k, epsilon)
-                        rows += nearest(ids, x, near, own, some, k)
+                        (bare, size), floor = unit(some), floors[i : i + BATCH]
+                        near = np.ones((len(own), len(ids)), bool) if exact else admitted(codes, scalars, ids, own, bare, scaled(floor, size), k, epsilon)
+                        rows += nearest(ids, x, near, own, some, floor, k)
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(np.array(c, t.type.to_pandas_dtype())) for c, t in zip(zip(*rows), FOUND)], schema=FOUND)
 
         return work.mapInArrow(run, FOUND_SQL)
 
-    first = queries.select("vec_id", "embedding", "dim").mapInArrow(*aims(False)).withColumn("block", F.lit(0))
-    first = settle(looked_up(first))
-    scores = F.when(~F.isnan("score"), F.col("score"))
-    floors = first.groupBy("query_id").agg(F.when(F.count(scores) >= k, F.min(scores)).alias("floor")).withColumnRenamed("query_id", "vec_id")
-    rest = queries.join(floors, "vec_id", "left").select("vec_id", "embedding", "dim", "floor").mapInArrow(*aims(True))
-    rest = rest.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1))).where("not (home and block = 0)").drop("home")
-    found = first.union(looked_up(rest))
     by_score = F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(by_score.desc(), "vec_id"))
-    out = settle(found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
-    forget(placed, blocks, first)
-    return out
+    least = F.min(F.when(~F.isnan("score"), F.col("score")))
+    best = queries.sparkSession.createDataFrame([], FOUND_SQL)
+    start, stop, last = 0, 1, max((int(b[1].sum()) for b in bounds.values()), default=1)
+    while start < last:
+        floors = best.groupBy("query_id").agg(F.when(F.count(F.when(~F.isnan("score"), 1)) >= k, least).alias("found")).withColumnRenamed("query_id", "vec_id")
+        asked = queries.join(floors, "vec_id", "left").select("vec_id", "embedding", "dim", F.coalesce("found", F.lit(float("-inf"))).alias("floor"))
+        targets = asked.mapInArrow(*aimed(start, stop)).withColumn("block", F.explode(F.sequence("low", "high"))).drop("low", "high")
+        found = best.union(looked_up(targets)).withColumn("rank", place).where(F.col("rank") <= k)
+        had, best = best, settle(found.select("query_id", "vec_id", "score"))
+        if start:
+            forget(had)
+        start, stop = stop, 5 * stop
+    forget(placed, blocks)
+    return best.select("query_id", place.alias("rank"), "vec_id", "score")
