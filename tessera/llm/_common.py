@@ -121,6 +121,8 @@ def shared_dir(spark: SparkSession) -> str:
     Where that setting is absent (tests on one machine) the warehouse folder serves.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     root = root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
     return f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
@@ -170,5 +172,5 @@ def input_bytes(df: DataFrame) -> int:
 
 def shards_for(df: DataFrame, shard_bytes: int = 8 << 20) -> int:
     """Shards that hold the entries of about ``shard_bytes`` of input each, so a shard's size doesn't grow with the input."""
-    return max(shuffle_parts(df.sparkSession), min(1 << 20, -(-input_bytes(df) // shard_bytes)))
+    return max(shuffle_parts(df.sparkSession), min((1 << 31) - 1, -(-input_bytes(df) // shard_bytes)))
 

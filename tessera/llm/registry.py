@@ -15,6 +15,11 @@ def tokenizer_files() -> dict[str, str]:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that occur again or nearly again: counts and the kept text's hash.
+
+    Null and empty texts have no lines; a tie of place goes to the earlier line of the smaller doc_id.  See line_dedup for
+    repeated rows and null ids.
+    """
     from tessera.llm.line_dedup import line_duplicates
 
     out = line_duplicates(table(spark, sf_dir, "documents"))
@@ -22,30 +27,38 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text; a null text is the empty one, and every row gives a row, repeated ones too."""
     from tessera.llm.token_count import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), **tokenizer_files())
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it holds; null or wordless texts and items match nothing."""
     from tessera.llm.tiling import leaks
 
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents; texts without words and rows with a null doc_id are in no group."""
     from tessera.llm.near_dup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text and the text decoded from them, as hashes; a null text is the empty one."""
     from tessera.llm.bpe import encode_decode
 
     return encode_decode(table(spark, sf_dir, "documents"), **tokenizer_files())
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all rows for every row whose vec_id is divisible by 20; ties to the smaller vec_id.
+
+    Null, zero and non-finite vectors take no part, neither do rows with a null vec_id; repeated query rows are one query.
+    """
     from tessera.llm.ann import search
 
     vectors = table(spark, sf_dir, "embeddings")
@@ -53,24 +66,28 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, learned outside the held-out fold; null and empty texts are scored as any other."""
     from tessera.llm.quality import quality_scores
 
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that a window of 50 covers which also starts in a smaller doc_id; null texts have none."""
     from tessera.llm.substring_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learned outside the held-out fold; null, empty and blank texts score 0."""
     from tessera.llm.toxicity import toxicity_scores
 
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that a string of 100 covers which also starts earlier; a null text is the empty one."""
     from tessera.llm.suffix_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))

@@ -14,8 +14,10 @@ document it repeats.  So:
    repeat.  Consecutive repeated windows are maximal exact repeats.
 3. The words that they cover are removed.
 
-Windows are judged on the input, by 64-bit hashes of 64-bit word hashes.  A
-passage in thousands of documents costs its own occurrences, no pairs.
+Windows are judged on the input, by two independent 64-bit polynomials over
+64-bit word hashes: of 10 ** 13 windows two different ones are taken for equal
+with a probability of about 10 ** -13.  A passage in thousands of documents costs
+its own occurrences, no pairs.
 
 Cases: null, empty and blank texts have no words, nothing is removed and the
 kept text is empty.  Texts shorter than a window are kept whole.  Rows with one
@@ -37,8 +39,8 @@ from pyspark.sql import functions as F
 from tessera.llm._common import WordHash, documents_only, forget, mix, rolling, settle, sha, shards_for, slices, utf8
 
 #: A shard's part of a slice: for each document its id and number of entries, then the entries' hashes and positions.
-PACKED = "shard int, ids binary, counts binary, low binary, high binary, places binary"
-_PACKED = pa.schema([("shard", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("places", pa.binary())])
+PACKED = "shard int, ids binary, counts binary, low binary, high binary, places binary, more binary"
+_PACKED = pa.schema([("shard", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("places", pa.binary()), ("more", pa.binary())])
 #: A shard's answer to a part of the documents, and all answers to one document.
 DEALT = "part int, ids binary, counts binary, first binary, second binary"
 _DEALT = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("ids", "counts", "first", "second"))])
@@ -56,15 +58,16 @@ def widen(b: bytes) -> np.ndarray:
     return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
 
 
-def pack(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray, ids: np.ndarray, shards: int, high_bytes: int) -> pa.RecordBatch | None:
-    """One row a shard.  docs: index into ids of each entry, ascending; 4 + high_bytes bytes of each hash are kept."""
+def pack(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray, ids: np.ndarray, shards: int, high_bytes: int, more: np.ndarray | None = None) -> pa.RecordBatch | None:
+    """One row a shard.  docs: index into ids of each entry, ascending; 4 + high_bytes bytes of each hash are kept, and all of a second one."""
     if not len(hashes):
         return None
     shard = ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
     order = np.argsort(shard, kind="stable")
     shard, hashes, docs, places = shard[order], hashes[order], docs[order], places[order]
+    more = more[order] if more is not None else hashes[:0]
     cuts = np.flatnonzero(np.diff(shard)) + 1
-    rows: list[list] = [[] for _ in range(6)]
+    rows: list[list] = [[] for _ in range(7)]
     for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)]):
         own, counts = np.unique(docs[i:j], return_counts=True)
         rows[0].append(int(shard[i]))
@@ -73,6 +76,7 @@ def pack(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray, ids: np.ndarr
         rows[3].append((hashes[i:j] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
         rows[4].append((hashes[i:j] >> np.uint64(32)).astype(f"<u{high_bytes}").tobytes())
         rows[5].append(narrow(places[i:j]))
+        rows[6].append(more[i:j].tobytes())
     return pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, _PACKED)], schema=_PACKED)
 
 
@@ -181,7 +185,7 @@ def _windows(anchored: DataFrame, window: int, block: int, shards: int) -> DataF
                 np.add.at(near, np.maximum(hits - (window - block), first[docs[hits]]), 1)
                 np.add.at(near, hits + 1, -1)
                 at = np.flatnonzero((np.cumsum(near)[:n] > 0) & (rest[:n] >= window))
-                out = pack(rolling(words, window, 50)[at], docs[at], at - first[docs[at]], ids[i:j], shards, 4)
+                out = pack(rolling(words, window, 50)[at], docs[at], at - first[docs[at]], ids[i:j], shards, 4, rolling(words, window, 51)[at])
                 if out is not None:
                     yield out
 
@@ -191,9 +195,10 @@ def _windows(anchored: DataFrame, window: int, block: int, shards: int) -> DataF
 def _repeats(windows: DataFrame, parts: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         h, docs, places = unpack(t, 4)
-        order = np.lexsort((docs, h))
-        h, docs, places = h[order], docs[order], places[order]
-        new = np.append(True, h[1:] != h[:-1])
+        more = np.frombuffer(b"".join(t["more"].to_pylist()), np.uint64)
+        order = np.lexsort((docs, more, h))
+        h, more, docs, places = h[order], more[order], docs[order], places[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (more[1:] != more[:-1]))
         later = docs > docs[np.flatnonzero(new)][np.cumsum(new) - 1]
         return deal(docs[later], places[later], None, parts)
 

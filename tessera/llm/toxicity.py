@@ -19,6 +19,9 @@
    restored words among them: one sure word is enough, a weak one needs company,
    and length alone adds nothing.  Readings that overlap in a string are one word.
 
+A word has at most READINGS readings, of the PATHS best spellings that the decoder
+keeps for each pair of last letters; a text's score takes its TOP_WORDS worst
+words.  These are parameters of the decoder and the score, not of the input.
 The lexicon is learned from ``sample_rows`` labelled rows at most (the least
 hashes of doc_id) and keeps ``max_entries`` entries.
 The language model and the scores cover all documents and whole texts.

@@ -1,5 +1,8 @@
 """Search, decontamination and the two classifiers."""
 
+import itertools
+import math
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -67,7 +70,7 @@ def test_search_recall(spark):
     queries = df.where("vec_id % 20 = 0")
     key = ["query_id", "vec_id"]
     exact = ann.search(df, queries, exact=True).select(key)
-    found = ann.search(df, queries, block_rows=128).select(key)
+    found = ann.search(df, queries, block_rows=64).select(key)
     assert exact.count() == found.count() == 2000
     assert found.join(exact, key).count() >= 0.98 * 2000
 
@@ -161,10 +164,52 @@ def test_quality(spark):
     assert np.trace(c) / c.sum() >= 0.97
 
 
+def plain_statistics(text):
+    """The 19 statistics, counted one by one."""
+    data = (text or "").encode()
+    words, lines = data.split(), [x for x in data.split(b"\n") if x.strip()]
+    odds = lambda part, whole: math.log((part + 0.5) / (whole - part + 0.5))
+    kinds = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t", "\n", ".,;:", "!?", "|<>{}[]\\/_=", "#$%&*@^~+"]
+    n, m, low = len(data), len(words), [w.lower() for w in words]
+    out = [math.log(1 + n), math.log(1 + m)] + [odds(sum(chr(c) in kind for c in data), n) for kind in kinds] + [odds(sum(c >= 128 for c in data), n)]
+    out.append(odds(len(set(low)), m) / (1 + 0.2 * math.log(1 + m)))
+    out.append(odds(sum(low[i] == low[i + 1] for i in range(m - 1)), max(0, m - 1)))
+    out.append(odds(len(lines) - len(set(lines)), len(lines)))
+    out.append(math.log(1 + n / max(1, m)))
+    out.append(-sum(data.count(c) / n * math.log2(data.count(c) / n) for c in set(data)) if n else 0.0)
+    out.append(odds(sum(w[-1] < 128 and not chr(w[-1]).isalnum() for w in words), m))
+    out.append(odds(sum(w.isupper() for w in words), m))
+    return out
+
+
+def test_quality_against_a_plain_discriminant(spark):
+    """Scores of a whole table from densities with explicit inverses and determinants."""
+    import zlib
+
+    data = "/root/testdata/sf0.001"
+    documents, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    x = {r.doc_id: np.array(plain_statistics(r.text)) for r in documents.collect()}
+    own = [(x[r.doc_id], r.quality) for r in labels.collect() if r.quality is not None and r.doc_id in x and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    sets = [np.array([v for v, y in own if y == k]) for k in (0, 1)]
+    cov = [np.cov(s.T, bias=True) for s in sets]
+    pooled = sum(len(s) * c for s, c in zip(sets, cov)) / len(own)
+    pooled = 0.9 * pooled + 0.1 * np.diag(np.diag(pooled)) + 1e-6 * np.eye(19)
+    full = [c + (p - c) * w for c, p, w in ((c, pooled, 0.05 * len(own) / (0.05 * len(own) + len(s))) for s, c in zip(sets, cov))]
+
+    def density(v, k):
+        d = v - sets[k].mean(axis=0)
+        return math.log(len(sets[k]) / len(own)) - d @ np.linalg.inv(full[k]) @ d / 2 - np.linalg.slogdet(full[k])[1] / 2
+
+    for r in quality.quality_scores(documents, labels).collect():
+        gap = max(-50.0, min(50.0, density(x[r.doc_id], 0) - density(x[r.doc_id], 1)))
+        assert r.score == pytest.approx(1 / (1 + math.exp(gap)), abs=1e-5)
+        assert r.predicted == (r.score >= 0.5)
+
+
 def test_toxicity(spark):
     documents, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     c = held_out_counts(toxicity.toxicity_scores(documents, labels), labels, "toxic")
-    assert c[0, 1] <= 0.03 * c[0].sum() and c[1, 1] >= 0.5 * c[1].sum()
+    assert c[0, 1] <= 0.03 * c[0].sum() and c[1, 1] >= 0.8 * c[1].sum()
 
 
 def test_restoration(spark):
@@ -173,7 +218,7 @@ def test_restoration(spark):
     for token, word in (("1d10t", "idiot"), ("l0$er", "loser"), ("i.d.i.o.t", "idiot"), ("looooser", "loser")):
         assert word in toxicity.restored(token, model)
     assert toxicity.spelled("what l o s e r you are".split()) == ["loser"]
-    assert toxicity.restored("2024", model) == () or True
+    assert "idiot" not in toxicity.restored("2024", model) and toxicity.restored("!!!", model) == ()
 
 
 @pytest.fixture(scope="module")
@@ -182,6 +227,29 @@ def letters(spark):
     return toxicity.character_model(spark.read.parquet(f"{DATA}/documents.parquet"))
 
 
+@settings(max_examples=80, deadline=None)
+@given(token=st.text("aeilost10$!.@*", min_size=1, max_size=7))
+def test_best_reading_against_all_readings(letters, token):
+    """The Viterbi path costs what the cheapest of all readings in the lattice costs."""
+    options = [letters.options(m[1], len(m[0])) for m in toxicity._RUNS.finditer(token)]
+
+    def cost(reading, price):
+        codes = [0, 0, *map(letters.code, reading), 0]
+        return price + sum(letters.cost[a][b][c] for a, b, c in zip(codes, codes[1:], codes[2:]))
+
+    all_readings: dict[str, float] = {}
+    for path in itertools.product(*options):
+        reading, price = "".join(x for x, _ in path), sum(p for _, p in path)
+        all_readings[reading] = min(all_readings.get(reading, math.inf), cost(reading, price))
+    found = letters.restore(token)
+    if len(all_readings) == 1 and "" in all_readings:
+        assert found == []
+    else:
+        best = min(c for r, c in all_readings.items())
+        first = found[0] if found else ""
+        assert all_readings[first] == pytest.approx(best) or min(all_readings, key=all_readings.get) == ""
+
+
 def test_long_strings_are_read_whole(letters):
     fill = [f"word{'abcdefgh'[i % 8]}" for i in range(80)]
     for joint in (",", "...", "_", "/", "\u200b"):
@@ -214,6 +282,15 @@ def test_pieces_between_marks_are_read(letters):
         assert word in toxicity.restored(token.lower(), letters), token
 
 
+def test_scores_at_the_edges(spark):
+    """A tie at the threshold counts as 1, and a text of many megabytes is scored whole."""
+    long = "good words of a text. " * 150_000
+    df = spark.createDataFrame([(1, long), (2, "idiot"), (3, "idiot"), (3, "other")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [(r.score, r.predicted) for r in quality.quality_scores(df, none).collect()] == [(0.5, 1)] * 4
+    assert [(r.score, r.predicted) for r in toxicity.toxicity_scores(df, none).collect()] == [(0.0, 0)] * 4
+
+
 def test_edge_cases(spark, docs, rows, empty):
     labels = spark.createDataFrame([(4, 1, 0), (70, 0, 1), (71, None, None), (None, 1, 1), (4, 1, 1)], "doc_id long, quality int, toxic int")
     for f in (quality.quality_scores, toxicity.toxicity_scores):

@@ -30,33 +30,16 @@ def test_run_gives_tokens(spark):
 
 
 def plain_lines(rows):
-    from collections import Counter
-
-    from tests.llm.test_dedup import edits
-
-    places, first = {}, {}
-    for i in sorted(rows):
-        for n, x in enumerate((rows[i][0] or "").split("\n")):
-            if x.strip(" "):
-                places[i, n] = x
-                first.setdefault(x, (i, n))
-    long_ones = sorted((x.encode() for x in first if len(x.encode()) >= 60), key=len)
-    counts = {x: Counter(x) for x in long_ones}
-    near = set()
-    for k, x in enumerate(long_ones):
-        for y in long_ones[k + 1 :]:
-            if len(y) > len(x) + 2:
-                break
-            if sum(((counts[x] - counts[y]) + (counts[y] - counts[x])).values()) <= 4 and edits(x, y) <= 2:
-                near.add(max(x.decode(), y.decode(), key=first.get))
+    from tests.llm.test_dedup import lines_by_hand
+
+    by_hand = lines_by_hand([(i, text) for i, (text, _) in rows.items()])
     out = {}
     for i, (text, n_chars) in rows.items():
-        lines = (text or "").split("\n")
-        kept = [x for n, x in enumerate(lines) if (i, n) not in places or (first[x] == (i, n) and x not in near)]
-        if len(kept) == len(lines):
+        n_lines, n_removed, _, kept = by_hand[i]
+        if not n_removed:
             out[i] = text, n_chars
-        elif kept:
-            out[i] = "\n".join(kept), len("\n".join(kept))
+        elif n_removed < n_lines:
+            out[i] = kept, len(kept)
     return out
 
 
@@ -140,3 +123,18 @@ def test_stages_equal_plain_versions(spark):
     library = tokenizers.Tokenizer.from_file(str(tokenizer_files()["json_path"]))
     want = {i: library.encode(text or "", add_special_tokens=False).ids for i, (text, _) in after.items()}
     assert {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, DATA).collect()} == want
+
+
+def test_stages_take_any_rows(spark):
+    """Nulls in every column, empty texts, repeated rows, ids with two texts, further columns, and no rows at all."""
+    text = "one and the same text of some words that go on for a while, as near copies and lines are looked for in it"
+    rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (2, text + " too", None, None, None), (3, None, "en", "a", None), (4, "", "en", "a", 0), (None, text, "en", "a", 5), (5, "Of.", "en", "a", 3), (5, "Other.", "en", "a", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as bucket", "2 as shard", "'x' as line", "3 as score")
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (docs, docs.limit(0)):
+            out = stage(spark, df, DATA)
+            found = out.collect()
+            assert len(found) <= df.count()
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == list(corpus_pipeline.COLUMNS)
+                assert name == corpus_pipeline.STAGES[0][0] or df is not docs or {None, 5} <= {r.doc_id for r in found}
