@@ -89,9 +89,14 @@ def analytes(labels: DataFrame, catalogue: DataFrame, spec: Source) -> DataFrame
 
 def facts_of(sheet: DataFrame, spec: Source, items: DataFrame, mapped: DataFrame) -> DataFrame:
     """(item_id, nutrient_id, amount, source_db) of a sheet."""
+    return facts_of_cells(long_cells(sheet, spec), spec, items, mapped)
+
+
+def facts_of_cells(cells: DataFrame, spec: Source, items: DataFrame, mapped: DataFrame) -> DataFrame:
+    """(item_id, nutrient_id, amount, source_db) of cells (key, label, cell)."""
     known = mapped.where("nutrient_id is not null")
     factors = known.withColumn("factor", unit_factor("source_unit", "target_unit"))  # once a label
-    cells = long_cells(sheet, spec).join(factors, "label")
+    cells = cells.join(factors, "label")
     amount = clean_number("cell", spec.policy) * F.col("factor")
     rows = cells.join(items.select(F.col("source_code").alias("key"), "item_id"), "key").select("item_id", "nutrient_id", amount.alias("amount")).where("amount is not null")
     if not spec.keep_zero:

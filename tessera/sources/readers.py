@@ -32,9 +32,9 @@ def pick(df: DataFrame, **aliases: Sequence[str]) -> DataFrame:
     return df.select(*out)
 
 
-def headerless_tsv(spark: SparkSession, path: str, schema: T.StructType | str, sample: str | None = None) -> DataFrame:
-    """A table without a header; with ``sample``, a column of the file's name without its ending."""
-    df = spark.read.option("sep", "\t").schema(schema).csv(path)
+def headerless_tsv(spark: SparkSession, path: str, schema: T.StructType | str, sample: str | None = None, needed: Sequence[str] = ()) -> DataFrame:
+    """A table without a header; with ``sample``, a column of the file's name without its ending.  Rows need the ``needed`` columns."""
+    df = spark.read.option("sep", "\t").schema(schema).csv(path).na.drop("any", subset=[*needed] or None) if needed else spark.read.option("sep", "\t").schema(schema).csv(path)
     return df if sample is None else df.withColumn(sample, F.regexp_replace(F.col("_metadata.file_name"), r"(_ec)?\.[^.]+$", ""))
 
 
@@ -69,11 +69,17 @@ def ontology_relations(terms: DataFrame) -> DataFrame:
     return parents.union(others)
 
 
-def keyed_json(spark: SparkSession, path: str, field: str, fields: Sequence[str], skip: Sequence[str] = ()) -> DataFrame:
-    """(key, field, value) of a JSON document whose ``field`` maps keys to lists of {"value": ...} under ``fields``."""
+def keyed_json(spark: SparkSession, path: str, field: str, fields: Sequence[str], skip: Sequence[str] = (), lines: bool = False) -> DataFrame:
+    """(key, field, value) of a JSON document whose ``field`` maps keys to lists of {"value": ...} under ``fields``.
+
+    A document is one row of one task.  With ``lines`` each line is an object of keys by itself, so a large export that
+    was split into lines is read by many.
+    """
     entry = T.StructType([T.StructField(f, T.ArrayType(T.StructType([T.StructField("value", T.StringType())]))) for f in fields])
     schema = T.StructType([T.StructField(field, T.MapType(T.StringType(), entry))])
-    doc = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", schema)[field]).alias("key", "entry")).where(~F.col("key").isin(*skip) if skip else F.lit(True))
+    raw = spark.read.text(path, wholetext=not lines)
+    parsed = F.from_json("value", schema[field].dataType) if lines else F.from_json("value", schema)[field]
+    doc = raw.select(F.explode(parsed).alias("key", "entry")).where(~F.col("key").isin(*skip) if skip else F.lit(True))
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"entry.{f}").alias("values")) for f in fields)))
     return doc.select("key", each.alias("e")).select("key", "e.field", F.explode("e.values").alias("v")).select("key", "field", "v.value")
 
@@ -183,3 +189,69 @@ def any_table(spark: SparkSession, path: str, rows: int | None = None) -> DataFr
 def later_wins(rows: DataFrame, key: str, name: str, line: str) -> DataFrame:
     """(key, names): of names under one key and entry the later row's stays; line is the row's place in its file."""
     return rows.groupBy(key, "entry").agg(F.max_by(name, line).alias(name))
+
+
+def unique_rows(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Distinct whole rows of a large table without a header, or of the Parquet twin beside it where there is one."""
+    twin = spark._jvm.org.apache.hadoop.fs.Path(path + ".parquet")
+    if twin.getFileSystem(spark._jsc.hadoopConfiguration()).exists(twin):
+        return spark.read.parquet(path + ".parquet").na.drop("any").dropDuplicates()
+    return headerless_tsv(spark, path, schema).na.drop("any").dropDuplicates()
+
+
+def either_layout(spark: SparkSession, path: str, columns: Sequence[str], headerless: Sequence[str]) -> DataFrame:
+    """The columns of a table that has them in its header, or of an older one without a header whose columns are ``headerless``."""
+    first = spark.read.text(path).limit(1).collect()
+    head = first[0].value.split("\t") if first else []
+    if all(c in head for c in columns):
+        return headed_tsv(spark, path, columns).select(*columns)
+    if len(head) != len(headerless):
+        raise ValueError(f"{path} has {len(head)} columns, not {list(headerless)}")
+    return headerless_tsv(spark, path, ", ".join(f"{c} string" for c in headerless)).select(*columns)
+
+
+def complete_codes(df: DataFrame, partial: str = "partial") -> DataFrame:
+    """The rows of a bridge table whose codes are complete; an error if it doesn't say which are."""
+    return require_columns(df, [partial]).where(F.lower(partial) == "no")
+
+
+def parameters(path: str | None = None, variable: str | None = None, default: str | None = None) -> dict:
+    """Settings of the file that is given, else of the one an environment variable names, else of the default.
+
+    JSON, or lines "key: value" with sections by indentation; paths that begin with "./" are relative to the file.
+    """
+    import json
+    import os
+
+    chosen = path or (os.environ.get(variable) if variable else None) or default
+    if chosen is None:
+        raise ValueError("no parameter file")
+    base = os.path.dirname(os.path.abspath(chosen))
+
+    def value(x):
+        if isinstance(x, str) and x.startswith("./"):
+            return os.path.normpath(os.path.join(base, x))
+        return {k: value(v) for k, v in x.items()} if isinstance(x, dict) else x
+
+    with open(chosen, encoding="utf-8") as f:
+        text = f.read()
+    if chosen.endswith(".json"):
+        return value(json.loads(text))
+    out: dict = {}
+    stack = [(-1, out)]
+    for line in text.splitlines():
+        bare = line.split(" #")[0].rstrip()
+        if not bare.strip() or bare.lstrip().startswith("#"):
+            continue
+        indent, (key, _, rest) = len(bare) - len(bare.lstrip()), bare.strip().partition(":")
+        while stack[-1][0] >= indent:
+            stack.pop()
+        if rest.strip():
+            try:
+                stack[-1][1][key] = json.loads(rest.strip())
+            except json.JSONDecodeError:
+                stack[-1][1][key] = rest.strip()
+        else:
+            stack[-1][1][key] = {}
+            stack.append((indent, stack[-1][1][key]))
+    return value(out)

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import bucket_of
-from tessera.functions.text import sanitise
+from tessera.functions.text import code_sort_key, sanitise
+from tessera.operators.facts import append_missing
 
 
 def write_bucketed(facts: DataFrame, path: str, key: str, buckets: int = 256, by_source: str | None = None, mode: str = "append", compression: str = "zstd") -> None:
@@ -92,3 +93,21 @@ def write_results(path: str, **tables: DataFrame) -> None:
     for name, df in tables.items():
         columns = RESULTS[name]
         write_tsv(df.select(*columns), f"{path}/{name}", [c for c in ("entity", "item") if c == columns[0]] + ["rank"])
+
+
+def write_by_code(df: DataFrame, path: str, code: str, *rest: str) -> None:
+    """A headed TSV in the numeric order of a dotted code, then by the rest."""
+    levels = code_sort_key(code)
+    write_tsv(df, path, [*(F.get(levels, F.lit(i)).asc_nulls_last() for i in range(4)), *rest])
+
+
+def pruned(before: DataFrame, after: DataFrame, part: str = "bucket") -> DataFrame:
+    """What a copy of a store left out, from both manifests: rows and bytes of each partition before and after."""
+    a, b = (df.select(part, F.col("n_rows").alias(f"rows_{n}"), F.col("n_bytes").alias(f"bytes_{n}")) for df, n in ((before, "before"), (after, "after")))
+    return a.join(b, part, "left").na.fill(0, ["rows_after", "bytes_after"])
+
+
+def append_catalogue(current: DataFrame, new: DataFrame, key: str, limits: dict[str, int]) -> DataFrame:
+    """Current entries and new ones of keys that it lacks, their texts cut to the lengths that the catalogue allows."""
+    short = new.select(*(F.substring(c, 1, limits[c]).alias(c) if c in limits else F.col(c) for c in new.columns))
+    return append_missing(current, short, key)

@@ -132,3 +132,72 @@ def test_later_rows_win(spark):
 
     df = spark.createDataFrame([(1, "c", "old", 1), (1, "c", "new", 2), (1, "d", "x", 3)], "nutrient_id int, entry string, name string, line int")
     assert sorted(map(tuple, readers.later_wins(df, "nutrient_id", "name", "line").collect())) == [(1, "c", "new"), (1, "d", "x")]
+
+
+def cells(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_sheets_on_a_spine(spark):
+    from tessera.sources import assemble
+
+    spine = spark.createDataFrame([("1", "a", 1), ("1", "b", 2), ("2", "c", 3)], "code string, name string, row int")
+    more = spark.createDataFrame([("1", "x", "5"), ("1#2", "y", "6")], "code string, name string, fat string")
+    assert cells(assemble.numbered_sheets(spine, [more], "code", "row").select("code", "name", "fat")) == [("1#2", "b", "6"), ("1", "a", "5"), ("2", "c", None)]
+    main = spark.createDataFrame([("1001", "a"), (None, "unit"), ("2001", "b")], "no string, name string")
+    annex = spark.createDataFrame([("2001", "other"), ("3001", "c")], "no string, name string")
+    acids = spark.createDataFrame([("1001", "9")], "no string, acid string")
+    assert cells(assemble.spine_with_annex(main, annex, [acids], "no").select("no", "name", "acid", "category")) == [(1001, "a", "9", "1"), (2001, "b", None, "2"), (3001, "c", None, "3")]
+    assert cells(assemble.units_of_row(spark.createDataFrame([(None, "g", None), ("1", "2", "3")], "id string, fat string, x string"), "id")) == [("fat", "g")]
+
+
+def test_stacked_sheets(spark):
+    from tessera.sources import assemble
+
+    a = spark.createDataFrame([("1", "rice", None, "Oryza", "1"), (None, "descriptor", None, None, None)], "id string, en string, own string, sp string, fat string")
+    b = spark.createDataFrame([("1", "rice again", None, None, "7"), ("2", "", "riz", None, "3")], "id string, en string, own string, sp string, ash string")
+    assert cells(assemble.with_species([a, b], "id", ["en", "own"], "sp", ["en"]).select("id", "description")) == [("1", "rice [Oryza]"), ("2", "riz")]
+    assert assemble.tidy_headers(spark.createDataFrame([(1, 2, 3)], "x int, `y\nz` int, w int").toDF("x", "y\nz", "x")).columns == ["x", "y z", "x__dup2"]
+
+
+def test_analytes_and_long_sources(spark):
+    from tessera.sources import assemble
+
+    labels = spark.createDataFrame([("a", "Fat", "G"), ("b", "Fat", "KJ"), ("c", "Odd", "G"), ("d", "None", "G")], "label string, name string, source_unit string")
+    catalogue = spark.createDataFrame([(1, "Fat", "KJ"), (2, "fat ", "G")], "id long, name string, unit_name string")
+    assert cells(assemble.two_key_analytes(labels, catalogue, {"odd": 9})) == [("a", 2), ("b", 1), ("c", 9), ("d", None)]
+    nitrogen = assemble.per_nitrogen(spark.createDataFrame([("Lysine (mg/gN)",), ("Lysine (mg)",)], "label string"))
+    assert cells(nitrogen) == [("Lysine (mg)", "Lysine", "mg"), ("Lysine (mg/gN)", "Lysine per g n", "mg/gN")]
+    amounts = spark.createDataFrame([(1, 7, "2"), (1, 8, "3"), (9, 7, "4")], "food int, nut int, v string")
+    got = assemble.related_cells(amounts, spark.createDataFrame([(1,)], "food int"), spark.createDataFrame([(7, "fat")], "nut int, n string"), "food", "nut", "n", "v")
+    assert cells(got) == [("1", "fat", "2")]
+    means = spark.createDataFrame([("x", "c", "m1", 1.0), ("x", "c", "m1", 3.0), ("x", "c", "m2", 8.0), ("x", "c", "m2", None)], "key string, label string, method string, a double")
+    assert cells(assemble.mean_of_means(means, "method", F.col("a"))) == [("x", "c", 5.0)]
+    assert cells(assemble.synthetic_facts(spark, [(1, 2, 3)], {2: [5]})) == [(1, 2, 3.0, "synthetic"), (1, 5, 3.0, "synthetic")]
+    assert cells(assemble.first_method(spark.createDataFrame([("", "2"), ("1", "2")], "a string, b string"), ["a", "b"], "p")) == [("1",), ("2",)]
+    assert cells(assemble.digits_key(spark.createDataFrame([("01_172",), ("x",)], "code string"), "code")) == [("01172",)]
+
+
+def test_layouts_and_parameters(spark, tmp_path, monkeypatch):
+    from tessera.sources import readers, sinks
+
+    (tmp_path / "new.tsv").write_text("tax\tec\tmore\n1\t1.1.1.1\tx\n")
+    (tmp_path / "old.tsv").write_text("a\t1\t1.1.1.1\n")
+    for name in ("new", "old"):
+        assert cells(readers.either_layout(spark, str(tmp_path / f"{name}.tsv"), ["tax", "ec"], ["x", "tax", "ec"])) == [("1", "1.1.1.1")]
+    with pytest.raises(ValueError):
+        readers.either_layout(spark, str(tmp_path / "old.tsv"), ["tax", "ec"], ["tax", "ec"])
+    (tmp_path / "big.tsv").write_text("a\tb\na\tb\na\t\n")
+    assert cells(readers.unique_rows(spark, str(tmp_path / "big.tsv"), "x string, y string")) == [("a", "b")]
+    (tmp_path / "p.yaml").write_text("# comment\npaths:\n  food: ./food.parquet\nweight: 0.5\nname: plain text\n")
+    assert readers.parameters(str(tmp_path / "p.yaml")) == {"paths": {"food": str(tmp_path / "food.parquet")}, "weight": 0.5, "name": "plain text"}
+    monkeypatch.setenv("SOME_FILE", str(tmp_path / "p.yaml"))
+    assert readers.parameters(variable="SOME_FILE")["weight"] == 0.5
+    with pytest.raises(ValueError):
+        readers.parameters()
+    (tmp_path / "lines.json").write_text('{"k1": {"f": [{"value": "a"}]}}\n{"k2": {"f": [{"value": "b"}]}}\n')
+    assert cells(readers.keyed_json(spark, str(tmp_path / "lines.json"), "data", ["f"], ["k2"], lines=True)) == [("k1", "f", "a")]
+    sinks.write_by_code(spark.createDataFrame([("1.1.1.10",), ("1.1.1.2",), ("1.1.1.-",)], "ec string").coalesce(1), str(tmp_path / "sorted"), "ec")
+    assert [r.ec for r in spark.read.option("header", True).csv(str(tmp_path / "sorted")).coalesce(1).collect()] == ["1.1.1.2", "1.1.1.10", "1.1.1.-"]
+    current = spark.createDataFrame([(1, "x")], "id int, name string")
+    assert cells(sinks.append_catalogue(current, spark.createDataFrame([(1, "y"), (2, "long name")], "id int, name string"), "id", {"name": 4})) == [(1, "x"), (2, "long")]
