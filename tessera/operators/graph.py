@@ -53,26 +53,27 @@ def canonical(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
 
 
 def bounded_walk(seeds: DataFrame, edges: DataFrame, max_cost: float, max_rounds: int = 64) -> DataFrame:
-    """(seed, node, cost, steps, etypes): the cheapest walk from each seed to each node within ``max_cost``.
+    """(seed, node, cost, steps, etypes, nodes): the cheapest walk from each seed to each node within ``max_cost``.
 
     seeds has seed; edges has src, dst, etype, weight (positive).  Of equal
     costs the walk of fewer steps is taken, then that of the smallest list of
-    edge types.  A round extends only what the last one improved.
+    edge types, then of nodes (all after the seed).  A round extends only what the
+    last one improved.
     """
     none = F.array().cast("array<string>")
-    best = cut_lineage(seeds.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("steps"), none.alias("etypes")))
+    best = cut_lineage(seeds.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("steps"), none.alias("etypes"), F.array().cast(f"array<{seeds.schema['seed'].dataType.simpleString()}>").alias("nodes")))
     fresh = best
     roads = edges.select(F.col("src").alias("node"), "dst", "etype", F.col("weight").cast("double").alias("weight"))
     for _ in range(max_rounds):
         reached = fresh.join(roads, "node").withColumn("total", F.col("cost") + F.col("weight")).where(F.col("total") <= max_cost)
-        offer = F.struct(F.col("total").alias("cost"), (F.col("steps") + 1).alias("steps"), F.concat("etypes", F.array("etype")).alias("etypes"))
+        offer = F.struct(F.col("total").alias("cost"), (F.col("steps") + 1).alias("steps"), F.concat("etypes", F.array("etype")).alias("etypes"), F.concat("nodes", F.array("dst")).alias("nodes"))
         found = reached.select("seed", F.col("dst").alias("node"), offer.alias("offer")).groupBy("seed", "node").agg(F.min("offer").alias("offer"))
-        had = best.select("seed", "node", F.struct("cost", "steps", "etypes").alias("had"))
+        had = best.select("seed", "node", F.struct("cost", "steps", "etypes", "nodes").alias("had"))
         merged = had.join(found, ["seed", "node"], "full_outer")
         better = F.col("had").isNull() | (F.col("offer") < F.col("had"))
         state = cut_lineage(merged.select("seed", "node", F.coalesce(F.when(better, F.col("offer")), F.col("had")).alias("s"), F.coalesce(better & F.col("offer").isNotNull(), F.lit(False)).alias("fresh")))
-        best = state.select("seed", "node", "s.cost", "s.steps", "s.etypes")
-        fresh = state.where("fresh").select("seed", "node", "s.cost", "s.steps", "s.etypes")
+        best = state.select("seed", "node", "s.*")
+        fresh = state.where("fresh").select("seed", "node", "s.*")
         if fresh.isEmpty():
             return best
     raise RuntimeError("the walk did not end; are all weights positive?")

@@ -42,16 +42,27 @@ def ladder(rows: DataFrame, rungs: Sequence[tuple[str, DataFrame, Column, str]],
 def blocked_similarity(queries: DataFrame, names: DataFrame, query_id: str, query: str, id_: str, name: str, cutoff: float = 0.9, bin_width: int = 5, longest_bin: int = 25) -> DataFrame:
     """(query, id, ratio): the most similar name of each query over ``cutoff``.
 
-    Names are compared only with the same first letter or digit and a length
-    bin that is the query's own or next to it.  The similarity of a pair of
-    texts is computed once however many rows have them.
+    Names are compared only with the same first letter or digit and a length bin that
+    is the query's own or next to it, and only where their lengths
+    leave the cutoff possible.  The similarity of a pair of texts is computed once
+    however many rows have them.  Queries without a match are asked again with the
+    words of both in order.
     """
+    found = _blocked(queries, names, query_id, query, id_, name, cutoff, bin_width, longest_bin)
+    rest = queries.join(found.select(F.col("query").alias(query_id)), query_id, "left_anti")
+    in_order = lambda c: F.array_join(F.array_sort(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")), " ")
+    again = _blocked(rest.withColumn(query, in_order(query)), names.withColumn(name, in_order(name)), query_id, query, id_, name, cutoff, bin_width, longest_bin)
+    return found.union(again)
+
+
+def _blocked(queries: DataFrame, names: DataFrame, query_id: str, query: str, id_: str, name: str, cutoff: float, bin_width: int, longest_bin: int) -> DataFrame:
     first = lambda c: F.regexp_extract(F.lower(F.col(c)), r"[a-z0-9]", 0)
     bin_of = lambda c: F.least(F.floor(F.length(c) / bin_width) * bin_width, F.lit(longest_bin))
     near = F.explode(F.array_distinct(F.array(*(F.least(bin_of(query) + d, F.lit(longest_bin)) for d in (-bin_width, 0, bin_width)))))
     asked = queries.select(F.col(query).alias("_q"), first(query).alias("_f"), near.alias("_b")).distinct()
     known = names.select(F.col(name).alias("_n"), first(name).alias("_f"), bin_of(name).alias("_b")).distinct()
-    pairs = asked.join(known, ["_f", "_b"]).select("_q", "_n").distinct()
+    a, b = F.length("_q"), F.length("_n")
+    pairs = asked.join(known, ["_f", "_b"]).where(2 * F.least(a, b) >= cutoff * (a + b)).select("_q", "_n").distinct()
     close = pairs.withColumn("ratio", sequence_ratio("_q", "_n")).where(F.col("ratio") >= cutoff)
     hits = queries.select(F.col(query_id).alias("query"), F.col(query).alias("_q")).join(close, "_q").join(names.select(F.col(id_).alias("id"), F.col(name).alias("_n")), "_n")
     return hits.groupBy("query").agg(F.min_by(F.struct("id", "ratio"), F.struct(-F.col("ratio"), F.col("id"))).alias("best")).select("query", "best.id", "best.ratio")

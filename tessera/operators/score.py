@@ -136,6 +136,12 @@ def diversity_cap(scored: DataFrame, entity: str, item: str, score: str, groups:
     return few.groupBy(entity).applyInPandas(pick, schema)
 
 
+def differential(scored: DataFrame, entity: str, item: str, score: str, groups: list[str], k: int = 10, cap: int = -1, min_peers: int = 20, rank: str = "score") -> DataFrame:
+    """Each entity's items above their peers, ranked by their own score (or by the difference, "comp_score"), with no group too often."""
+    admitted = peer_gate(scored, entity, item, score, min_peers)
+    return diversity_cap(admitted, entity, item, score if rank == "score" else "comp_score", groups, k, cap)
+
+
 def greedy_basket(amounts: DataFrame, weights: DataFrame, entity: str, item: str, nutrient: str, amount: str, category: str, k: int, kernel: Kernel = Kernel()) -> DataFrame:
     """(entity, rank, item, score): items chosen one by one, each for what it adds to those before.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -76,3 +76,33 @@ def weighted_match_rate(rows: DataFrame, cell: str, known: DataFrame, code: str,
     hit = cells.select(cell, F.explode(split).alias(code)).join(known.select(code).distinct(), code, "left_semi").select(cell).distinct().withColumn("_hit", F.lit(True))
     out = cells.where(F.size(split) > 0).join(hit, cell, "left").agg(F.sum("_n").alias("n"), F.coalesce(F.sum(F.when(F.col("_hit"), F.col("_n"))), F.lit(0)).alias("matched"))
     return out.withColumn("rate", F.col("matched") / F.col("n"))
+
+
+def code_substance_checks(df: DataFrame, code: str, flag: str, ids: str, pattern: str) -> DataFrame:
+    """Contracts of a table of codes and substances: full codes, a yes/no flag, and ids where the flag says yes."""
+    yes = F.col(flag) == "yes"
+    return row_checks(df, {"full_code": F.col(code).rlike(pattern), "flag_known": F.col(flag).isin("yes", "no"), "yes_has_ids": ~F.coalesce(yes, F.lit(False)) | (F.trim(F.coalesce(ids, F.lit(""))) != "")})
+
+
+def composition_checks(df: DataFrame, amount: str, name: str, item: str) -> DataFrame:
+    """Contracts of a composition table: amounts are numbers or blank, and how many items have no name."""
+    text = F.trim(F.coalesce(F.col(amount).cast("string"), F.lit("")))
+    numbers = row_checks(df, {"amount_numeric": (text == "") | text.try_cast("double").isNotNull()})
+    blank = df.agg(F.countDistinct(F.when(F.trim(F.coalesce(name, F.lit(""))) == "", F.col(item))).alias("detail"))
+    return numbers.unionByName(blank.select(F.lit("items_without_name").alias("check_name"), (F.col("detail") == 0).alias("passed"), "detail"))
+
+
+def rights_checks(rights: DataFrame, observed: DataFrame, source: str, needed: Sequence[str], restricted: Column) -> DataFrame:
+    """Contracts of a rights table: its fields are filled, every observed label has a row, and no restricted one is observed."""
+    filled = row_checks(rights, {"fields_filled": reduce(lambda a, b: a & b, (F.trim(F.coalesce(c, F.lit(""))) != "" for c in needed))})
+    barred = observed.select(source).distinct().join(rights.where(restricted).select(source), source, "left_semi").agg(F.count(F.lit(1)).alias("detail"))
+    leaks = barred.select(F.lit("no_restricted_rows").alias("check_name"), (F.col("detail") == 0).alias("passed"), "detail")
+    return all_checks(filled, reference_check(observed.select(source).distinct(), source, rights, source, "labels_have_rights"), leaks)
+
+
+def migration_checks(moved: DataFrame, source: str, old: str, new: str, inside: Column) -> DataFrame:
+    """Contracts of new keys: each once, inside its source's block, in the old order within a source, and as many as before."""
+    once = moved.groupBy(new).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").agg(F.count(F.lit(1)).alias("detail"))
+    order = moved.withColumn("_before", F.lag(new).over(Window.partitionBy(source).orderBy(old))).agg(F.count_if(F.col(new) < F.col("_before")).alias("detail"))
+    named = lambda df, name: df.select(F.lit(name).alias("check_name"), (F.col("detail") == 0).alias("passed"), "detail")
+    return all_checks(named(once, "unique"), row_checks(moved, {"contained": inside, "every_key_moved": F.col(new).isNotNull()}), named(order, "order_kept"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import cohort, exports, graph
+from tessera.operators import cohort, expansion, exports, graph, verify
 from tessera.plans.queries import _WALK, _geography
 from tessera.plans.registry import Tables, query
 
@@ -191,3 +191,52 @@ def community_targets(t: Tables) -> DataFrame:
     return cohort.community(t.lineitem.where("l_quantity > 45"), "l_partkey")
 
 
+
+
+@query("""
+WITH d AS (SELECT CASE WHEN p_size % 10 = 0 THEN '1.1.1.-' ELSE '1.1.1.' || p_size END AS code, CASE p_size % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'maybe' END AS flag, CASE WHEN p_size % 2 = 0 THEN p_name END AS ids,
+  CASE WHEN p_size % 7 = 0 THEN 'x' ELSE '1.5' END AS amount, CASE WHEN p_size % 11 = 0 THEN '' ELSE p_name END AS name, p_partkey FROM part),
+l AS (SELECT DISTINCT 'NATION_' || (s_suppkey % 30) AS source FROM supplier),
+c AS (SELECT 'full_code' AS check_name, count(*) FILTER (WHERE code LIKE '%-') AS detail FROM d UNION ALL SELECT 'flag_known', count(*) FILTER (WHERE flag = 'maybe') FROM d
+UNION ALL SELECT 'yes_has_ids', count(*) FILTER (WHERE flag = 'yes' AND ids IS NULL) FROM d UNION ALL SELECT 'amount_numeric', count(*) FILTER (WHERE amount = 'x') FROM d
+UNION ALL SELECT 'items_without_name', count(DISTINCT CASE WHEN name = '' THEN p_partkey END) FROM d UNION ALL SELECT 'fields_filled', 0
+UNION ALL SELECT 'labels_have_rights', count(*) FILTER (WHERE source NOT IN (SELECT n_name FROM nation)) FROM l
+UNION ALL SELECT 'no_restricted_rows', count(*) FILTER (WHERE source IN (SELECT n_name FROM nation WHERE n_regionkey = 2)) FROM l)
+SELECT check_name, detail = 0 AS passed, detail FROM c""")
+def table_contracts(t: Tables) -> DataFrame:
+    """Contracts of code, composition and rights tables, with rows that break them."""
+    size = F.col("p_size")
+    d = t.part.select(
+        F.when(size % 10 == 0, "1.1.1.-").otherwise(F.concat(F.lit("1.1.1."), size)).alias("code"), F.expr("CASE p_size % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'maybe' END").alias("flag"), F.when(size % 2 == 0, F.col("p_name")).alias("ids"),
+        F.when(size % 7 == 0, "x").otherwise("1.5").alias("amount"), F.when(size % 11 == 0, "").otherwise(F.col("p_name")).alias("name"), "p_partkey",
+    )
+    rights = t.nation.select(F.col("n_name").alias("source"), F.concat(F.lit("l"), "n_regionkey").alias("licence"), "n_regionkey")
+    observed = t.supplier.select(F.concat(F.lit("NATION_"), F.col("s_suppkey") % 30).alias("source"))
+    return verify.all_checks(
+        verify.code_substance_checks(d, "code", "flag", "ids", r"^\d+(\.\d+){3}$"), verify.composition_checks(d, "amount", "name", "p_partkey"), verify.rights_checks(rights, observed, "source", ["source", "licence"], F.col("n_regionkey") == 2)
+    )
+
+
+@query("""
+WITH m AS (SELECT 's' || (s_suppkey % 3) AS source, s_suppkey AS old, (s_suppkey % 3 + 1) * 1000 + CASE WHEN s_suppkey = 9 THEN 1 ELSE s_suppkey END AS new FROM supplier),
+o AS (SELECT *, lag(new) OVER (PARTITION BY source ORDER BY old) AS prev FROM m),
+c AS (SELECT 'unique' AS check_name, (SELECT count(*) FROM (SELECT new FROM m GROUP BY new HAVING count(*) > 1)) AS detail
+UNION ALL SELECT 'contained', count(*) FILTER (WHERE new // 1000 <> CAST(substr(source, 2) AS INTEGER) + 1) FROM m UNION ALL SELECT 'every_key_moved', 0 UNION ALL SELECT 'order_kept', count(*) FILTER (WHERE new < prev) FROM o)
+SELECT check_name, detail = 0 AS passed, detail FROM c""")
+def migration_contracts(t: Tables) -> DataFrame:
+    home = F.col("s_suppkey") % 3
+    moved = t.supplier.select(F.concat(F.lit("s"), home).alias("source"), F.col("s_suppkey").alias("old"), ((home + 1) * 1000 + F.when(F.col("s_suppkey") == 9, 1).otherwise(F.col("s_suppkey"))).alias("new"))
+    return verify.migration_checks(moved, "source", "old", "new", F.floor(F.col("new") / 1000) == F.substring("source", 2, 9).cast("int") + 1)
+
+
+_CATALOGUE = ["Protein", "Phytosterols, total", "Vitamin E", "Tocopherol, alpha", "Minerals", "Iron, Fe", "Glucose", "Starch", "Sugars, total including NLEA", "Carbohydrate, by difference", "Lysine", "Phytosterols", "Water", "Vitamin D (D2 + D3)"]
+
+
+@query("""
+SELECT * FROM (VALUES ('alias_to_canonical', 2, 2), ('carb_to_complex_carbs', 1, 1), ('carb_to_sugars', 1, 1), ('minerals_total_to_specific', 1, 1), ('protein_to_amino_acids', 21, 1), ('vitamin_d_split', 2, 1), ('vitamin_e_to_vit_e_forms_existing', 1, 1)) v(rule, n, generics)
+WHERE (SELECT count(*) FROM part) > 0""")
+def expansion_rules(t: Tables) -> DataFrame:
+    """How many links each family of rules gives over a small catalogue."""
+    catalogue = t.spark.createDataFrame([(i + 1, n) for i, n in enumerate(_CATALOGUE)], "id int, name string")
+    edges, _ = expansion.expand_catalogue(catalogue)
+    return expansion.family_counts(edges)
