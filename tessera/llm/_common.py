@@ -160,6 +160,30 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def by_group(df: DataFrame, groups: int, run, schema: str) -> DataFrame:
+    """run (a table to a table) on the rows of each number in df's first column, which goes from 0 (or below) to ``groups``.
+
+    Groups are dealt to partitions in turn and not by hash, so partitions hold equally many; a task holds one group at a time.
+    """
+    key, n = df.columns[0], min(groups, shuffle_parts(df.sparkSession))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i < j:
+                    if held and held[0].column(0)[0].as_py() != keys[i]:
+                        yield from run(pa.Table.from_batches(held)).to_batches()
+                        held = []
+                    held.append(batch.slice(i, j - i))
+        if held:
+            yield from run(pa.Table.from_batches(held)).to_batches()
+
+    return df.repartitionById(n, F.pmod(F.col(key), F.lit(n))).sortWithinPartitions(key).mapInArrow(each, schema)
+
+
 def documents_only(df: DataFrame) -> DataFrame:
     """doc_id and text alone, so that other columns can't clash with the operators' own."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

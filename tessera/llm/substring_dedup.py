@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WordHash, documents_only, forget, mix, rolling, settle, sha, shards_for, slices, utf8
+from tessera.llm._common import WordHash, by_group, documents_only, forget, mix, rolling, settle, sha, shards_for, slices, utf8
 
 #: A shard's part of a slice: for each document its id and number of entries, then the entries' hashes and positions.
 PACKED = "shard int, ids binary, counts binary, low binary, high binary, places binary, more binary"
@@ -106,7 +106,7 @@ def deal(docs: np.ndarray, first: np.ndarray, second: np.ndarray | None, parts:
     return pa.Table.from_arrays([pa.array(r, f.type) for r, f in zip(rows, _DEALT)], schema=_DEALT)
 
 
-def gathered(dealt: DataFrame) -> DataFrame:
+def gathered(dealt: DataFrame, parts: int) -> DataFrame:
     """One row a document, with all of its places."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -118,7 +118,7 @@ def gathered(dealt: DataFrame) -> DataFrame:
         ends = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]))
         return pa.Table.from_arrays([pa.array(ids[[i for i, _ in ends]]), *(pa.array([narrow(c[i:j]) for i, j in ends], pa.binary()) for c in (first, second))], schema=_FOUND)
 
-    return dealt.groupBy("part").applyInArrow(run, FOUND)
+    return by_group(dealt, parts, run, FOUND)
 
 
 def places_of(b: bytes | None) -> np.ndarray:
@@ -164,7 +164,7 @@ def _anchors(probes: DataFrame, block: int, parts: int) -> DataFrame:
         keep = (many & indexed)[group]
         return deal(docs[keep], places[keep], None, parts)
 
-    return gathered(probes.groupBy("shard").applyInArrow(run, DEALT))
+    return gathered(by_group(probes, parts, run, DEALT), parts)
 
 
 def _windows(anchored: DataFrame, window: int, block: int, shards: int) -> DataFrame:
@@ -202,7 +202,7 @@ def _repeats(windows: DataFrame, parts: int) -> DataFrame:
         later = docs > docs[np.flatnonzero(new)][np.cumsum(new) - 1]
         return deal(docs[later], places[later], None, parts)
 
-    return gathered(windows.groupBy("shard").applyInArrow(run, DEALT))
+    return gathered(by_group(windows, parts, run, DEALT), parts)
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import documents_only, forget, mix, rolling, settle, sha, shards_for, text_slices, utf8
+from tessera.llm._common import by_group, documents_only, forget, mix, rolling, settle, sha, shards_for, text_slices, utf8
 from tessera.llm.substring_dedup import DEALT, PACKED, deal, gathered, pack, places_of, unpack, widen
 
 GRAM = 48
@@ -122,7 +122,7 @@ def _recurring(grams: DataFrame, parts: int) -> DataFrame:
         keep = order[np.bincount(group)[group] > 1]
         return deal(docs[keep], places[keep], None, parts)
 
-    return gathered(grams.groupBy("shard").applyInArrow(run, DEALT))
+    return gathered(by_group(grams, parts, run, DEALT), parts)
 
 
 def common(a: bytes, b: bytes, start: int = 0) -> int:
@@ -338,7 +338,7 @@ def _repeats(runs: DataFrame, length: int, parts: int) -> DataFrame:
             _judge(group, length, out)
         return _verdicts(out, parts)
 
-    return gathered(runs.groupBy("shard").applyInArrow(run, DEALT))
+    return gathered(by_group(runs, parts, run, DEALT), parts)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
