@@ -178,3 +178,55 @@ def permanova(distances: DataFrame, groups: DataFrame, entity: str, group: str,
     seen = stat.where("rep = 0").select(F.col("f").alias("pseudo_f"), "r2")
     above = stat.crossJoin(F.broadcast(seen.select("pseudo_f"))).agg(F.count_if((F.col("rep") > 0) & (F.col("f") >= F.col("pseudo_f"))).alias("_above"))
     return seen.crossJoin(above).select("pseudo_f", "r2", ((F.col("_above") + 1) / (permutations + 1)).alias("p"))
+
+
+def _monotone(values: np.ndarray) -> np.ndarray:
+    """The nearest non-decreasing values, by pooling neighbours that are out of order."""
+    means: list[float] = []
+    sizes: list[int] = []
+    for v in values:
+        mean, size = float(v), 1
+        while means and means[-1] > mean:
+            mean = (means[-1] * sizes[-1] + mean * size) / (sizes[-1] + size)
+            size += sizes.pop()
+            means.pop()
+        means.append(mean)
+        sizes.append(size)
+    return np.repeat(means, sizes)
+
+
+def ordination(distances: DataFrame, entities: DataFrame, entity: str, k: int = 2, rounds: int = 200, most: int = 2000) -> tuple[DataFrame, float]:
+    """(entity, axis_1 ... axis_k) of a non-metric scaling, and its stress; pairs without a row have distance 1.
+
+    Positions start at the principal coordinates and follow the ranks of the distances.  The matrix is held on the
+    driver, so more than ``most`` entities are refused.
+    """
+    names = [r[0] for r in entities.select(entity).where(F.col(entity).isNotNull()).distinct().orderBy(entity).limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} entities")
+    n, place = len(names), {e: i for i, e in enumerate(names)}
+    d = np.ones((n, n)) - np.eye(n)
+    for r in distances.select("i", "j", "distance").collect():  # pairs of at most ``most`` entities
+        if r.i in place and r.j in place:
+            d[place[r.i], place[r.j]] = d[place[r.j], place[r.i]] = r.distance
+    centre = np.eye(n) - 1 / max(1, n)
+    values, vectors = np.linalg.eigh(-centre @ (d**2) @ centre / 2)
+    x = (vectors[:, ::-1] * np.sqrt(np.maximum(values[::-1], 0)))[:, :k] if n else np.empty((0, k))
+    x = np.pad(x, ((0, 0), (0, k - x.shape[1])))
+    a, b = np.triu_indices(n, 1)
+    stress, order = 0.0, np.lexsort((b, a, d[a, b]))
+    for _ in range(rounds if n > 2 else 0):
+        own = np.linalg.norm(x[a] - x[b], axis=1)
+        fitted = np.empty_like(own)
+        by = order[np.lexsort((own[order], d[a, b][order]))]  # ties in the order of their own distances
+        fitted[by] = _monotone(own[by])
+        before, stress = stress, float(np.sqrt(((own - fitted) ** 2).sum() / max((own**2).sum(), 1e-300)))
+        if abs(before - stress) < 1e-7:
+            break
+        pull = np.zeros((n, n))
+        pull[a, b] = pull[b, a] = -fitted / np.maximum(own, 1e-12)
+        np.fill_diagonal(pull, -pull.sum(axis=1))
+        x = pull @ x / n
+    rows = [(e, *map(float, p)) for e, p in zip(names, x)]
+    kind = entities.schema[entity].dataType.simpleString()
+    return distances.sparkSession.createDataFrame(rows, ", ".join([f"{entity} {kind}", *(f"axis_{i + 1} double" for i in range(k))])), stress

@@ -83,6 +83,17 @@ def test_views(spark):
         ("Pears, raw, with skin", "pear"),
         ("Oil, walnut", "walnut oil"),
         ("Pork, ground, 16% fat, raw", "pork, ground, 16% fat"),
+        ("Minerals, Gouda cheese, sliced, store brand (NY) - NFY123ABC", "cheese, gouda"),
+        ("Yogurt, plain, low fat [SRC]", "yoghurt, low-fat"),
+        ("Mackerel; tinned in olive oil; drained", "mackerel, in olive oil"),
+        ("Plum w/o skin", "plum, flesh"),
+        ("Quark, 0.3 % fat", "quark, 0.3% fat"),
+        ("Liver, calf, raw", "veal, liver"),
+        ("Atlantic mackerel, smoked", "mackerel, atlantic, smoked"),
+        ("Duck, breast, meat only, roasted", "duck, breast, flesh"),
+        ("Spelt, flour", "spelt flour"),
+        ("Cheese, cheddar, aged", "cheese, cheddar, mature"),
+        ("Lentil, 'LB 7', raw", "lentil"),
         ("", None),
     ],
 )

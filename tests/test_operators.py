@@ -239,3 +239,21 @@ def test_diversity_cap_by_hand(spark):
         want = {x[1] for x in taken + rest[: k - len(taken)]}
         df = spark.createDataFrame(items, "e string, i string, s double, c string, l int")
         assert {x.i for x in score.diversity_cap(df, "e", "i", "s", ["c", "l"], k, cap).collect()} == want, (k, cap)
+
+
+def test_ordination_keeps_the_order_of_distances(spark):
+    """Points of a plane come back up to scale and turn; an entity without near ones is far."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    points = rng.random((12, 2))
+    full = np.linalg.norm(points[:, None] - points[None], axis=2)
+    full /= full.max() * 1.01
+    pairs = [(i, j, float(full[i, j])) for i in range(12) for j in range(i + 1, 12)]
+    entities = spark.createDataFrame([(i,) for i in range(12)], "e int")
+    out, stress = stats.ordination(spark.createDataFrame(pairs, "i int, j int, distance double"), entities, "e")
+    x = np.array([(r.axis_1, r.axis_2) for r in out.orderBy("e").collect()])
+    got = np.linalg.norm(x[:, None] - x[None], axis=2)[np.triu_indices(12, 1)]
+    assert stress < 0.02 and np.corrcoef(got, full[np.triu_indices(12, 1)])[0, 1] > 0.99
+    with pytest.raises(ValueError):
+        stats.ordination(spark.createDataFrame(pairs, "i int, j int, distance double"), entities, "e", most=5)
