@@ -63,6 +63,10 @@ BEAM, MARGIN = 10.0, 5.0  # what a word in hand, and a whole division, may cost
 _EDGES = " \t\r\n.,;:!?\"'()[]{}<>«»“”‘’*_-~|%&#"
 _ODD = re.compile(rf"(?=.*[^\W\d_]|.*[{re.escape(''.join(DISGUISES))}])(?:.*[^\w]|.*[\d_]|.*(.)\1\1)", re.DOTALL)
 _RUNS = re.compile(r"(.)\1*", re.DOTALL)
+_TRIPLE = re.compile(r"(.)\1\1", re.DOTALL)
+_MARKS = re.escape(_EDGES.strip())
+_SINGLE = rf"(?:[{_MARKS}]*+[^{_MARKS}\s][{_MARKS}]*+|[{_MARKS}])"
+_SPELLED = re.compile(rf"(?<!\S){_SINGLE}(?:\s+{_SINGLE}(?!\S)){{2}}")  # three words of one character each
 _OTHERS = re.compile(r"[^\W\d_a-z]{4,}")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CHUNKS = re.compile(r"(?:[^\W_]|[@$€£¡µ×])+"), re.compile(r"(?:[^\W_]|[@$€£¡µ×!|+(])+")  # marks as joints, and as letters
@@ -226,7 +230,8 @@ class CharacterModel:
 
 def readings(text: str, model: CharacterModel, cache: dict) -> set[str]:
     """All distinct words of a text, restored."""
-    words = text.lower().split()
+    low = text.lower()
+    words = low.split()
     out: set[str] = set()
     for w in set(words):
         known = cache.get(w)
@@ -237,7 +242,7 @@ def readings(text: str, model: CharacterModel, cache: dict) -> set[str]:
             if len(cache) > 300_000:
                 cache.clear()
         out.update(known)
-    for token in spelled(words):
+    for token in spelled(words) if _SPELLED.search(low) else ():
         out.update(x for _, _, found in model.words(token) for x in found)
     return out
 
@@ -252,6 +257,8 @@ def spans(word: str, model: CharacterModel) -> list[tuple[int, int, tuple[str, .
 
     Spans that overlap are different readings of the same characters.
     """
+    if len(word) <= LONGEST and word.isalpha() and not _TRIPLE.search(word):  # a plain word, by far the most
+        return [(0, len(word), (collapsed(word),))]
     bare = word.strip(_EDGES)
     found = [collapsed(bare)] if bare.isalpha() else []
     for x in {word.strip(_EDGES.replace("!", "").replace("|", "").replace("(", "")), bare}:
@@ -427,8 +434,8 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float =
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                words = text.lower().split() if text else []
-                hits = []
+                low = text.lower() if text else ""
+                words, hits = low.split(), []
                 for w in set(words):
                     found = memory.get(w)
                     if found is None:
@@ -436,7 +443,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float =
                         if len(w) <= 4 * LONGEST:
                             memory[w] = found
                     hits += found
-                for token in spelled(words):
+                for token in spelled(words) if _SPELLED.search(low) else ():
                     hits += hits_of(model.words(token))
                 hits = sorted(set(hits), reverse=True)
                 if len(memory) > 400_000:
