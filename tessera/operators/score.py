@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -24,6 +25,8 @@ class Kernel:
     overlap: float = 0.60
     repeat: float = 0.20
     candidates: int = 1000
+    plant_candidates: int = 800
+    other_candidates: int = 200
 
 
 def inverse_frequency(facts: DataFrame, item: str, nutrient: str) -> DataFrame:
@@ -142,17 +145,24 @@ def differential(scored: DataFrame, entity: str, item: str, score: str, groups:
     return diversity_cap(admitted, entity, item, score if rank == "score" else "comp_score", groups, k, cap)
 
 
-def greedy_basket(amounts: DataFrame, weights: DataFrame, entity: str, item: str, nutrient: str, amount: str, category: str, k: int, kernel: Kernel = Kernel()) -> DataFrame:
+def greedy_basket(amounts: DataFrame, weights: DataFrame, entity: str, item: str, nutrient: str, amount: str, category: str, k: int, kernel: Kernel = Kernel(), plants: Sequence[str] = ()) -> DataFrame:
     """(entity, rank, item, score): items chosen one by one, each for what it adds to those before.
 
     A choice's amounts count as eaten; overlap with what is covered and a
     category taken before cost.  The best ``candidates`` items by clean-slate
-    gain go into the sequence, so a group is bounded.
+    gain go into the sequence, so a group is bounded; with ``plants`` (categories),
+    ``plant_candidates`` of these and ``other_candidates`` of the rest.
     """
     value = F.col("weight") * saturating_gain(F.col(amount), F.col("scale"))
     rows = amounts.join(weights, nutrient).withColumn("_v", value)
     total = rows.groupBy(entity, item).agg(F.sum("_v").alias("_total"))
-    best = ranked(total, entity, "_total", item, kernel.candidates).select(entity, item)
+    if plants:
+        kinds = amounts.groupBy(item).agg(F.max(F.col(category).isin(*plants)).alias("_plant"))
+        place = F.row_number().over(Window.partitionBy(entity, "_plant").orderBy(F.desc("_total"), item))
+        limit = F.when(F.col("_plant"), kernel.plant_candidates).otherwise(kernel.other_candidates)
+        best = total.join(kinds, item).withColumn("_p", place).where(F.col("_p") <= limit).select(entity, item)
+    else:
+        best = ranked(total, entity, "_total", item, kernel.candidates).select(entity, item)
     rows = rows.join(best, [entity, item]).select(entity, item, nutrient, category, F.col(amount).alias("_a"), "weight", "scale")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
