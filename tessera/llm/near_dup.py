@@ -207,22 +207,26 @@ def _prefix_pairs(documents: DataFrame, left: DataFrame, width: int, percent: in
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75, bins: int = 128, bands: int = 32, star_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     docs = documents_only(documents)
-    sketched = settle(sketches(docs, width, bins, bands))
+    written: list[DataFrame] = []
+
+    def stored(df: DataFrame) -> DataFrame:
+        written.append(settle(df))
+        return written[-1]
+
+    sketched = stored(sketches(docs, width, bins, bands))
     named = sketched.where("set_hash is not null and doc_id is not null")
     first = named.groupBy("set_hash").agg(F.min("doc_id").alias("node"))
     # Copies have the same sketch and buckets: the row of the class's first document stands for all.
-    classes = settle(named.select("set_hash", F.col("doc_id").alias("node"), "sketch", "buckets").join(first, ["set_hash", "node"], "left_semi").dropDuplicates(["set_hash"]))
+    classes = stored(named.select("set_hash", F.col("doc_id").alias("node"), "sketch", "buckets").join(first, ["set_hash", "node"], "left_semi").dropDuplicates(["set_hash"]))
     # A doc_id with several texts is one node that belongs to the classes of all of them.
     several = named.groupBy("doc_id").agg(F.min(F.xxhash64("set_hash")).alias("x"), F.max(F.xxhash64("set_hash")).alias("y")).where("x < y").select("doc_id")
     of_several = named.select("doc_id", "set_hash").join(several, "doc_id", "left_semi").distinct().join(classes.select("set_hash", "node"), "set_hash")
-    links = [settle(of_several.where("doc_id <> node").select(F.least("doc_id", "node").alias("a"), F.greatest("doc_id", "node").alias("b")))]
+    links = [stored(of_several.where("doc_id <> node").select(F.least("doc_id", "node").alias("a"), F.greatest("doc_id", "node").alias("b")))]
     member = classes.select("node", F.explode("buckets").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    member = settle(member.join(shared.hint("shuffle_merge"), "bucket"))
-    weight = settle(member.groupBy("node").agg(F.sum("n").alias("weight")))
-    shared_by = member
-    member = settle(member.select("bucket", "node").join(weight.hint("shuffle_merge"), "node"))
-    forget(shared_by, weight)
+    member = stored(member.join(shared.hint("shuffle_merge"), "bucket"))
+    weight = stored(member.groupBy("node").agg(F.sum("n").alias("weight")))
+    member = stored(member.select("bucket", "node").join(weight.hint("shuffle_merge"), "node"))
 
     floor = max(0.0, percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / bins) ** 0.5)
     tried: list[DataFrame] = []
@@ -231,36 +235,37 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75, bin
         new = pairs.distinct()
         if tried:
             new = new.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
-        new = settle(new)
+        new = stored(new)
         tried.append(new)
-        likely = settle(_likely(new, classes, floor).distinct())
-        links.append(_confirmed(likely, docs, width, percent))
-        forget(likely)
+        links.append(_confirmed(stored(_likely(new, classes, floor).distinct()), docs, width, percent))
 
     placed = member.withColumn("component", F.col("node"))
     divided = member.select("bucket").distinct()
     used = None
     for turn in range(star_rounds + 1):
         if turn:
-            found = components(reduce(DataFrame.union, links))
-            placed = settle(member.join(found, "node", "left").select("bucket", "node", "weight", F.coalesce("component", "node").alias("component")))
-            divided = settle(placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket"))
+            written.append(found := components(reduce(DataFrame.union, links)))
+            placed = stored(member.join(found, "node", "left").select("bucket", "node", "weight", F.coalesce("component", "node").alias("component")))
+            divided = stored(placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket"))
             if divided.isEmpty():
                 break
         here = placed.join(divided, "bucket", "left_semi")
         if turn < star_rounds:
             free = here if used is None else here.join(used, ["bucket", "component"], "left_anti")
             centre = free.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), F.struct(-F.col("weight"), "node")).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.component").alias("own"))
-            centre = settle(centre)
+            centre = stored(centre)
             taken = centre.select("bucket", F.col("own").alias("component"))
             used = taken if used is None else used.union(taken)
             star = here.join(centre, "bucket").where("node <> centre and component <> own" if turn else "node <> centre")
             confirm(star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
         else:
-            confirm(_prefix_pairs(docs, here.select("node", "component").distinct(), width, percent))
+            written.append(_prefix_pairs(docs, here.select("node", "component").distinct(), width, percent))
+            confirm(written[-1])
     found = components(reduce(DataFrame.union, links))
     names = classes.select("set_hash", "node").join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
     rows = sketched.select("doc_id", "n_shingles", "set_hash")
     linked = rows.where("set_hash is not null").join(names, "set_hash", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     alone = rows.where("set_hash is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    result = settle(linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+    forget(*written, *links[1:], found)
+    return result

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._common import settle, slices, utf8
+from tessera.llm._common import forget, settle, slices, utf8
 
 _KINDS = {
     "upper": bytes(range(0x41, 0x5B)),
@@ -157,6 +157,8 @@ def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0
     """
     features = settle(featurise(documents))
     model = fit(features, labels.where(~held_out("doc_id", 3, 1)), "quality")
+    if columns:
+        forget(features)
     scores = scored(featurise(documents, columns) if columns else features, model)
     more = (F.col(f"_{c}").alias(c) for c in columns)
     return scores.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
