@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import settle, table
+from tessera.llm._common import forget, settle, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -82,9 +82,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, stored = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = settle(docs)
+            if stored is not None:
+                forget(stored)
+            stored = docs
     return docs
