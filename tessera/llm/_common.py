@@ -59,7 +59,7 @@ def sha(data: bytes) -> str:
 class WordHash(dict):
     """64-bit hash of each word; remembers up to ``limit`` words (a cache, hashes never change)."""
 
-    limit = 400_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
