@@ -132,11 +132,15 @@ def stereo_carry_over(rows: DataFrame, kind: Column, in_model: Column) -> DataFr
 # --- one row of a kind --------------------------------------------------------------------------------------------
 
 
-def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """The first row of each key in order; one aggregation, so a hot key is combined before it moves."""
+def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], least: Sequence[str] = ()) -> DataFrame:
+    """The first row of each key in order; one aggregation, so a hot key is combined before it moves.
+
+    Columns named in ``least`` hold their smallest value among the key's rows instead of the first row's.
+    """
     rest = [c for c in df.columns if c not in keys]
     place = F.struct(*((F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)))
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(place, F.struct(*rest))).alias("_r")).select(*keys, "_r.*").select(*df.columns)
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(place, F.struct(*rest))).alias("_r"), *(F.min(c).alias(f"_{c}") for c in least))
+    return first.select(*keys, *((F.col(f"_{c}") if c in least else F.col(f"_r.{c}")).alias(c) for c in rest)).select(*df.columns)
 
 
 def authoritative(df: DataFrame, old: str, new: str, value: str) -> DataFrame:

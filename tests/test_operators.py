@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,3 +258,16 @@ def test_ordination_keeps_the_order_of_distances(spark):
     assert stress < 0.02 and np.corrcoef(got, full[np.triu_indices(12, 1)])[0, 1] > 0.99
     with pytest.raises(ValueError):
         stats.ordination(spark.createDataFrame(pairs, "i int, j int, distance double"), entities, "e", most=5)
+
+
+def test_first_of_key_orders_by_price_and_key_in_one_number(spark, tmp_path):
+    from tessera.plans import catalogue as plans
+
+    # A cent is worth 10,000 keys: of customer 1 the dearer order comes first.
+    orders = [(900_000, 1, "O", 10.00), (5, 1, "O", 10.01), (7, 2, "O", 3.0), (9, 2, "O", 2.0), (4, 3, "F", None), (8, 4, "F", None), (3, 4, "F", 1e6)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view orders as from read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    want = sorted(con.sql(plans.SQL["first_of_key"]).fetchall())
+    got = sorted(tuple(r[c] for c in ("o_custkey", "o_orderstatus", "o_orderkey", "o_totalprice")) for r in plans.QUERIES["first_of_key"](spark, str(tmp_path)).collect())
+    assert got == want == [(1, "O", 5, 10.0), (2, "O", 9, 2.0), (3, "F", None, None), (4, "F", 3, 1e6)]
