@@ -75,13 +75,8 @@ LADDER = {"override": 200, "name": 100, "synonym": 90, "fuzzy": 60}
 CONFIRMED = 150
 
 
-def ladder_scores(hits: DataFrame, participants: DataFrame, entities: DataFrame) -> DataFrame:
-    """The best entity of each row: (row, entity, name, score, match).
-
-    hits has row, code, query, entity, kind and primary; participants has code and
-    entity (of the code's reactions); entities has entity and name.  Penalties come
-    after the lift of participants.  Ubiquitous entities are no match.
-    """
+def _ladder(hits: DataFrame, participants: DataFrame, entities: DataFrame) -> DataFrame:
+    """(row, b, place): the best entity of each row as a struct of entity, name and score, and its place among a row's entities."""
     known = hits.where(~F.col("entity").isin(*IGNORED_IDS)).join(entities.select("entity", "name"), "entity")
     confirmed = known.join(participants.select("code", "entity").distinct().withColumn("_in", F.lit(True)), ["code", "entity"], "left")
     base = _lookup(F.col("kind"), LADDER)
@@ -91,10 +86,37 @@ def ladder_scores(hits: DataFrame, participants: DataFrame, entities: DataFrame)
     ring = F.when(name.rlike("pyranose|furanose") & ~asked.rlike("pyranose|furanose"), 5).otherwise(0)
     scored = confirmed.withColumn("score", (lifted - zwitterion - ring).cast("int"))
     number = F.regexp_extract("entity", r"(\d+)", 1).cast("long")
-    best = F.max_by(F.struct("entity", "name", "score"), F.struct("score", F.coalesce("primary", F.lit(False)), -number))
-    out = scored.groupBy("row").agg(best.alias("b")).select("row", "b.*")
+    place = F.struct("score", F.coalesce("primary", F.lit(False)), -number)
+    return scored.groupBy("row").agg(F.max_by(F.struct("entity", "name", "score"), place).alias("b"), F.max(place).alias("place"))
+
+
+def _with_match(best: DataFrame) -> DataFrame:
     kind = F.when(F.col("score") >= CONFIRMED, "rhea_confirmed").when(F.col("score") >= LADDER["synonym"], "string_match").otherwise("fuzzy_match")
-    return out.withColumn("match", F.concat(kind, F.lit("("), "score", F.lit(")")))
+    return best.withColumn("match", F.concat(kind, F.lit("("), "score", F.lit(")")))
+
+
+def ladder_scores(hits: DataFrame, participants: DataFrame, entities: DataFrame) -> DataFrame:
+    """The best entity of each row: (row, entity, name, score, match).
+
+    hits has row, code, query, entity, kind and primary; participants has code and
+    entity (of the code's reactions); entities has entity and name.  Penalties come
+    after the lift of participants.  Ubiquitous entities are no match.
+    """
+    return _with_match(_ladder(hits, participants, entities).select("row", "b.*"))
+
+
+def ladder_of_questions(rows: DataFrame, candidates: DataFrame, participants: DataFrame, entities: DataFrame, on: str) -> DataFrame:
+    """As ladder_scores, where a row's hits are all candidates with its value of ``on``.
+
+    rows has row, code, query, kind and ``on``; candidates has ``on``, entity and primary.  Rows that ask the same
+    question are as one: each question meets its candidates once, and its answer goes to all of its rows.  A row
+    given several times has the best answer of its questions.
+    """
+    question = F.struct("code", "query", "kind", on)
+    asked = rows.select(on, "code", "query", "kind").where(F.col(on).isNotNull()).distinct().withColumn("row", question)
+    best = _ladder(asked.join(candidates.select(on, "entity", "primary"), on), participants, entities)
+    answered = rows.select("row", question.alias("_q")).join(best.withColumnRenamed("row", "_b"), F.col("_q").eqNullSafe(F.col("_b")))
+    return _with_match(answered.groupBy("row").agg(F.max_by("b", "place").alias("b")).select("row", "b.*"))
 
 
 def participants(code_reactions: DataFrame, reactions: DataFrame, structures: DataFrame) -> DataFrame:

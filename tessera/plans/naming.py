@@ -231,12 +231,12 @@ SELECT row, entity, name, CAST(score AS INTEGER) AS score, (CASE WHEN score >= 1
 def match_ladder(t: Tables) -> DataFrame:
     """The best entity of each row: kinds of match, lifted by reactions, less for odd forms."""
     name = F.expr("CASE s_suppkey % 4 WHEN 0 THEN 'thing zwitterion' WHEN 1 THEN 'thing pyranose' ELSE concat('thing ', s_suppkey) END")
-    entities = t.supplier.select(F.concat(F.lit("CHEBI:"), "s_suppkey").alias("entity"), name.alias("name"), "s_suppkey")
+    entities = t.supplier.select(F.concat(F.lit("CHEBI:"), "s_suppkey").alias("entity"), name.alias("name"), "s_suppkey", (F.col("s_suppkey") % 10).alias("block"))
     kind = F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'name' WHEN 1 THEN 'synonym' ELSE 'fuzzy' END")
-    rows = t.orders.select(F.col("o_orderkey").alias("row"), (F.col("o_custkey") % 7).alias("code"), F.lit("thing").alias("query"), kind.alias("kind"))
-    hits = rows.join(entities.select("entity", "s_suppkey"), F.col("row") % 10 == F.col("s_suppkey") % 10).withColumn("primary", F.col("s_suppkey") % 2 == 0).drop("s_suppkey")
+    rows = t.orders.select(F.col("o_orderkey").alias("row"), (F.col("o_custkey") % 7).alias("code"), F.lit("thing").alias("query"), kind.alias("kind"), (F.col("o_orderkey") % 10).alias("block"))
+    candidates = entities.select("block", "entity", (F.col("s_suppkey") % 2 == 0).alias("primary"))
     confirmed = entities.select((F.col("s_suppkey") % 7).alias("code"), "entity")
-    return matching.ladder_scores(hits, confirmed, entities)
+    return matching.ladder_of_questions(rows, candidates, confirmed, entities, "block")
 
 
 @query("""

@@ -99,3 +99,29 @@ def test_ladder_prefers_confirmed_then_primary_then_small_ids(spark):
     entities = spark.createDataFrame([("CHEBI:9", "a"), ("CHEBI:5", "b zwitterion"), ("CHEBI:15377", "water")], "entity string, name string")
     confirmed = spark.createDataFrame([("c", "CHEBI:9")], "code string, entity string")
     assert rows(matching.ladder_scores(df, confirmed, entities).select("row", "entity", "score", "match")) == [(1, "CHEBI:9", 150, "rhea_confirmed(150)"), (2, "CHEBI:9", 100, "string_match(100)")]
+
+
+def test_ladder_of_questions(spark):
+    rows_ = spark.createDataFrame([(1, 1, "x", "name", 0), (2, 1, "x", "name", 0), (3, None, "x", "fuzzy", 0), (4, 1, "x", "name", None), (5, 1, "x", "name", 9), (6, 1, "x", "fuzzy", 0), (6, 2, "x", "name", 1)], "row long, code long, query string, kind string, block long")
+    candidates = spark.createDataFrame([(0, "CHEBI:9", True), (0, "CHEBI:3", False), (1, "CHEBI:3", True), (1, "CHEBI:8", True)], "block long, entity string, primary boolean")
+    entities = spark.createDataFrame([("CHEBI:9", "x zwitterion"), ("CHEBI:3", "x"), ("CHEBI:8", "x")], "entity string, name string")
+    confirmed = spark.createDataFrame([(1, "CHEBI:9")], "code long, entity string")
+    got = matching.ladder_of_questions(rows_, candidates, confirmed, entities, "block")
+    assert rows(got) == rows(matching.ladder_scores(rows_.join(candidates, "block"), confirmed, entities))
+    assert len(rows(got)) == 4
+
+
+def test_match_ladder_does_not_list_all_hits(spark, tmp_path):
+    from tessera.plans import catalogue as plans
+
+    spark.range(1, 20_001).select(F.col("id").alias("o_orderkey"), (F.col("id") % 500).alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(1, 101).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    df = plans.QUERIES["match_ladder"](spark, str(tmp_path))
+    assert len(df.collect()) == 20_000
+    plans_, joined = [df._jdf.queryExecution().executedPlan()], []
+    while plans_:
+        p = plans_.pop()
+        plans_ += [p.executedPlan()] if p.nodeName() == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in p.nodeName() else [p.children().apply(i) for i in range(p.children().size())]
+        if "Join" in p.nodeName():
+            joined.append(p.metrics().apply("numOutputRows").value())
+    assert joined and max(joined) <= 20_000
