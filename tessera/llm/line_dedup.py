@@ -17,12 +17,16 @@ alone.
    most as many edits before it as it has segments before it (and likewise
    after it): the index has each text's segments, and a text probes it at the
    few places to which so many edits can have moved them, 3 + 2 keys for 2 edits.
-3. Texts that share a key are pairs, but for hot keys (a beginning that a third of
-   all lines share).  Texts under hot keys meet by their rarest grams instead:
-   ``edits`` edits touch at most ``edits`` * 5 of a text's runs of 5 bytes and move
-   the others by ``edits`` places, so of the 5 * ``edits`` + 1 rarest of each, two
-   texts have one in common at nearly the same place (prefix filter).  What makes
-   a key hot is frequent, and comes last in that order.
+3. Texts that share a key are pairs, but for hot keys (a beginning that many lines
+   share).  Under a hot key the rest of each text, without the segment, is a text
+   of its own: the rests of two texts within the edits are within the edits, so
+   they meet by 2 again, among the texts of that key alone, ``LEVELS`` times at
+   most.  Texts that still have hot keys are families of long near-copies.  They
+   meet by their rarest grams: ``edits`` edits touch at most ``edits`` * 5 of a
+   text's runs of 5 bytes and move the others by ``edits`` places, so of the
+   5 * ``edits`` + 1 rarest of each, two texts have one in common at nearly the
+   same place (prefix filter).  What makes a key hot is frequent, and comes last
+   in that order.
 4. Pairs are verified by a banded bit-parallel automaton: common ends are cut
    off, and for each number of edits the 2 * edits + 1 diagonals around the main
    one are bits of a word that each byte moves on.
@@ -35,6 +39,8 @@ without a repeated line stay as they are.  Other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,12 +49,23 @@ from tessera.llm._common import forget, settle, shuffle_parts
 #: Texts under keys of more rows than this meet by their rarest grams; grams of more texts are frequent.
 HOT_ROWS = 32
 GRAM = 5
+#: So often a text is cut at a segment under a hot key.
+LEVELS = 3
+#: A rest is cut on while its segments have so many bytes at least.
+LEAST_SEGMENT = 4
+#: Grams meet where length and place, by steps of so many bytes, are the same or next to each other.
+LENGTH_STEP, PLACE_STEP = 16, 64
 
 
 def _allowed(length: Column, edits: int, bytes_per_edit: int) -> Column:
     return F.least(F.lit(edits), F.floor(length / bytes_per_edit).cast("int"))
 
 
+def _width(q: str) -> str:
+    """SQL: the two highest bits of q."""
+    return f"shiftleft(shiftright({q}, greatest(length(bin({q})) - 2, 0)), greatest(length(bin({q})) - 2, 0))"
+
+
 def _shapes(edits: int, bytes_per_edit: int) -> Column:
     """The (e, w), edits and segment width, with which a text can meet one that is no longer: its own and those of texts shorter by up to ``edits``.
 
@@ -57,12 +74,18 @@ def _shapes(edits: int, bytes_per_edit: int) -> Column:
     e = f"least({edits}, n div {bytes_per_edit})"
     lengths = f"transform(sequence(0, {edits}), s -> octet_length(bytes) - s)"
     with_edits = f"transform(filter({lengths}, n -> n >= {bytes_per_edit}), n -> struct({e} as e, int(n div ({e} + 1)) as q))"
-    packed = f"transform({with_edits}, p -> p.e * {1 << 32} + shiftleft(shiftright(p.q, greatest(length(bin(p.q)) - 2, 0)), greatest(length(bin(p.q)) - 2, 0)))"
+    packed = f"transform({with_edits}, p -> p.e * {1 << 32} + {_width('p.q')})"
     return F.expr(f"array_distinct({packed})")
 
 
+def _rest_widths() -> Column:
+    """Widths as in _shapes for a rest with its text's e edits."""
+    lengths = f"filter(transform(sequence(0, e), s -> octet_length(bytes) - s), n -> n >= {LEAST_SEGMENT} * (e + 1))"
+    return F.expr(f"array_distinct(transform(transform({lengths}, n -> int(n div (e + 1))), q -> {_width('q')}))")
+
+
 def _segments(edits: int) -> Column:
-    """Rows of (key, moved): each of e + 1 segments of a text, and where a probe has to look for it."""
+    """Rows of (key, moved, at): each of e + 1 segments of a text, and where a probe has to look for it."""
     n, w, e = F.octet_length("bytes"), F.col("w"), F.col("e")
     out = []
     for most in range(1, edits + 1):
@@ -70,26 +93,43 @@ def _segments(edits: int) -> Column:
             reach = min(i, most - i)
             for shift in range(-reach, reach + 1):
                 at = (w * i if i <= most - i else n - w * (most + 1 - i)) + shift
-                key = F.struct(F.xxhash64(F.lit(most * 100 + i), F.substring(F.col("bytes"), at + 1, w)).alias("key"), F.lit(shift != 0).alias("moved"))
+                key = F.struct(F.xxhash64(F.lit(most * 100 + i), F.substring(F.col("bytes"), at + 1, w), "path").alias("key"), F.lit(shift != 0).alias("moved"), at.alias("at"))
                 out.append(F.when((e == most) & (at >= 0) & (at + w <= n) if shift else e == most, key))
     return F.explode(F.array(*out)).alias("k")
 
 
 def _by_segments(texts: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
-    """(x, y), ids of texts that share a segment under a key that isn't hot; and the ids of texts under hot keys."""
-    shaped = texts.select("id", "bytes", F.explode("shapes").alias("shape"))
-    shaped = shaped.select("id", "bytes", F.shiftright("shape", 32).cast("int").alias("e"), (F.col("shape") % (1 << 32)).cast("int").alias("w"))
-    keyed = shaped.select("id", _segments(edits)).where("k is not null")
-    rows = keyed.select("k.key", (F.col("id") * 2 + F.col("k.moved").cast("long")).alias("tag"))
-    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = settle(rows.join(several, "key"))
-    x, y = (shared.where(F.col("n") <= HOT_ROWS).select("key", F.col("tag").alias(name)) for name in "xy")
-    # The lesser id is the index, with its segments in their own places; those of the other may have moved.
-    order = F.when(F.shiftright("x", 1) < F.shiftright("y", 1), F.col("x") % 2) == 0
-    pairs = settle(x.join(y.hint("shuffle_merge"), "key").where(order).select(F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y")).distinct())
-    hot = settle(shared.where(F.col("n") > HOT_ROWS).select(F.shiftright("tag", 1).alias("id")).distinct())
-    forget(shared)
-    return pairs, hot
+    """(x, y), ids of texts that share a segment under a key that isn't hot; and the ids of texts left over under hot keys."""
+    shaped = texts.select("id", "bytes", F.explode("shapes").alias("shape"), F.lit(0).cast("long").alias("path"), F.lit(False).alias("probe"))
+    rows = shaped.select("id", "bytes", F.shiftright("shape", 32).cast("int").alias("e"), (F.col("shape") % (1 << 32)).cast("int").alias("w"), "path", "probe")
+    found, left, written = [], [], []
+    for level in range(1, LEVELS + 1):
+        keyed = rows.select("*", _segments(edits)).where("k is not null").withColumn("moved", F.col("probe") | F.col("k.moved"))
+        tags = keyed.select("k.key", (F.col("id") * 2 + F.col("moved").cast("long")).alias("tag"))
+        several = tags.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        shared = settle(tags.join(several, "key"))
+        x, y = (shared.where(F.col("n") <= HOT_ROWS).select("key", F.col("tag").alias(name)) for name in "xy")
+        # The lesser id is the index, with its segments in their own places; those of the other may have moved.
+        order = F.when(F.shiftright("x", 1) < F.shiftright("y", 1), F.col("x") % 2) == 0
+        found.append(settle(x.join(y.hint("shuffle_merge"), "key").where(order).select(F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y")).distinct()))
+        hot = settle(shared.where(F.col("n") > HOT_ROWS).select("key", F.shiftright("tag", 1).alias("id")).distinct())
+        forget(shared)
+        written.append(hot)
+        if level == LEVELS or hot.isEmpty():
+            left.append(hot.select("id"))
+            break
+        of_hot = rows.join(hot.select("id").distinct().hint("shuffle_merge"), "id", "left_semi").select("*", _segments(edits)).where("k is not null")
+        of_hot = of_hot.withColumn("key", F.col("k.key")).join(hot.hint("shuffle_merge"), ["key", "id"], "left_semi")
+        rest = F.concat(F.expr("substring(bytes, 1, k.at)"), F.expr("substring(bytes, k.at + w + 1, octet_length(bytes))"))
+        cut = settle(of_hot.select("id", rest.alias("bytes"), "e", F.col("key").alias("path"), (F.col("probe") | F.col("k.moved")).alias("probe")).distinct())
+        written.append(cut)
+        # A rest too short to be cut on, or within e bytes of one, is left over.
+        left.append(cut.where(F.octet_length("bytes") < LEAST_SEGMENT * (F.col("e") + 1) + F.col("e")).select("id"))
+        rows = cut.select("id", "bytes", "e", F.explode(_rest_widths()).alias("w"), "path", "probe")
+    pairs = found[0] if len(found) == 1 else settle(reduce(DataFrame.union, found).distinct())
+    over = settle(reduce(DataFrame.union, left).distinct())
+    forget(*written, *(found if len(found) > 1 else ()))
+    return pairs, over
 
 
 def _by_rare_grams(texts: DataFrame, edits: int, bytes_per_edit: int) -> DataFrame:
@@ -103,7 +143,8 @@ def _by_rare_grams(texts: DataFrame, edits: int, bytes_per_edit: int) -> DataFra
     assert bytes_per_edit >= 2 * GRAM  # so a text has more grams than its edits can touch
     n = F.octet_length("bytes")
     places = F.explode(F.sequence(F.lit(1), n - GRAM + 1)).alias("at")
-    grams = texts.select("id", n.alias("n"), "bytes", places).select("id", "n", "at", F.xxhash64(F.substring(F.col("bytes"), F.col("at"), F.lit(GRAM))).alias("gram"))
+    # Dealt in turn, as each text makes many rows.
+    grams = texts.repartition(shuffle_parts(texts.sparkSession)).select("id", n.alias("n"), "bytes", places).select("id", "n", "at", F.xxhash64(F.substring(F.col("bytes"), F.col("at"), F.lit(GRAM))).alias("gram"))
     # How often a gram occurs, exactly up to HOT_ROWS: a frame of bounded size, however frequent it is.
     around = Window.partitionBy("gram").orderBy("id").rowsBetween(-HOT_ROWS - 1, HOT_ROWS + 1)
     counted = grams.withColumn("k", F.least(F.count(F.lit(1)).over(around), F.lit(HOT_ROWS + 1)).cast("int"))
@@ -119,13 +160,26 @@ def _by_rare_grams(texts: DataFrame, edits: int, bytes_per_edit: int) -> DataFra
         return F.when(new & (F.size(done) <= edits), F.array_append(done, at)).otherwise(done)
 
     touched = F.aggregate(starts, F.array().cast("array<int>"), touch)
-    rows = settle(each.select("id", "n", touched.alias("own"), F.explode(rarest).alias("g")).select("id", "n", "own", "g.k", "g.gram", "g.at"))
-    x, y = (rows.select("gram", *(F.col(c).alias(f"{c}_{name}") for c in ("n", "at", "own", "k")), F.col("id").alias(name)) for name in "xy")
+    # Long lists (of texts that repeat themselves) don't go along with each of their rows.
+    rare = F.when(F.size("all_rarest") <= 2 * (edits * GRAM + 1), F.transform("all_rarest", lambda g: F.struct(g.gram, g["at"])))
+    rows = each.withColumn("all_rarest", rarest).select("id", "n", touched.alias("own"), rare.alias("rare"), F.explode("all_rarest").alias("g"))
+    # A frequent gram brings no text together that needs more edits than are allowed for what is its own.
+    rows = settle(rows.where((F.col("g.k") <= HOT_ROWS) | (F.size("own") <= edits)).select("id", "n", "own", "rare", "g.k", "g.gram", "g.at"))
+
+    def step(value: str, by: int, moved: int) -> Column:
+        return F.floor((F.col(value) + moved) / by)
+
+    x, y = (rows.select("gram", *(F.col(c).alias(f"{c}_{name}") for c in ("n", "at", "own", "k", "rare")), F.col("id").alias(name)) for name in "xy")
+    x = x.withColumn("nn", step("n_x", LENGTH_STEP, 0)).withColumn("pp", step("at_x", PLACE_STEP, 0))
+    for name, value, by in (("nn", "n_y", LENGTH_STEP), ("pp", "at_y", PLACE_STEP)):
+        y = y.withColumn(name, F.explode(F.array_distinct(F.array(step(value, by, -edits), step(value, by, edits)))))
     near = (F.col("x") < F.col("y")) & (F.abs(F.col("n_x") - F.col("n_y")) <= edits) & (F.abs(F.col("at_x") - F.col("at_y")) <= edits)
     few = F.size("own_x") + F.size("own_y") <= edits
     together = F.exists("own_x", lambda a: F.exists("own_y", lambda b: F.abs(a - b) <= 2 * (GRAM - 1) + edits))
-    possible = (F.col("k_x") <= HOT_ROWS) | (F.greatest(F.size("own_x"), F.size("own_y")) <= edits) & (few | together)
-    pairs = settle(x.join(y.hint("shuffle_merge"), "gram").where(near & possible).select("x", "y").distinct())
+    # A pair of several frequent grams meets at the first of them only, where both lists are there.
+    before = F.exists("rare_x", lambda g: (F.struct(g.gram, g["at"]) < F.struct("gram", "at_x")) & F.exists("rare_y", lambda h: (h.gram == g.gram) & (F.abs(h["at"] - g["at"]) <= edits)))
+    possible = (F.col("k_x") <= HOT_ROWS) | ((few | together) & ~F.coalesce(before, F.lit(False)))
+    pairs = settle(x.join(y.hint("shuffle_merge"), ["gram", "nn", "pp"]).where(near & possible).select("x", "y").distinct())
     forget(rows)
     return pairs
 
@@ -181,7 +235,7 @@ def _links(texts: DataFrame, edits: int, bytes_per_edit: int) -> DataFrame:
     both = both.where(F.abs(F.octet_length("a") - F.octet_length("b")) <= edits)
     allowed = _allowed(F.least(F.octet_length("a"), F.octet_length("b")), edits, bytes_per_edit)
     found = settle(_with_distance(both, edits).where(F.col("distance") <= allowed).select("x", "y", "distance"))
-    forget(pairs, words)
+    forget(pairs, words, hot)
     return found
 
 

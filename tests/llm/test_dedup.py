@@ -236,3 +236,16 @@ def test_automaton(spark, k):
     for row in line_dedup._with_distance(spark.createDataFrame(pairs, "a binary, b binary"), k).collect():
         d = edits(row.a, row.b)
         assert row.distance == (d if d <= k else None)
+
+
+def test_lines_that_share_a_beginning_alone_are_not_left_over(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", 8)
+    r = random.Random(1)
+    lines = ["the same beginning of all lines: " + "".join(r.choice("abcdefgh") for _ in range(60)) for _ in range(40)]
+    lines.append(lines[0][:-1] + "x")
+    texts = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(lines)], "id long, bytes binary").withColumn("shapes", line_dedup._shapes(2, 20))
+    pairs, over = line_dedup._by_segments(texts, 2)
+    assert (0, 40) in {(p.x, p.y) for p in pairs.collect()}
+    assert over.count() == 0
