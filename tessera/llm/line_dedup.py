@@ -87,15 +87,18 @@ def _rest_widths() -> Column:
 def _segments(edits: int) -> Column:
     """Rows of (key, moved, at): each of e + 1 segments of a text, and where a probe has to look for it."""
     n, w, e = F.octet_length("bytes"), F.col("w"), F.col("e")
-    out = []
+    of_edits = None
     for most in range(1, edits + 1):
+        keys = []
         for i in range(most + 1):
             reach = min(i, most - i)
             for shift in range(-reach, reach + 1):
                 at = (w * i if i <= most - i else n - w * (most + 1 - i)) + shift
                 key = F.struct(F.xxhash64(F.lit(most * 100 + i), F.substring(F.col("bytes"), at + 1, w), "path").alias("key"), F.lit(shift != 0).alias("moved"), at.alias("at"))
-                out.append(F.when((e == most) & (at >= 0) & (at + w <= n) if shift else e == most, key))
-    return F.explode(F.array(*out)).alias("k")
+                keys.append(F.when((at >= 0) & (at + w <= n), key) if shift else key)
+        # An array for each e, so that no rows are made for the keys of the others.
+        of_edits = (F if of_edits is None else of_edits).when(e == most, F.array(*keys))
+    return F.explode(of_edits).alias("k")
 
 
 def _by_segments(texts: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
@@ -105,9 +108,14 @@ def _by_segments(texts: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
     found, left, written = [], [], []
     for level in range(1, LEVELS + 1):
         keyed = rows.select("*", _segments(edits)).where("k is not null").withColumn("moved", F.col("probe") | F.col("k.moved"))
+        if level > 1:  # Rests are few beside the input: their rows are made once, for counts, pairs and cuts.
+            written.append(keyed := settle(keyed))
         tags = keyed.select("k.key", (F.col("id") * 2 + F.col("moved").cast("long")).alias("tag"))
-        several = tags.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = settle(tags.join(several, "key"))
+        # The lesser id is the index, with its segments in their own places: a row that has no such partner under its key joins nothing.
+        index = F.when(F.col("tag") % 2 == 0, F.shiftright("tag", 1))
+        several = tags.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(index).alias("least"), F.max(F.shiftright("tag", 1)).alias("most")).where("least < most")
+        shared = tags.join(several, "key").where((F.shiftright("tag", 1) > F.col("least")) | (index < F.col("most")))
+        shared = settle(shared.select("key", "tag", "n"))
         x, y = (shared.where(F.col("n") <= HOT_ROWS).select("key", F.col("tag").alias(name)) for name in "xy")
         # The lesser id is the index, with its segments in their own places; those of the other may have moved.
         order = F.when(F.shiftright("x", 1) < F.shiftright("y", 1), F.col("x") % 2) == 0
@@ -118,7 +126,7 @@ def _by_segments(texts: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
         if level == LEVELS or hot.isEmpty():
             left.append(hot.select("id"))
             break
-        of_hot = rows.join(hot.select("id").distinct().hint("shuffle_merge"), "id", "left_semi").select("*", _segments(edits)).where("k is not null")
+        of_hot = keyed if level > 1 else rows.join(hot.select("id").distinct().hint("shuffle_merge"), "id", "left_semi").select("*", _segments(edits)).where("k is not null")
         of_hot = of_hot.withColumn("key", F.col("k.key")).join(hot.hint("shuffle_merge"), ["key", "id"], "left_semi")
         rest = F.concat(F.expr("substring(bytes, 1, k.at)"), F.expr("substring(bytes, k.at + w + 1, octet_length(bytes))"))
         cut = settle(of_hot.select("id", rest.alias("bytes"), "e", F.col("key").alias("path"), (F.col("probe") | F.col("k.moved")).alias("probe")).distinct())

@@ -249,3 +249,29 @@ def test_lines_that_share_a_beginning_alone_are_not_left_over(spark, monkeypatch
     pairs, over = line_dedup._by_segments(texts, 2)
     assert (0, 40) in {(p.x, p.y) for p in pairs.collect()}
     assert over.count() == 0
+
+
+def test_rows_of_a_key_have_a_partner(spark, monkeypatch):
+    """Only rows that can be in a pair under their key go on: an index row before, or for an index row any row after it."""
+    import random
+
+    kept = []
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", 8)
+    monkeypatch.setattr(line_dedup, "forget", lambda *frames: None)
+    settle = line_dedup.settle
+    monkeypatch.setattr(line_dedup, "settle", lambda df: kept.append(out := settle(df)) or out)
+    r = random.Random(2)
+    base = "".join(r.choice("abcd ") for _ in range(90))
+    texts = list({changed(r, base, 2) for _ in range(60)}) + ["ab" * 40, "c" * 70]
+    frame = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "id long, bytes binary").withColumn("shapes", line_dedup._shapes(2, 20))
+    line_dedup._by_segments(frame, 2)
+    rows = [(x.key, x.tag) for df in kept if "tag" in df.columns for x in df.collect()]
+    index, ids = {}, {}
+    for key, tag in rows:
+        ids.setdefault(key, set()).add(tag // 2)
+        if tag % 2 == 0:
+            index.setdefault(key, set()).add(tag // 2)
+    assert rows
+    for key, tag in rows:
+        before = any(i < tag // 2 for i in index.get(key, ()))
+        assert before or tag % 2 == 0 and any(i > tag // 2 for i in ids[key])
