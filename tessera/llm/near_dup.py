@@ -239,13 +239,22 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75, bin
         tried.append(new)
         links.append(_confirmed(stored(_likely(new, classes, floor).distinct()), docs, width, percent))
 
+    found, joined = None, 0
+
+    def grouped() -> DataFrame:
+        """Components of all links; those handed in before are stood for by their components."""
+        nonlocal found, joined
+        found = components(reduce(DataFrame.union, links[joined:]), known=found)
+        written.append(found)
+        joined = len(links)
+        return found
+
     placed = member.withColumn("component", F.col("node"))
     divided = member.select("bucket").distinct()
     used = None
     for turn in range(star_rounds + 1):
         if turn:
-            written.append(found := components(reduce(DataFrame.union, links)))
-            placed = stored(member.join(found, "node", "left").select("bucket", "node", "weight", F.coalesce("component", "node").alias("component")))
+            placed = stored(member.join(grouped(), "node", "left").select("bucket", "node", "weight", F.coalesce("component", "node").alias("component")))
             divided = stored(placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket"))
             if divided.isEmpty():
                 break
@@ -261,11 +270,12 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75, bin
         else:
             written.append(_prefix_pairs(docs, here.select("node", "component").distinct(), width, percent))
             confirm(written[-1])
-    found = components(reduce(DataFrame.union, links))
+    if joined < len(links):
+        grouped()
     names = classes.select("set_hash", "node").join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
     rows = sketched.select("doc_id", "n_shingles", "set_hash")
     linked = rows.where("set_hash is not null").join(names, "set_hash", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     alone = rows.where("set_hash is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     result = settle(linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
-    forget(*written, *links[1:], found)
+    forget(*written, *links[1:])
     return result

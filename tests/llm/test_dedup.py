@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import line_dedup, near_dup, substring_dedup, suffix_dedup
+from tessera.llm._graph import components
 from tests.llm.conftest import passage
 
 
@@ -138,6 +139,61 @@ def test_left_over_pairs(spark):
     assert near and near <= got and len(got) < 200 * 199 / 3
 
 
+@pytest.mark.parametrize("shape", ["path", "zigzag", "random"])
+def test_components(spark, shape):
+    """Long paths, in order and against it, and scattered links; links that come later join the groups of the first."""
+    import random
+
+    r = random.Random(5)
+    order = [x for i in range(100) for x in (i, 199 - i)] if shape == "zigzag" else list(range(200))
+    links = list(zip(order, order[1:])) if shape != "random" else [(r.randrange(300), r.randrange(300)) for _ in range(200)]
+    links += [(500, 501), (501, 500), (7, 7), (900, 900)]
+    root = {}
+
+    def find(i):
+        root.setdefault(i, i)
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    want = {i: find(i) for i in root}
+
+    def frame(pairs):
+        return spark.createDataFrame(pairs, "a long, b long")
+
+    def groups(df):
+        rows = df.collect()
+        assert len(rows) == len({x.node for x in rows})
+        return {x.node: x.component for x in rows}
+
+    assert groups(components(frame(links))) == want
+    r.shuffle(links)
+    first = components(frame(links[::2]))
+    assert groups(components(frame(links[1::2]), known=first)) == want
+    assert groups(components(frame([(1, 1)]), known=first)) == groups(first) and groups(components(frame([]))) == {}
+
+
+def test_each_link_is_looked_at_once(spark, monkeypatch):
+    """Groups of further stars start from those of the first: no link goes through the components twice."""
+    given = []
+
+    def seen(edges, *args, **more):
+        given.extend((x.a, x.b) for x in edges.collect())
+        return components(edges, *args, **more)
+
+    monkeypatch.setattr(near_dup, "components", seen)
+    words = passage(60, 50).split()[:30]
+    groups = [words + passage(60, 60 + g).split() for g in range(4)]
+    rows = [(g * 10 + k, " ".join(w[:-k] if k else w)) for g, w in enumerate(groups) for k in range(4)]
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in out.collect()} == {i: i // 10 * 10 for i, _ in rows}
+    assert given and len(given) == len(set(given))
+
+
 def test_divided_buckets_are_settled(spark):
     """A bucket of several groups needs more than one star, and the last pairs the exact way."""
     rows = []
