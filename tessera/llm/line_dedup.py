@@ -18,10 +18,14 @@ alone.
    after it): the index has each text's segments, and a text probes it at the
    few places to which so many edits can have moved them, 3 + 2 keys for 2 edits.
 3. Texts that share a key are pairs, but for hot keys (a beginning that many lines
-   share).  Under a hot key the rest of each text, without the segment, is a text
-   of its own: the rests of two texts within the edits are within the edits, so
-   they meet by 2 again, among the texts of that key alone, ``LEVELS`` times at
-   most.  Texts that still have hot keys are families of long near-copies.  They
+   share).  Under a hot key the rest of each text is two parts, before and after
+   the segment, each with edits of its own by 2: none or one for each segment that
+   lies there.  Those without edits are empty; the others are texts of their own,
+   and the first of them meets by 2 again, among the texts of that key alone and
+   with its own edits only.  What it leaves comes last, so parts are cut in turn,
+   ``LEVELS`` times in all at most.  So a text with 2 edits has 5, 16 and 44 keys,
+   of each width, on the three levels at most, whatever the size of its family.
+   Texts that still have hot keys are families of long near-copies.  They
    meet by their rarest grams: ``edits`` edits touch at most ``edits`` * 5 of a
    text's runs of 5 bytes and move the others by ``edits`` places, so of the
    5 * ``edits`` + 1 rarest of each, two texts have one in common at nearly the
@@ -51,7 +55,7 @@ HOT_ROWS = 32
 GRAM = 5
 #: So often a text is cut at a segment under a hot key.
 LEVELS = 3
-#: A rest is cut on while its segments have so many bytes at least.
+#: A part is cut on while its segments have so many bytes at least.
 LEAST_SEGMENT = 4
 #: Grams meet where length and place, by steps of so many bytes, are the same or next to each other.
 LENGTH_STEP, PLACE_STEP = 16, 64
@@ -79,13 +83,13 @@ def _shapes(edits: int, bytes_per_edit: int) -> Column:
 
 
 def _rest_widths() -> Column:
-    """Widths as in _shapes for a rest with its text's e edits."""
-    lengths = f"filter(transform(sequence(0, e), s -> octet_length(bytes) - s), n -> n >= {LEAST_SEGMENT} * (e + 1))"
+    """Widths as in _shapes for a part with e edits of its own; one only where the key fixes the size of the index's part."""
+    lengths = f"filter(if(size is null, transform(sequence(0, e), s -> octet_length(bytes) - s), array(size)), n -> n >= {LEAST_SEGMENT} * (e + 1))"
     return F.expr(f"array_distinct(transform(transform({lengths}, n -> int(n div (e + 1))), q -> {_width('q')}))")
 
 
 def _segments(edits: int) -> Column:
-    """Rows of (key, moved, at): each of e + 1 segments of a text, and where a probe has to look for it."""
+    """Rows of (key, moved, at, before): each of e + 1 segments of a text, where a probe has to look for it, and the edits before it."""
     n, w, e = F.octet_length("bytes"), F.col("w"), F.col("e")
     of_edits = None
     for most in range(1, edits + 1):
@@ -94,7 +98,7 @@ def _segments(edits: int) -> Column:
             reach = min(i, most - i)
             for shift in range(-reach, reach + 1):
                 at = (w * i if i <= most - i else n - w * (most + 1 - i)) + shift
-                key = F.struct(F.xxhash64(F.lit(most * 100 + i), F.substring(F.col("bytes"), at + 1, w), "path").alias("key"), F.lit(shift != 0).alias("moved"), at.alias("at"))
+                key = F.struct(F.xxhash64(F.lit(most * 100 + i), F.substring(F.col("bytes"), at + 1, w), "path").alias("key"), F.lit(shift != 0).alias("moved"), at.alias("at"), F.lit(i).alias("before"))
                 keys.append(F.when((at >= 0) & (at + w <= n), key) if shift else key)
         # An array for each e, so that no rows are made for the keys of the others.
         of_edits = (F if of_edits is None else of_edits).when(e == most, F.array(*keys))
@@ -103,9 +107,10 @@ def _segments(edits: int) -> Column:
 
 def _by_segments(texts: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
     """(x, y), ids of texts that share a segment under a key that isn't hot; and the ids of texts left over under hot keys."""
-    shaped = texts.select("id", "bytes", F.explode("shapes").alias("shape"), F.lit(0).cast("long").alias("path"), F.lit(False).alias("probe"))
-    rows = shaped.select("id", "bytes", F.shiftright("shape", 32).cast("int").alias("e"), (F.col("shape") % (1 << 32)).cast("int").alias("w"), "path", "probe")
-    found, left, written = [], [], []
+    none = F.array().cast("array<struct<e: int, bytes: binary, size: int>>").alias("others")
+    shaped = texts.select("id", "bytes", F.explode("shapes").alias("shape"), none, F.lit(0).cast("long").alias("path"), F.lit(False).alias("probe"))
+    rows = shaped.select("id", "bytes", F.shiftright("shape", 32).cast("int").alias("e"), (F.col("shape") % (1 << 32)).cast("int").alias("w"), "others", "path", "probe")
+    found, over, written = [], [], []
     for level in range(1, LEVELS + 1):
         keyed = rows.select("*", _segments(edits)).where("k is not null").withColumn("moved", F.col("probe") | F.col("k.moved"))
         if level > 1:  # Rests are few beside the input: their rows are made once, for counts, pairs and cuts.
@@ -124,18 +129,21 @@ def _by_segments(texts: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
         forget(shared)
         written.append(hot)
         if level == LEVELS or hot.isEmpty():
-            left.append(hot.select("id"))
+            over.append(hot.select("id"))
             break
         of_hot = keyed if level > 1 else rows.join(hot.select("id").distinct().hint("shuffle_merge"), "id", "left_semi").select("*", _segments(edits)).where("k is not null")
         of_hot = of_hot.withColumn("key", F.col("k.key")).join(hot.hint("shuffle_merge"), ["key", "id"], "left_semi")
-        rest = F.concat(F.expr("substring(bytes, 1, k.at)"), F.expr("substring(bytes, k.at + w + 1, octet_length(bytes))"))
-        cut = settle(of_hot.select("id", rest.alias("bytes"), "e", F.col("key").alias("path"), (F.col("probe") | F.col("k.moved")).alias("probe")).distinct())
+        left = "named_struct('e', k.before, 'bytes', substring(bytes, 1, k.at), 'size', if(2 * k.before <= e, w * k.before, null))"
+        right = "named_struct('e', e - k.before, 'bytes', substring(bytes, k.at + w + 1, octet_length(bytes)), 'size', if(2 * k.before > e, w * (e - k.before), null))"
+        parts = F.expr(f"filter(concat(others, array({left}, {right})), p -> p.e > 0)")
+        cut = of_hot.select("id", parts.alias("parts"), F.col("key").alias("path"), (F.col("probe") | F.col("k.moved")).alias("probe")).distinct()
+        cut = settle(cut.select("id", F.col("parts")[0]["bytes"].alias("bytes"), F.col("parts")[0]["e"].alias("e"), F.col("parts")[0]["size"].alias("size"), F.expr("slice(parts, 2, size(parts))").alias("others"), "path", "probe"))
         written.append(cut)
-        # A rest too short to be cut on, or within e bytes of one, is left over.
-        left.append(cut.where(F.octet_length("bytes") < LEAST_SEGMENT * (F.col("e") + 1) + F.col("e")).select("id"))
-        rows = cut.select("id", "bytes", "e", F.explode(_rest_widths()).alias("w"), "path", "probe")
+        # A part too short to be cut on, or within e bytes of one, is left over.
+        over.append(cut.where(F.coalesce("size", F.octet_length("bytes") - F.col("e")) < LEAST_SEGMENT * (F.col("e") + 1)).select("id"))
+        rows = cut.select("id", "bytes", "e", F.explode(_rest_widths()).alias("w"), "others", "path", "probe")
     pairs = found[0] if len(found) == 1 else settle(reduce(DataFrame.union, found).distinct())
-    over = settle(reduce(DataFrame.union, left).distinct())
+    over = settle(reduce(DataFrame.union, over).distinct())
     forget(*written, *(found if len(found) > 1 else ()))
     return pairs, over
 

@@ -331,3 +331,55 @@ def test_rows_of_a_key_have_a_partner(spark, monkeypatch):
     for key, tag in rows:
         before = any(i < tag // 2 for i in index.get(key, ()))
         assert before or tag % 2 == 0 and any(i > tag // 2 for i in ids[key])
+
+
+def test_each_side_of_a_hot_segment_has_its_own_edits(spark, monkeypatch):
+    """A text of a family makes few rows on each level, whatever the family's size: 12 and 28 where nothing has moved."""
+    import random
+
+    most = []
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", 2)
+    settle = line_dedup.settle
+
+    def counted(df):
+        out = settle(df)
+        if "k" in out.columns:
+            most.append(max(x["count"] for x in out.groupBy("id").count().collect()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "settle", counted)
+    for family in (20, 60):
+        r = random.Random(3)
+        base = "".join(r.choice("abcdefghijklmnop") for _ in range(150))
+        texts = [base]
+        for _ in range(family):
+            line = list(base)
+            for at in r.sample(range(150), 2):
+                line[at] = "#"
+            texts.append("".join(line))
+        frame = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(dict.fromkeys(texts))], "id long, bytes binary").withColumn("shapes", line_dedup._shapes(2, 20))
+        most.clear()
+        line_dedup._by_segments(frame, 2)
+        assert len(most) == 2 and most[0] <= 12 and most[1] <= 28
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_no_pair_is_lost_under_hot_keys(spark, monkeypatch, edits):
+    """Of a family with all kinds of edits, each pair within them meets, or both are left over."""
+    import random
+
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", 3)
+    r = random.Random(edits)
+    texts = []
+    for n in (61, 97, 260):
+        base = "".join(r.choice("abcdefgh ") for _ in range(n))
+        texts += [base, *(changed(r, base, r.randint(1, edits)) for _ in range(22))]
+    texts = [t for t in dict.fromkeys(texts) if len(t) >= 20]
+    frame = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "id long, bytes binary").withColumn("shapes", line_dedup._shapes(edits, 20))
+    pairs, over = line_dedup._by_segments(frame, edits)
+    met, left = {tuple(sorted(p)) for p in pairs.collect()}, {x.id for x in over.collect()}
+    all_pairs = [(i, j) for j in range(len(texts)) for i in range(j) if abs(len(texts[i]) - len(texts[j])) <= edits]
+    by_bytes = [t.encode().decode("latin-1") for t in texts]
+    within = spark.createDataFrame([(i, j, by_bytes[i], by_bytes[j]) for i, j in all_pairs], "i int, j int, a string, b string").where(f"levenshtein(a, b) <= least({edits}, least(length(a), length(b)) div 20)").collect()
+    assert len(within) > 30
+    assert [(x.i, x.j) for x in within if (x.i, x.j) not in met and not {x.i, x.j} <= left] == []
